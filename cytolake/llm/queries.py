@@ -12,6 +12,7 @@ from .packing import pack
 from .repetition import repetition_rules
 from .secrets import scan_secrets
 from .shared import read
+from . import toxicity
 from .topk import exact_top_k
 
 
@@ -36,5 +37,12 @@ def op8_line_block_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main(read(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_secret_scan, op4_exact_top_k, op6_differencing_pack, op7_suffix_repetition, op8_line_block_extract)}
+def op9_subsequence_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_secret_scan, op4_exact_top_k, op6_differencing_pack, op7_suffix_repetition, op8_line_block_extract, op9_subsequence_toxicity)}
 ORACLES: dict[str, str] = {}
