@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .mainpage import extract_main
+from .mixing import mix
+from .neardup import near_duplicates
 from .packing import pack
 from .repetition import repetition_rules
 from .secrets import scan_secrets
@@ -16,6 +18,10 @@ from . import toxicity
 from .topk import exact_top_k
 
 
+def op2_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read(spark, sf_dir, "documents"))
 
@@ -44,5 +50,9 @@ def op9_subsequence_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_secret_scan, op4_exact_top_k, op6_differencing_pack, op7_suffix_repetition, op8_line_block_extract, op9_subsequence_toxicity)}
+def op10_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"), width=4, least=80)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_entropy_mix, op3_secret_scan, op4_exact_top_k, op6_differencing_pack, op7_suffix_repetition, op8_line_block_extract, op9_subsequence_toxicity, op10_tensored_minhash)}
 ORACLES: dict[str, str] = {}
