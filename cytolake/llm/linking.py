@@ -141,6 +141,18 @@ def _filtered(pairs: DataFrame, items: DataFrame, near: Callable) -> DataFrame:
     return near(pairs.join(a, "a").join(b, "b")).select("a", "b")
 
 
+def closer(pairs: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.ndarray], kind: type) -> DataFrame:
+    """The pairs (a, b) for whose signatures, as rows of numbers of one kind, ``near`` is true."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), kind).reshape(batch.num_rows, -1) for i in (2, 3))
+                yield batch.select(["a", "b"]).filter(pa.array(near(x, y)))
+
+    return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, payload: DataFrame, check: Callable[[bytes, list[bytes]], list[bool]], most: int = 256) -> DataFrame:
     """The pairs (a, b) whose payloads (id, data) pass ``check(data of a, data of several b)``. Members go to their centre a,
     whose group is dealt over salts of about ``most`` members each; a group streams through its task."""

@@ -22,10 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .linking import link, verified
+from .linking import closer, link, verified
 from .shared import Tables, semi
 from .words import mix, shingle_set
 
@@ -65,11 +65,6 @@ def tensored_keys(bands: int, rows: int):
     return keys
 
 
-def estimate(a: Column, b: Column) -> Column:
-    """Share of equal minhashes of two signatures given as arrays."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-
-
 def _features(width: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,10 +123,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: int = 80, bands: int
     classes = tables.cut(classes, "classes")
     # of n minhashes, a pair of similarity 0.8 agrees on at least half, but for a chance below 1e-4
     bar = int(np.ceil(n * (least / 100 - 0.31)))
-    parts = lambda c: F.transform(F.sequence(F.lit(1), F.lit(4 * n - 3), F.lit(4)), lambda i: F.substring(F.col(c), i, F.lit(4)))
 
     def near(pairs: DataFrame) -> DataFrame:
-        return pairs.where(estimate(parts("sig_a"), parts("sig_b")) >= bar)
+        return closer(pairs, lambda x, y: (x == y).sum(1) >= bar, np.uint32)
 
     def verify(pairs: DataFrame, name: str) -> DataFrame:
         ids = tables.cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), f"{name}-ids")

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import quality, toxicity
+from .linededup import dedup_lines
 from .mainpage import extract_main
 from .mixing import mix
 from .neardup import near_duplicates
@@ -14,10 +16,14 @@ from .packing import pack
 from .repetition import repetition_rules
 from .secrets import scan_secrets
 from .shared import read
-from . import toxicity
 from .topk import exact_top_k
 
 
+def op1_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its remaining text."""
+    return dedup_lines(read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op2_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -30,6 +36,11 @@ def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op5_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def op6_differencing_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
@@ -54,5 +65,19 @@ def op10_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), width=4, least=80)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_entropy_mix, op3_secret_scan, op4_exact_top_k, op6_differencing_pack, op7_suffix_repetition, op8_line_block_extract, op9_subsequence_toxicity, op10_tensored_minhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_fuzzy_line_dedup,
+        op2_entropy_mix,
+        op3_secret_scan,
+        op4_exact_top_k,
+        op5_cotrained_quality,
+        op6_differencing_pack,
+        op7_suffix_repetition,
+        op8_line_block_extract,
+        op9_subsequence_toxicity,
+        op10_tensored_minhash,
+    )
+}
 ORACLES: dict[str, str] = {}
