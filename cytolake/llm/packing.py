@@ -16,7 +16,9 @@ from __future__ import annotations
 
 import heapq
 import itertools
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +32,11 @@ from .shared import Tables
 from .words import encode
 
 #: Distinct words whose ids one Python worker remembers.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_000_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, deal long"
 _PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_CACHE: dict[str, tuple] = {}
+_CACHE: dict[str, WordTokenizer] = {}
+_PARTS = re.compile(rb"([a-z]+)([!-/:-@\[-`{-~]+)\Z").match
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -53,16 +56,43 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def words(self, text) -> list[bytes]:
+        """The words of a text; A-Z in lower case, as the normaliser has it, but where special tokens may be written."""
+        data = encode(text)
+        return (data if b"<|" in data else data.lower()).split()
 
     def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.known]
+        new = words.difference(self.known)
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known.clear()
-            new = list(words)
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            self.known.update((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(part, found, strict=True))
+            new = words
+        # letters and the signs after them are separate pre-tokens, so their ids come from their parts
+        parted = [(w, m[1], m[2]) for w in new if (m := _PARTS(w))]
+        known = self.known
+        whole = new.difference(w for w, _, _ in parted)
+        whole.update(*((a, b) for _, a, b in parted))
+        whole = [w for w in whole if w not in known]
+        texts = [w.decode("utf-8", "replace") for w in whole]
+        alone = []
+        letters = [(w, t) for w, t in zip(whole, texts, strict=True) if t.isalpha() or alone.append((w, t))]
+        for i in range(0, len(letters), 1000):
+            part = letters[i : i + 1000]
+            ids = np.array(self.tokenizer.encode(" ".join(t for _, t in part), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(part):  # a word of letters is one pre-token, which only its last token ends
+                data, at = ids.tobytes(), (4 * np.r_[0, ends]).tolist()
+                known.update((w, data[a:b]) for (w, _), a, b in zip(part, at, at[1:], strict=False))
+            else:
+                alone += part
+        for i in range(0, len(alone), 10_000):
+            part = alone[i : i + 10_000]
+            found = self.tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False)
+            known.update((w, array("I", e.ids).tobytes()) for (w, _), e in zip(part, found, strict=True))
+        known.update((w, known[a] + known[b]) for w, a, b in parted)
 
     def ids(self, words: list[bytes]) -> bytes:
         """Little-endian unsigned 32-bit ids."""
@@ -89,7 +119,7 @@ def _pieces(path: str, window: int, piece: int, end_id: int):
             for lo in range(0, batch.num_rows, 64):
                 out: list[tuple] = []
                 part = batch.slice(lo, 64)
-                texts = [encode(t).split() for t in part.column(1).to_pylist()]
+                texts = [tok.words(t) for t in part.column(1).to_pylist()]
                 tok.learn(set().union(*texts))
                 for doc_id, words in zip(part.column(0).to_pylist(), texts, strict=True):
                     data = tok.ids(words) + end
