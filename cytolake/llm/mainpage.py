@@ -38,6 +38,11 @@ _NOISE = re.compile(
 )
 
 
+def _noisy(mark: str, inside: bool) -> bool:
+    """Whether a class, id or role tells of no main text; inside an article a header is part of it."""
+    return any(not (inside and m[0].strip(" _-").lower() in ("header", "headers", "masthead")) for m in _NOISE.finditer(mark))
+
+
 class _Lines:
     """The lines of a page: (text, never main text, number of its content container)."""
 
@@ -58,7 +63,7 @@ class _Lines:
         inside = any(c for _, _, c in self.stack)
         noise = name in _NEVER or name == "header" and not inside
         if not noise and attributes and name not in _CONTENT and name not in ("body", "html"):
-            noise = any(_NOISE.search(m.strip("\"'")) for m in _MARK.findall(attributes)) or bool(re.search(r"\bhidden\b(?!\s*=\s*[\"']?false)", attributes) and not re.search(r"overflow", attributes))
+            noise = any(_noisy(m.strip("\"'"), inside) for m in _MARK.findall(attributes)) or bool(re.search(r"\bhidden\b(?!\s*=\s*[\"']?false)", attributes) and not re.search(r"overflow", attributes))
         box = 0
         if name in _CONTENT:
             self.containers += 1
