@@ -18,7 +18,6 @@ through, whatever their names.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,45 +29,65 @@ from pyspark.sql import types as T
 
 from .linking import closer, link, verified
 from .shared import Tables, small_enough
-from .words import hashes, mix
+from .words import encode, hashes, mix
 
 BITS, BLOCKS = 384, 12
-_SIGNS = re.compile(r"[\W_]+")
-_DIGITS = re.compile(r"[0-9]")
-_LINES = "row long, doc_id long, line long, h long"
-
-
-def normal(line: str) -> str:
-    return _DIGITS.sub("0", _SIGNS.sub(" ", line.lower())).strip()
+#: Candidates differ in at most so many bits: an angle of 47 degrees between the sums of their words.
+APART = 100
+_OCCURRENCES = "row long, doc_id long, line long, h long, sig binary"
+#: Signs become spaces and digits 0; letters are lower-cased before.
+_PLAIN = bytes(48 if 48 <= c <= 57 else c if c == 10 or c >= 128 or 97 <= c <= 122 or 65 <= c <= 90 else 32 for c in range(256))
+#: So many words are counted in one byte per bit; longer lines are summed by parts.
+_PART = 255
 
 
 def lines_of(text) -> list[str]:
     return (text or "").split("\n")
 
 
-def hashed(text, min_words: int) -> list[tuple[int, int, str]]:
-    """(line number, hash, normalised line) of the lines that take part."""
+def hashed(text, min_words: int) -> list[tuple[int, int, bytes]]:
+    """(line number, hash, normalised line) of the lines of enough words."""
     out = []
-    for i, line in enumerate(lines_of(text)):
-        if line.count(" ") + line.count("\t") + 1 >= min_words or not line.isascii():
-            flat = normal(line)
-            if flat.count(" ") + 1 >= min_words:
-                out.append((i, xxhash.xxh3_64_intdigest(flat) >> 1, flat))
+    for i, line in enumerate(encode((text or "").lower()).translate(_PLAIN).split(b"\n")):
+        words = line.split()
+        if len(words) >= min_words:
+            flat = b" ".join(words)
+            out.append((i, xxhash.xxh3_64_intdigest(flat) >> 1, flat))
     return out
 
 
-def simhash(lines: list[str]) -> np.ndarray:
-    """(lines, BITS / 8) bytes: signs of the sums of the words' hash bits."""
-    words = [line.encode().split() for line in lines]
+def simhash(lines: list[bytes]) -> np.ndarray:
+    """(lines, BITS / 8) bytes: for each bit whether more than half of the line's words have it in their hashes."""
+    words = [line.split() for line in lines]
+    sizes = np.array([len(w) for w in words])
     h = hashes([w for ws in words for w in ws])
-    start = np.r_[0, np.cumsum([len(w) for w in words])[:-1]].astype(np.int64)
-    out = np.empty((len(lines), BITS // 8), np.uint8)
-    half = (np.array([len(w) for w in words]) / 2)[:, None]
+    starts, lengths, owner = [], [], []
+    at = 0
+    for i, n in enumerate(sizes.tolist()):
+        for lo in range(0, n, _PART):
+            starts.append(at + lo)
+            lengths.append(min(_PART, n - lo))
+            owner.append(i)
+        at += n
+    octets = np.empty((len(h), BITS // 64), np.uint64)
     for k in range(BITS // 64):
         with np.errstate(over="ignore"):
-            bits = np.unpackbits(mix(h + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)).view(np.uint8).reshape(-1, 8), axis=1)
-        out[:, 8 * k : 8 * k + 8] = np.packbits(np.add.reduceat(bits, start, axis=0, dtype=np.uint16) > half, axis=1)
-    return out
+            octets[:, k] = mix(h + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64))
+    bits = np.unpackbits(octets.view(np.uint8), axis=1)
+    # word by word over all parts at once, longest parts first
+    order = np.argsort(-np.array(lengths), kind="stable")
+    start, length = np.array(starts)[order], np.array(lengths)[order]
+    sums = np.zeros((len(start), BITS), np.uint8)
+    for p in range(int(length[0])):
+        live = int(np.searchsorted(-length, -p, side="left"))
+        sums[:live] += bits[start[:live] + p]
+    by_part = np.empty_like(sums)
+    by_part[order] = sums
+    if len(by_part) == len(lines):
+        counts = by_part.astype(np.uint16)
+    else:
+        counts = np.add.reduceat(by_part, np.searchsorted(owner, np.arange(len(lines))), axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > sizes[:, None], axis=1)
 
 
 def block_keys(signatures: list[bytes]) -> np.ndarray:
@@ -108,46 +127,44 @@ def edit_distance(a: str, b: str, most: int) -> int:
 
 
 def similar_lines(least: int):
-    def check(centre: bytes, members: list[bytes]) -> list[bool]:
+    """2 for an edit similarity of ``least`` percent with a centre, 1 for up to twice the difference, else 0."""
+
+    def check(centre: bytes, members: list[bytes]) -> list[int]:
         a = centre.decode()
         out = []
         for m in members:
             b = m.decode()
             most = (100 - least) * max(len(a), len(b)) // 100
-            out.append(edit_distance(a, b, most) <= most)
+            distance = edit_distance(a, b, 2 * most)
+            out.append(2 if distance <= most else int(distance <= 2 * most))
         return out
 
     return check
 
 
 def _occurrences(min_words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, ids, at, hs = [], [], [], []
-            for row, doc, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                for i, h, _ in hashed(text, min_words):
-                    rows.append(row)
-                    ids.append(doc)
-                    at.append(i)
-                    hs.append(h)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (rows, ids, at, hs)], ["row", "doc_id", "line", "h"])
-
-    return run
-
-
-def _classes(min_words: int):
-    """(id, sig, data) of the lines of a task, each class once per group of rows."""
+    """The lines of a task; a class's fingerprint stands at its first line of each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: dict[int, str] = {}
-            for text in batch.column(0).to_pylist():
-                for _, h, flat in hashed(text, min_words):
-                    found[h] = flat
-            ids, lines = list(found), list(found.values())
-            for lo in range(0, len(lines), 2048):
-                sig = simhash(lines[lo : lo + 2048])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo : lo + 2048], pa.int64()), pa.array([s.tobytes() for s in sig], pa.binary())], ["id", "sig"])
+            seen: set[int] = set()
+            for lo in range(0, batch.num_rows, 256):
+                rows: list[tuple] = []
+                new: list[tuple[int, bytes]] = []
+                for row, doc, text in zip(*(batch.column(i).slice(lo, 256).to_pylist() for i in range(3)), strict=True):
+                    for i, h, flat in hashed(text, min_words):
+                        if h not in seen:
+                            seen.add(h)
+                            new.append((len(rows), flat))
+                        rows.append((row, doc, i, h))
+                if not rows:
+                    continue
+                sig: list = [None] * len(rows)
+                if new:
+                    for (at, _), s in zip(new, simhash([f for _, f in new]), strict=True):
+                        sig[at] = s.tobytes()
+                cols = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(sig, pa.binary())], ["row", "doc_id", "line", "h", "sig"])
 
     return run
 
@@ -157,7 +174,7 @@ def _texts(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Rec
         found: dict[int, bytes] = {}
         for text in batch.column(0).to_pylist():
             for _, h, flat in hashed(text, min_words):
-                found[h] = flat.encode()
+                found[h] = flat
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["id", "data"])
 
 
@@ -168,14 +185,14 @@ def _drop_lines(text, dropped) -> str | None:
     return "\n".join(line for i, line in enumerate(text.split("\n")) if i not in gone)
 
 
-def line_groups(docs: DataFrame, tables: Tables, min_words: int, least: int) -> DataFrame:
-    """(h, group) of the classes of lines that are linked with another class."""
+def line_groups(docs: DataFrame, seen: DataFrame, tables: Tables, min_words: int, least: int) -> DataFrame:
+    """(h, group) of the classes of lines that are linked with another class. seen: the occurrences."""
     text = docs.select("text").where("text is not null")
-    items = tables.cut(text.mapInArrow(_classes(min_words), "id long, sig binary").groupBy("id").agg(F.first("sig").alias("sig")), "line-classes")
+    items = tables.cut(seen.where("sig is not null").groupBy(F.col("h").alias("id")).agg(F.first("sig").alias("sig")), "line-classes")
+    tables.free()
 
     def near(pairs: DataFrame) -> DataFrame:
-        # a similarity of 80 % keeps the angle of the word sums well under a third of a half turn
-        return closer(pairs, lambda x, y: np.bitwise_count(x ^ y).sum(1) <= BITS // 3, np.uint64)
+        return closer(pairs, lambda x, y: np.bitwise_count(x ^ y).sum(1) <= APART, np.uint64)
 
     def verify(pairs: DataFrame, name: str) -> DataFrame:
         ids = tables.cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), f"{name}-ids")
@@ -199,9 +216,10 @@ def dedup_lines(docs: DataFrame, min_words: int = 5, least: int = 80, id_col: st
     doc_id, body = f"__{names.index(id_col)}", f"__{names.index(text_col)}"
     row = F.xxhash64(doc_id, body)
     two = flat.select(row.alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(body).alias("text"))
-    groups = line_groups(two, tables, min_words, least)
-    seen = tables.cut(two.mapInArrow(_occurrences(min_words), _LINES), "occurrences")
-    grouped = seen.join(groups, "h", "left").withColumn("group", F.coalesce("group", "h"))
+    seen = tables.cut(two.mapInArrow(_occurrences(min_words), _OCCURRENCES), "occurrences")
+    groups = line_groups(two, seen, tables, min_words, least)
+    tables.free()
+    grouped = seen.drop("sig").join(groups, "h", "left").withColumn("group", F.coalesce("group", "h"))
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", F.lit(0)).alias("d"), "row", "line")
     first = grouped.groupBy("group").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("group", "first.row", "first.line")
     first = first.withColumnsRenamed({"row": "r1", "line": "l1"})
@@ -222,4 +240,6 @@ def dedup_lines(docs: DataFrame, min_words: int = 5, least: int = 80, id_col: st
             yield pa.RecordBatch.from_arrays([*cols, *counts], [f.name for f in schema.fields])
 
     out = joined.mapInArrow(run, schema)
-    return out.withColumnsRenamed({f"__{i}": c for i, c in enumerate(names)}) if len(set(names) & {"n_lines", "n_dropped"}) == 0 else out.drop("n_lines", "n_dropped").withColumnsRenamed({f"__{i}": c for i, c in enumerate(names)})
+    if {"n_lines", "n_dropped"} & set(names):  # columns of the input keep their names
+        out = out.drop("n_lines", "n_dropped")
+    return out.withColumnsRenamed({f"__{i}": c for i, c in enumerate(names)})

@@ -4,11 +4,12 @@
 
 1. Within each map task the items of a key meet first: all but the smallest leave one pair with it and no key, so a key
    that half of all items hold sends one row per task into the shuffle.
-2. The remaining items of a key pair with its smallest item (an aggregation of partial minima, then an equi-join that
-   adaptive execution may split). Pairs are distinct, pre-filtered by their signatures and verified exactly.
-3. Components are found over the verified edges. Then come the pairs that stars leave out: two items of one key in
-   different components. Keys with one component are done; in the others each item outside the key's largest component
-   pairs with the items of all other components. This loses no link between items that share a key, and costs pairs only
+2. One shuffle brings the remaining items of a key together, sorted; each pairs with the key's smallest as the rows stream
+   by. Pairs are distinct, pre-filtered by their signatures and verified exactly.
+3. Components are found over the verified edges. Then come the pairs that stars leave out. Verification also reports loose
+   pairs (beyond half the allowed difference again); by the triangle inequality a linked pair whose items both lie near a
+   star's centre is in one loose family. In families of several components each item outside the largest component pairs
+   with the items of the other components, its signature is compared, and what is left is verified. That costs pairs only
    where similar items truly stay apart.
 
 Components come from alternating large-star and small-star passes over tables, so no lineage grows and nothing is
@@ -57,7 +58,7 @@ def _shape(edges: DataFrame) -> tuple:
 
 
 def _local_stars(batches: Iterator[pa.RecordBatch], keys_of: Callable) -> Iterator[pa.RecordBatch]:
-    """Rows (key, a, null) for the smallest item of each key in a batch, (null, a, b) for the pairs of the others with it."""
+    """Rows (key, a, null) for the smallest item of each key in a group of rows, (a, a, b) for the pairs of the others with it."""
     held: list[pa.RecordBatch] = []
     size = 0
 
@@ -65,8 +66,7 @@ def _local_stars(batches: Iterator[pa.RecordBatch], keys_of: Callable) -> Iterat
         ids = np.concatenate([b.column(0).to_numpy() for b in held])
         sig = [x for b in held for x in b.column(1).to_pylist()]
         keys = keys_of(sig)  # one row of keys per item
-        width = keys.shape[1]
-        flat, owner = keys.reshape(-1), np.repeat(ids, width)
+        flat, owner = keys.reshape(-1), np.repeat(ids, keys.shape[1])
         order = np.lexsort((owner, flat))
         flat, owner = flat[order], owner[order]
         first = np.r_[True, flat[1:] != flat[:-1]]
@@ -74,9 +74,8 @@ def _local_stars(batches: Iterator[pa.RecordBatch], keys_of: Callable) -> Iterat
         pair = ~first & (owner != low)
         pairs = np.unique(np.stack([low[pair], owner[pair]], 1), axis=0) if pair.any() else np.zeros((0, 2), np.int64)
         n, m = int(first.sum()), len(pairs)
-        key = pa.array(np.r_[flat[first], np.zeros(m, np.int64)], pa.int64(), mask=np.r_[np.zeros(n, bool), np.ones(m, bool)])
         b = pa.array(np.r_[np.zeros(n, np.int64), pairs[:, 1]], pa.int64(), mask=np.r_[np.ones(n, bool), np.zeros(m, bool)])
-        return pa.RecordBatch.from_arrays([key, pa.array(np.r_[owner[first], pairs[:, 0]]), b], ["key", "a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(np.r_[flat[first], pairs[:, 0]]), pa.array(np.r_[owner[first], pairs[:, 0]]), b], ["key", "a", "b"])
 
     for batch in batches:
         if batch.num_rows:
@@ -89,12 +88,26 @@ def _local_stars(batches: Iterator[pa.RecordBatch], keys_of: Callable) -> Iterat
         yield flush()
 
 
-def _all_keys(batches: Iterator[pa.RecordBatch], keys_of: Callable) -> Iterator[pa.RecordBatch]:
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of rows sorted by (key, a): each item of a key with the key's first, and the pairs that came along."""
+    key, low = None, None
     for batch in batches:
-        if batch.num_rows:
-            keys = keys_of(batch.column(1).to_pylist())
-            ids, comp = (np.repeat(batch.column(i).to_numpy(), keys.shape[1]) for i in (0, 2))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(ids), pa.array(comp)], ["key", "id", "component"])
+        if not batch.num_rows:
+            continue
+        made = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+        ready = batch.filter(pa.array(made))
+        if ready.num_rows:
+            yield ready.select(["a", "b"])
+        keys, a = (batch.column(i).to_numpy()[~made] for i in (0, 1))
+        if not len(keys):
+            continue
+        first = np.r_[key is None or keys[0] != key, keys[1:] != keys[:-1]]
+        at = np.maximum.accumulate(np.where(first, np.arange(len(keys)), -1))
+        lows = np.where(at >= 0, a[np.maximum(at, 0)], a[0] if low is None else low)
+        key, low = keys[-1], lows[-1]
+        pair = ~first & (lows != a)
+        if pair.any():
+            yield pa.RecordBatch.from_arrays([pa.array(lows[pair]), pa.array(a[pair])], ["a", "b"])
 
 
 def link(
@@ -106,33 +119,31 @@ def link(
     name: str = "link",
 ) -> tuple[DataFrame, DataFrame]:
     """(edges a < b, components of the linked ids). items: id, sig; near filters pairs (a, b, sig_a, sig_b); verify(pairs,
-    name) keeps the true ones of pairs (a, b)."""
-    stars = tables.cut(items.select("id", "sig").mapInArrow(lambda it: _local_stars(it, keys_of), "key long, a long, b long"), f"{name}-stars")
-    keyed = stars.where("key is not null").select("key", "a")
-    low = keyed.groupBy("key").agg(F.min("a").alias("low"), F.count("*").alias("n")).where("n > 1").select("key", "low")
-    across = keyed.join(low, "key").where("a <> low").select(F.col("low").alias("a"), F.col("a").alias("b"))
-    pairs = stars.where("b is not null").select("a", "b").unionByName(across).distinct()
-    pairs = tables.cut(_filtered(pairs, items, near), f"{name}-pairs")
-    tables.drop(f"{name}-stars")
-    edges = tables.cut(verify(pairs, f"{name}-verify"), f"{name}-edges")
+    name) keeps the at least loose ones of pairs (a, b) and says which are ``strong``."""
+    keyed = items.select("id", "sig").mapInArrow(lambda it: _local_stars(it, keys_of), "key long, a long, b long")
+    met = keyed.repartition("key").sortWithinPartitions("key", "a").mapInArrow(_stars, "a long, b long").distinct()
+    pairs = tables.cut(_filtered(met, items, near), f"{name}-pairs")
+    tables.free()
+    checked = verify(pairs, f"{name}-verify")
+    edges = tables.cut(checked.where("strong").select("a", "b"), f"{name}-edges")
     found = components(tables, edges, f"{name}-cc")
 
-    # pairs that no star has met: one key, different components; only items with some candidate can have them
-    seen = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    left = items.join(seen, "id", "left_semi").join(found, "id", "left").select("id", "sig", F.coalesce("component", "id").alias("component"))
-    every = tables.cut(left.mapInArrow(lambda it: _all_keys(it, keys_of), "key long, id long, component long"), f"{name}-keys")
-    several = every.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    open_ = tables.cut(every.join(several, "key", "left_semi"), f"{name}-open")
-    sizes = open_.groupBy("key", "component").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", F.col("component"))).alias("main"))
-    small = open_.join(main, "key").where("component <> main").select("key", F.col("id").alias("p"), F.col("component").alias("cp"))
-    cross = small.join(open_, "key").where("cp <> component").select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).distinct()
+    # pairs that no star has met: one loose family, different components
+    family = components(tables, checked, f"{name}-family").withColumnRenamed("component", "family")
+    roots = family.select(F.col("family").alias("id")).distinct().withColumn("family", F.col("id"))
+    member = family.unionByName(roots).join(found.unionByName(found.select(F.col("component").alias("id"), "component").distinct()), "id", "left")
+    member = tables.cut(member.select("family", "id", F.coalesce("component", "id").alias("component")), f"{name}-members")
+    sizes = member.groupBy("family", "component").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("family").agg(F.max_by("component", F.struct("n", F.col("component"))).alias("main"), F.count("*").alias("k")).where("k > 1").select("family", "main")
+    open_ = tables.cut(member.join(main, "family"), f"{name}-open")
+    small = open_.where("component <> main").select("family", F.col("id").alias("p"), F.col("component").alias("cp"))
+    cross = small.join(open_, "family").where("cp <> component and (component = main or p < id)").select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b"))
     cross = cross.join(pairs.select("a", "b"), ["a", "b"], "left_anti")
     more = tables.cut(_filtered(cross, items, near), f"{name}-cross")
-    tables.drop(f"{name}-keys", f"{name}-open")
+    tables.drop(f"{name}-members", f"{name}-open")
     if more.isEmpty():
         return edges, found
-    edges = tables.cut(edges.unionByName(verify(more, f"{name}-verify2")), f"{name}-edges2")
+    edges = tables.cut(edges.unionByName(verify(more, f"{name}-verify2").where("strong").select("a", "b")), f"{name}-edges2")
     return edges, components(tables, edges, f"{name}-cc2")
 
 
@@ -153,8 +164,9 @@ def closer(pairs: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.ndarray
     return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, payload: DataFrame, check: Callable[[bytes, list[bytes]], list[bool]], most: int = 256) -> DataFrame:
-    """The pairs (a, b) whose payloads (id, data) pass ``check(data of a, data of several b)``. Members go to their centre a,
+def verified(pairs: DataFrame, payload: DataFrame, check: Callable[[bytes, list[bytes]], list[int]], most: int = 256) -> DataFrame:
+    """Pairs (a, b, strong) by ``check(data of a, data of several b)`` of their payloads (id, data): 2 for true links, 1 for
+    loose ones, 0 drops a pair. Members go to their centre a,
     whose group is dealt over salts of about ``most`` members each; a group streams through its task."""
     count = pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / most).cast("int"))
     salted = pairs.join(count, "a").withColumn("salt", F.pmod(F.hash("b"), F.col("salts")))
@@ -167,7 +179,7 @@ def verified(pairs: DataFrame, payload: DataFrame, check: Callable[[bytes, list[
         at, centre = None, None
         for batch in batches:
             a, salt, b, d = (batch.column(i).to_pylist() for i in range(4))
-            out_a, out_b, i = [], [], 0
+            out_a, out_b, out_s, i = [], [], [], 0
             while i < len(a):
                 if b[i] is None:
                     at, centre = (a[i], salt[i]), d[i]
@@ -177,11 +189,12 @@ def verified(pairs: DataFrame, payload: DataFrame, check: Callable[[bytes, list[
                 while j < len(a) and b[j] is not None and (a[j], salt[j]) == (a[i], salt[i]):
                     j += 1
                 if (a[i], salt[i]) == at:
-                    good = [x for x, ok in zip(b[i:j], check(centre, d[i:j]), strict=True) if ok]
-                    out_b += good
+                    good = [(x, level > 1) for x, level in zip(b[i:j], check(centre, d[i:j]), strict=True) if level]
+                    out_b += [x for x, _ in good]
+                    out_s += [strong for _, strong in good]
                     out_a += [a[i]] * len(good)
                 i = j
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array(out_s, pa.bool_())], ["a", "b", "strong"])
 
     rows = centres.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long, strong boolean")

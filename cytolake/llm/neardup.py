@@ -95,18 +95,20 @@ def _sets(width: int):
 
 
 def similar(least: int):
-    """Whether sets have 100 * intersection >= least * union with a centre."""
+    """2 for sets with 100 * intersection >= least * union with a centre, 1 for up to twice the difference, else 0."""
+    loose = 2 * least - 100
 
-    def check(centre: bytes, members: list[bytes]) -> list[bool]:
+    def check(centre: bytes, members: list[bytes]) -> list[int]:
         a, out = np.frombuffer(centre, np.uint64), []
         for m in members:
             b = np.frombuffer(m, np.uint64)
-            if 100 * min(len(a), len(b)) < least * max(len(a), len(b)):
-                out.append(False)
+            if not len(a) or 100 * min(len(a), len(b)) < loose * max(len(a), len(b)):
+                out.append(0)
                 continue
             at = np.searchsorted(a, b)
-            both = int((a[np.minimum(at, len(a) - 1)] == b).sum()) if len(a) else 0
-            out.append(100 * both >= least * (len(a) + len(b) - both) and both > 0)
+            both = int((a[np.minimum(at, len(a) - 1)] == b).sum())
+            share, union = 100 * both, len(a) + len(b) - both
+            out.append(2 if share >= least * union and both else int(share >= loose * union and both > 0))
         return out
 
     return check
