@@ -8,9 +8,10 @@
    by. Pairs are distinct, pre-filtered by their signatures and verified exactly.
 3. Components are found over the verified edges. Then come the pairs that stars leave out. Verification also reports loose
    pairs (beyond half the allowed difference again); by the triangle inequality a linked pair whose items both lie near a
-   star's centre is in one loose family. In families of several components each item outside the largest component pairs
-   with the items of the other components, its signature is compared, and what is left is verified. That costs pairs only
-   where similar items truly stay apart.
+   star's centre is in one loose family. In families of several components each item outside the largest component meets
+   a few items of it, spread by hash, in each of two rounds; most join it. Those that remain pair with all items of the
+   other components, signatures are compared, and what is left is verified. That costs pairs only where similar items
+   truly stay apart.
 
 Components come from alternating large-star and small-star passes over tables, so no lineage grows and nothing is
 collected; hot vertices are reduced by partial minima.
@@ -27,6 +28,9 @@ from pyspark.sql import functions as F
 
 from .shared import Tables
 
+#: Rounds in which items outside a family's largest component meet so many items of it, before they meet all that is left.
+ROUNDS, PIVOTS = 2, 8
+
 
 def components(tables: Tables, edges: DataFrame, name: str) -> DataFrame:
     """(id, component) of every id in edges (a, b): the smallest id that is reachable. Stops when a pass changes nothing."""
@@ -128,23 +132,36 @@ def link(
     edges = tables.cut(checked.where("strong").select("a", "b"), f"{name}-edges")
     found = components(tables, edges, f"{name}-cc")
 
-    # pairs that no star has met: one loose family, different components
     family = components(tables, checked, f"{name}-family").withColumnRenamed("component", "family")
     roots = family.select(F.col("family").alias("id")).distinct().withColumn("family", F.col("id"))
-    member = family.unionByName(roots).join(found.unionByName(found.select(F.col("component").alias("id"), "component").distinct()), "id", "left")
-    member = tables.cut(member.select("family", "id", F.coalesce("component", "id").alias("component")), f"{name}-members")
+    family = tables.cut(family.unionByName(roots), f"{name}-families")
+    tested = pairs.select("a", "b")
+    for turn in range(ROUNDS + 1):
+        open_ = tables.cut(_open(family, found), f"{name}-open{turn}")
+        if open_.isEmpty():
+            break
+        small = open_.where("component <> main").select("family", F.col("id").alias("p"), F.col("component").alias("cp"))
+        if turn < ROUNDS:  # a few items of the largest component, spread by hash
+            order = F.xxhash64("id", F.lit(turn))
+            others = open_.where("component = main").groupBy("family", F.pmod(order, F.lit(PIVOTS)).alias("slot")).agg(F.min_by("id", order).alias("id"), F.first("component").alias("component"), F.first("main").alias("main")).drop("slot")
+        else:
+            others = open_
+        cross = small.join(others, "family").where("cp <> component and (component = main or p < id)").select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b"))
+        more = tables.cut(_filtered(cross.join(tested, ["a", "b"], "left_anti"), items, near), f"{name}-cross{turn}")
+        if not more.isEmpty():
+            tested = tested.unionByName(more)
+            edges = tables.cut(edges.unionByName(verify(more, f"{name}-verify{turn}").where("strong").select("a", "b")), f"{name}-edges{turn}")
+            found = components(tables, edges, f"{name}-cc{turn}")
+    return edges, found
+
+
+def _open(family: DataFrame, found: DataFrame) -> DataFrame:
+    """(family, id, component, main) of the families that hold several components; main: the largest."""
+    every = found.unionByName(found.select(F.col("component").alias("id"), "component").distinct())
+    member = family.join(every, "id", "left").select("family", "id", F.coalesce("component", "id").alias("component"))
     sizes = member.groupBy("family", "component").agg(F.count("*").alias("n"))
     main = sizes.groupBy("family").agg(F.max_by("component", F.struct("n", F.col("component"))).alias("main"), F.count("*").alias("k")).where("k > 1").select("family", "main")
-    open_ = tables.cut(member.join(main, "family"), f"{name}-open")
-    small = open_.where("component <> main").select("family", F.col("id").alias("p"), F.col("component").alias("cp"))
-    cross = small.join(open_, "family").where("cp <> component and (component = main or p < id)").select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b"))
-    cross = cross.join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-    more = tables.cut(_filtered(cross, items, near), f"{name}-cross")
-    tables.drop(f"{name}-members", f"{name}-open")
-    if more.isEmpty():
-        return edges, found
-    edges = tables.cut(edges.unionByName(verify(more, f"{name}-verify2").where("strong").select("a", "b")), f"{name}-edges2")
-    return edges, components(tables, edges, f"{name}-cc2")
+    return member.join(main, "family")
 
 
 def _filtered(pairs: DataFrame, items: DataFrame, near: Callable) -> DataFrame:
