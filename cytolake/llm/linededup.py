@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .linking import closer, link, verified
+from .linking import link, verified
 from .shared import Tables, small_enough
 from .words import encode, hashes, mix
 
@@ -191,8 +191,7 @@ def line_groups(docs: DataFrame, seen: DataFrame, tables: Tables, min_words: int
     items = tables.cut(seen.where("sig is not null").groupBy(F.col("h").alias("id")).agg(F.first("sig").alias("sig")), "line-classes")
     tables.free()
 
-    def near(pairs: DataFrame) -> DataFrame:
-        return closer(pairs, lambda x, y: np.bitwise_count(x ^ y).sum(1) <= APART, np.uint64)
+    near = (lambda x, y: np.bitwise_count(x ^ y).sum(1) <= APART), np.uint64
 
     def verify(pairs: DataFrame, name: str) -> DataFrame:
         ids = tables.cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), f"{name}-ids")

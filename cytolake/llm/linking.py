@@ -12,6 +12,10 @@
    a few items of it, spread by hash, in each of two rounds; most join it. Those that remain pair with all items of the
    other components, signatures are compared, and what is left is verified. That costs pairs only where similar items
    truly stay apart.
+4. A key whose items lie in several families has a star that failed: two of its items may be similar while its smallest is
+   far from both. All items of such keys meet across families, in tiles of at most about ``TILE`` by ``TILE`` items, where
+   signatures are compared in memory; only pairs that pass go on and are verified. So every pair that shares a key is in
+   one component, one family or compared.
 
 Components come from alternating large-star and small-star passes over tables, so no lineage grows and nothing is
 collected; hot vertices are reduced by partial minima.
@@ -26,10 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Tables
+from .shared import Tables, small_enough
 
 #: Rounds in which items outside a family's largest component meet so many items of it, before they meet all that is left.
 ROUNDS, PIVOTS = 2, 8
+#: Items of a key whose stars failed meet in tiles of about so many by so many.
+TILE = 256
 
 
 def components(tables: Tables, edges: DataFrame, name: str) -> DataFrame:
@@ -114,18 +120,96 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(lows[pair]), pa.array(a[pair])], ["a", "b"])
 
 
+def _keys(batches: Iterator[pa.RecordBatch], keys_of: Callable) -> Iterator[pa.RecordBatch]:
+    """Rows (key, id) of items (id, sig)."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 8192):
+            part = batch.slice(lo, 8192)
+            keys = keys_of(part.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(part.column(0).to_numpy(), keys.shape[1]))], ["key", "id"])
+
+
+def _shared_keys(batches: Iterator[pa.RecordBatch], keys_of: Callable) -> Iterator[pa.RecordBatch]:
+    """The keys that the two signatures of a row have in common."""
+    for batch in batches:
+        if batch.num_rows:
+            both = np.sort(np.concatenate([keys_of(batch.column(i).to_pylist()) for i in (0, 1)], 1), 1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(both[:, 1:][both[:, 1:] == both[:, :-1]]))], ["key"])
+
+
+def _tiles(batches: Iterator[pa.RecordBatch], near: Callable, kind: type) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of different families with near signatures in the tiles of rows (key, i, j, chunk, id, family, sig), sorted."""
+
+    def meet(rows: pa.Table) -> pa.RecordBatch:
+        key, i, j, chunk, ids, family = (rows.column(c).to_numpy() for c in range(6))
+        sig = np.frombuffer(b"".join(rows.column(6).to_pylist()), kind).reshape(len(ids), -1)
+        ends = np.r_[np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1, len(ids)]
+        out, lo = [np.zeros((0, 2), np.int64)], 0
+        for hi in ends:
+            cut = hi if i[lo] == j[lo] else lo + int(np.searchsorted(chunk[lo:hi], j[lo]))
+            for u in range(lo, cut):
+                other = np.arange(u + 1 if cut == hi and i[lo] == j[lo] else cut, hi)
+                other = other[family[other] != family[u]]
+                if len(other):
+                    other = other[near(np.broadcast_to(sig[u], (len(other), sig.shape[1])), sig[other])]
+                    out.append(np.stack([np.minimum(ids[u], ids[other]), np.maximum(ids[u], ids[other])], 1))
+            lo = hi
+        pairs = np.unique(np.concatenate(out), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        rows = rows if held is None else pa.concat_tables([held, rows])
+        last = np.ones(len(rows), bool)
+        for c in range(3):
+            x = rows.column(c).to_numpy()
+            last &= x == x[-1]
+        at = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+        if at:
+            yield meet(rows.slice(0, at))
+        held = rows.slice(at)
+    if held is not None:
+        yield meet(held)
+
+
+def _across(tables: Tables, met: DataFrame, items: DataFrame, family: DataFrame, keys_of: Callable, near: Callable, kind: type, name: str) -> DataFrame:
+    """Pairs (a, b) of near signatures that share a key and lie in different families. A key has such items only if a pair of
+    its stars, all of which are in ``met``, lies in different families."""
+    of = lambda x: family.select(F.col("id").alias(x), F.col("family").alias(f"f_{x}"))
+    failed = met.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(f_a, a) <> coalesce(f_b, b)").select("a", "b")
+    a, b = (items.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
+    keys = failed.join(a, "a").join(b, "b").select("sig_a", "sig_b").mapInArrow(lambda it: _shared_keys(it, keys_of), "key long").distinct()
+    keys = tables.cut(keys, f"{name}-keys")
+    if keys.isEmpty():
+        return met.limit(0)
+    every = items.select("id", "sig").mapInArrow(lambda it: _keys(it, keys_of), "key long, id long")
+    held = every.join(F.broadcast(keys) if small_enough(keys, 16) else keys, "key", "left_semi").distinct()
+    held = tables.cut(held.join(family, "id", "left").select("key", "id", F.coalesce("family", "id").alias("family")), f"{name}-members")
+    large = held.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("n")).where("n > 1")
+    dealt = held.join(F.broadcast(large) if small_enough(large, 16) else large, "key", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")).join(items.select("id", "sig"), "id")
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    rows = dealt.select("key", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "chunk", "id", "family", "sig")
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "chunk")
+    return rows.mapInArrow(lambda it: _tiles(it, near, kind), "a long, b long").distinct()
+
+
 def link(
     tables: Tables,
     items: DataFrame,
     keys_of: Callable[[list[bytes]], np.ndarray],
-    near: Callable[[DataFrame], DataFrame],
+    near: tuple[Callable[[np.ndarray, np.ndarray], np.ndarray], type],
     verify: Callable[[DataFrame, str], DataFrame],
     name: str = "link",
 ) -> tuple[DataFrame, DataFrame]:
-    """(edges a < b, components of the linked ids). items: id, sig; near filters pairs (a, b, sig_a, sig_b); verify(pairs,
+    """(edges a < b, components of the linked ids). items: id, sig; near: whether signatures, as rows of numbers of a kind, may be similar, and that kind; verify(pairs,
     name) keeps the at least loose ones of pairs (a, b) and says which are ``strong``."""
     keyed = items.select("id", "sig").mapInArrow(lambda it: _local_stars(it, keys_of), "key long, a long, b long")
     met = keyed.repartition("key").sortWithinPartitions("key", "a").mapInArrow(_stars, "a long, b long").distinct()
+    met = tables.cut(met, f"{name}-met")
     pairs = tables.cut(_filtered(met, items, near), f"{name}-pairs")
     tables.free()
     checked = verify(pairs, f"{name}-verify")
@@ -152,6 +236,11 @@ def link(
             tested = tested.unionByName(more)
             edges = tables.cut(edges.unionByName(verify(more, f"{name}-verify{turn}").where("strong").select("a", "b")), f"{name}-edges{turn}")
             found = components(tables, edges, f"{name}-cc{turn}")
+    more = tables.cut(_across(tables, met, items, family, keys_of, *near, f"{name}-across"), f"{name}-left")
+    if not more.isEmpty():
+        edges = tables.cut(edges.unionByName(verify(more, f"{name}-verify-left").where("strong").select("a", "b")), f"{name}-edges-left")
+        found = components(tables, edges, f"{name}-cc-left")
+    tables.drop(f"{name}-met", f"{name}-across-keys", f"{name}-across-members")
     return edges, found
 
 
@@ -164,9 +253,9 @@ def _open(family: DataFrame, found: DataFrame) -> DataFrame:
     return member.join(main, "family")
 
 
-def _filtered(pairs: DataFrame, items: DataFrame, near: Callable) -> DataFrame:
+def _filtered(pairs: DataFrame, items: DataFrame, near: tuple) -> DataFrame:
     a, b = (items.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
-    return near(pairs.join(a, "a").join(b, "b")).select("a", "b")
+    return closer(pairs.join(a, "a").join(b, "b"), *near)
 
 
 def closer(pairs: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.ndarray], kind: type) -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .linking import closer, link, verified
+from .linking import link, verified
 from .shared import Tables, semi
 from .words import mix, shingle_set
 
@@ -126,8 +126,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: int = 80, bands: int
     # of n minhashes, a pair of similarity 0.8 agrees on at least half, but for a chance below 1e-4
     bar = int(np.ceil(n * (least / 100 - 0.31)))
 
-    def near(pairs: DataFrame) -> DataFrame:
-        return closer(pairs, lambda x, y: (x == y).sum(1) >= bar, np.uint32)
+    near = (lambda x, y: (x == y).sum(1) >= bar), np.uint32
 
     def verify(pairs: DataFrame, name: str) -> DataFrame:
         ids = tables.cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), f"{name}-ids")
