@@ -3,7 +3,9 @@
 A line of at least ``min_words`` words is normalised (lower case, digits to 0, signs to spaces); shorter lines are left
 alone. Equal normalised lines are one class by hash, reduced in each task before anything is shuffled. Of every class a
 ``BITS``-bit SimHash of its words is cut into ``BLOCKS`` pigeonhole blocks: two fingerprints that differ in fewer bits
-than there are blocks share one. Classes that share a block are candidates; a Hamming bound drops unlikely ones, and a
+than there are blocks share one. Since short lines with a changed word differ in more, minhashes of a line's grams of
+``GRAM`` bytes make ``BANDS`` by ``BANDS`` tensored tables of four besides. Classes that share a block or a table's key are
+candidates; those pass that are within a Hamming bound or agree in ``AGREE`` minhashes, and a
 bit-parallel edit distance of the normalised lines confirms similarity (1 - distance / longer length) of at least
 ``least`` percent. Groups are the connected components.
 
@@ -28,12 +30,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .linking import link, verified
+from .neardup import _seeds, tensored_keys
 from .shared import Tables, small_enough
 from .words import encode, hashes, mix
 
 BITS, BLOCKS = 384, 12
 #: Candidates differ in at most so many bits: an angle of 47 degrees between the sums of their words.
 APART = 100
+#: Grams of so many bytes; tables from twice so many bands of two minhashes; candidates agree in so many minhashes, as
+#: those with a common table do.
+GRAM, BANDS, AGREE = 3, 5, 4
 _OCCURRENCES = "row long, doc_id long, line long, h long, sig binary"
 #: Signs become spaces and digits 0; letters are lower-cased before.
 _PLAIN = bytes(48 if 48 <= c <= 57 else c if c == 10 or c >= 128 or 97 <= c <= 122 or 65 <= c <= 90 else 32 for c in range(256))
@@ -96,6 +102,40 @@ def block_keys(signatures: list[bytes]) -> np.ndarray:
     return (x.astype(np.int64) << 4) | np.arange(BLOCKS)
 
 
+def gram_minhashes(lines: list[bytes]) -> np.ndarray:
+    """(lines, 4 * BANDS) minima of hashes of the grams of each line, 32 bits each; every line has a gram."""
+    flat = np.frombuffer(b"".join(lines), np.uint8).astype(np.uint64)
+    n = len(flat) - GRAM + 1
+    grams = mix(sum(flat[k : n + k] << np.uint64(8 * k) for k in range(GRAM)))
+    end = np.cumsum([len(line) for line in lines])
+    # every other range is the grams that cross from a line into the next
+    cuts = np.stack([np.r_[0, end[:-1]], end - GRAM + 1], 1).reshape(-1)[:-1]
+    a, b = _seeds(4 * BANDS)
+    out = np.empty((len(lines), 4 * BANDS), np.uint32)
+    with np.errstate(over="ignore"):
+        for j in range(4 * BANDS):
+            out[:, j] = np.minimum.reduceat((grams * a[j] + b[j]) >> np.uint64(32), cuts)[::2]
+    return out
+
+
+def signature(lines: list[bytes]) -> np.ndarray:
+    """(lines, bytes): fingerprint and minhashes of each line."""
+    return np.concatenate([simhash(lines), gram_minhashes(lines).view(np.uint8)], 1)
+
+
+def line_keys(signatures: list[bytes]) -> np.ndarray:
+    """The keys of the fingerprint's blocks and of the minhashes' tables."""
+    cut = BITS // 8
+    return np.concatenate([block_keys([s[:cut] for s in signatures]), tensored_keys(BANDS, 2)([s[cut:] for s in signatures])], 1)
+
+
+def may_be_similar(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether rows of signatures are within the Hamming bound or agree in enough minhashes."""
+    cut = BITS // 64
+    agree = (np.ascontiguousarray(x[:, cut:]).view(np.uint32) == np.ascontiguousarray(y[:, cut:]).view(np.uint32)).sum(1)
+    return (np.bitwise_count(x[:, :cut] ^ y[:, :cut]).sum(1) <= APART) | (agree >= AGREE)
+
+
 def edit_distance(a: str, b: str, most: int) -> int:
     """Levenshtein distance, or most + 1 if it is larger: common ends go first, then Myers' bit vectors."""
     if abs(len(a) - len(b)) > most:
@@ -161,7 +201,7 @@ def _occurrences(min_words: int):
                     continue
                 sig: list = [None] * len(rows)
                 if new:
-                    for (at, _), s in zip(new, simhash([f for _, f in new]), strict=True):
+                    for (at, _), s in zip(new, signature([f for _, f in new]), strict=True):
                         sig[at] = s.tobytes()
                 cols = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(sig, pa.binary())], ["row", "doc_id", "line", "h", "sig"])
@@ -191,8 +231,6 @@ def line_groups(docs: DataFrame, seen: DataFrame, tables: Tables, min_words: int
     items = tables.cut(seen.where("sig is not null").groupBy(F.col("h").alias("id")).agg(F.first("sig").alias("sig")), "line-classes")
     tables.free()
 
-    near = (lambda x, y: np.bitwise_count(x ^ y).sum(1) <= APART), np.uint64
-
     def verify(pairs: DataFrame, name: str) -> DataFrame:
         ids = tables.cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), f"{name}-ids")
         data = text.mapInArrow(lambda it: _texts(it, min_words), "id long, data binary")
@@ -202,7 +240,7 @@ def line_groups(docs: DataFrame, seen: DataFrame, tables: Tables, min_words: int
         tables.drop(f"{name}-lines", f"{name}-ids")
         return edges
 
-    _, found = link(tables, items, block_keys, near, verify, "lines")
+    _, found = link(tables, items, line_keys, (may_be_similar, np.uint64), verify, "lines")
     return found.select(F.col("id").alias("h"), F.col("component").alias("group"))
 
 
