@@ -7,7 +7,7 @@ each view labels the unlabelled sample, and its most confident labels, at most `
 part in fitting, and a logistic combination of the calibrated views, learned on the same rows, scores all documents.
 
 The fit uses at most ``per_class`` labelled documents of each label and ``unlabelled`` others (those of smallest hash); this
-is its documented bound, and only their features reach the driver. Every document is scored over its whole text, where it is
+is its documented bound, and only their features reach the driver; calibration weighs them back to the shares of all labels. Every document is scored over its whole text, where it is
 read. A null text counts as empty, null metadata as a value of its own, a null n_chars as 0. Without labels of both kinds
 every score is the share of label 1 (1 without labels: nothing is rejected). Labels that occur on several rows of one
 document count as their smallest. Repeated documents get equal scores.
@@ -113,21 +113,24 @@ def _fit_view(x: np.ndarray, y: np.ndarray, ridge: float) -> View:
     return View(centre, spread, _logistic(z, y, balance, ridge))
 
 
-def _calibrated(view: View, x: np.ndarray, y: np.ndarray) -> View:
+def _calibrated(view: View, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> View:
     n1, n0 = y.sum(), (1 - y).sum()
     target = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    w = _logistic(np.c_[view.raw(x), np.ones(len(x))], target, np.ones(len(x)), 1e-3)
+    w = _logistic(np.c_[view.raw(x), np.ones(len(x))], target, weight, 1e-3)
     view.slope, view.level = max(float(w[0]), 0.0), float(w[1])
     return view
 
 
-def cotrain(x: list[np.ndarray], y: np.ndarray, held: np.ndarray, pool: list[np.ndarray], rounds: int = 4, exchange: int = 200, confident: float = 0.97, ridge: float = 1.0) -> Model:
-    """A model from labelled rows of two views (held: those for calibration) and unlabelled rows."""
-    model = Model(float(y.mean()))
+def cotrain(x: list[np.ndarray], y: np.ndarray, held: np.ndarray, pool: list[np.ndarray], rounds: int = 4, exchange: int = 200, confident: float = 0.97, ridge: float = 1.0, odds: tuple[float, float] = (1.0, 1.0)) -> Model:
+    """A model from labelled rows of two views (held: those for calibration) and unlabelled rows. odds: how many labelled
+    documents a row of each label stands for; calibration weighs by them."""
+    weight = np.where(y > 0, odds[1], odds[0])
+    model = Model(float(np.average(y, weights=weight)))
+    weight = weight[held] / weight[held].mean()
     own = [(x[v][~held], y[~held]) for v in (0, 1)]
     free = np.ones(len(pool[0]), bool)
     for turn in range(rounds + 1):
-        model.views = [_calibrated(_fit_view(*own[v], ridge), x[v][held], y[held]) for v in (0, 1)]
+        model.views = [_calibrated(_fit_view(*own[v], ridge), x[v][held], y[held], weight) for v in (0, 1)]
         if turn == rounds:
             break
         given, moved = [], []
@@ -148,7 +151,7 @@ def cotrain(x: list[np.ndarray], y: np.ndarray, held: np.ndarray, pool: list[np.
         if not sum(moved):
             break
     z = np.stack([model.views[v].logit(x[v][held]) for v in (0, 1)], 1)
-    model.joint = _logistic(np.c_[z, np.ones(len(z))], y[held], np.ones(int(held.sum())), 1e-2)
+    model.joint = _logistic(np.c_[z, np.ones(len(z))], y[held], weight, 1e-2)
     return model
 
 
@@ -165,6 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, unlabelled: i
     tables = Tables(docs.sparkSession)
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min(F.col("quality").cast("int")).alias("y"))
     known = tables.cut(known, "known")
+    every = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     by = F.xxhash64("id", F.lit("quality")), F.col("id")
     part = [known.where(F.col("y") == k).orderBy(*by).limit(per_class) for k in (0, 1)]
     other = docs.select(F.col("doc_id").cast("long").alias("id")).where("id is not null").join(known.select("id"), "id", "left_anti")
@@ -189,9 +193,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, unlabelled: i
     for label in (0, 1):  # few labels: both kinds must be on both sides
         if not (held & (y[lab] == label)).any() or not (~held & (y[lab] == label)).any():
             held = np.arange(int(lab.sum())) % 2 == 0
+    odds = tuple(every[k] / min(every[k], per_class) for k in (0, 1))
     if any(len(set(y[lab][side])) < 2 for side in (held, ~held)):
-        return Model(float(y[lab].mean()))
-    return cotrain([v[lab] for v in x], y[lab], held, [v[~lab] for v in x])
+        return Model(float(np.average(y[lab], weights=np.where(y[lab] > 0, odds[1], odds[0]))))
+    return cotrain([v[lab] for v in x], y[lab], held, [v[~lab] for v in x], odds=odds)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] = ("doc_id",)) -> DataFrame:

@@ -13,7 +13,7 @@ subsequence: a word costs a few table look-ups, once per worker while it is reme
 worst words and the share of its words with a positive margin are calibrated by logistic regression on the sample.
 
 The fit uses at most ``per_class`` labelled documents of each label (those of smallest hash), which is its documented
-bound; every document is scored over its whole text. Nothing but the sample is joined or shuffled.
+bound, and the calibration weighs them back to the shares of all labels; every document is scored over its whole text. Nothing but the sample is joined or shuffled.
 
 A null or empty text has no words and gets the lowest score. Without labels of both kinds every score is the share of
 label 1 (0 without labels). Labels of one document on several rows count as toxic if one of them is; null labels and ids
@@ -207,29 +207,32 @@ def _fit_words(pos: list[str], neg: list[str], decay: float, landmarks: int, str
     return out, float(w[-1])
 
 
-def _calibrate(x: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Logistic regression of the label on the signs, towards smoothed targets."""
+def _calibrate(x: np.ndarray, label: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Logistic regression of the label on the signs, towards smoothed targets. weight: of each row, 1 on average."""
     n1, n0 = label.sum(), (1 - label).sum()
     target = np.where(label > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     x, w = np.c_[x, np.ones(len(x))], np.zeros(x.shape[1] + 1)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = x.T @ ((p * (1 - p) + 1e-9)[:, None] * x) + 1e-2 * np.eye(x.shape[1])
-        step = np.clip(np.linalg.solve(h, x.T @ (p - target) + 1e-2 * w), -2, 2)
+        h = x.T @ ((weight * p * (1 - p) + 1e-9)[:, None] * x) + 1e-2 * np.eye(x.shape[1])
+        step = np.clip(np.linalg.solve(h, x.T @ (weight * (p - target)) + 1e-2 * w), -2, 2)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
-def _sample(tables: Tables, docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
-    """(toxic, text) of at most per_class labelled documents of each kind, those of smallest hash."""
+def _sample(tables: Tables, docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[DataFrame, dict[int, float]]:
+    """(toxic, text) of at most per_class labelled documents of each kind, those of smallest hash, and how
+    many labelled documents one of each kind stands for."""
     ids = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = ids.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    every = {r[0]: r[1] for r in ids.groupBy("toxic").count().collect()}
     part = [ids.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for t in (0, 1)]
     chosen = tables.cut(part[0].unionByName(part[1]), "chosen")
     found = docs.join(F.broadcast(chosen) if small_enough(chosen, 16) else chosen, "doc_id").dropDuplicates(["doc_id"])
-    return tables.cut(found.select("doc_id", "toxic", "text"), "sample")
+    picked = {r[0]: r[1] for r in chosen.groupBy("toxic").count().collect()}
+    return tables.cut(found.select("doc_id", "toxic", "text"), "sample"), {t: every[t] / n for t, n in picked.items()}
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,10 +255,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, landmarks: in
     """A model from the labelled documents that are not held out (crc32 of the id as text, mod 5, is not 0)."""
     tables, model = Tables(docs.sparkSession), Model(decay)
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    sample = _sample(tables, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, per_class)
+    sample, odds = _sample(tables, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, per_class)
     count = {int(r[0]): r[1] for r in sample.groupBy("toxic").count().collect()}
     n1, n0 = count.get(1, 0), count.get(0, 0)
-    model.prior = n1 / max(1, n0 + n1)
+    model.prior = n1 * odds.get(1, 1.0) / max(1.0, n0 * odds.get(0, 1.0) + n1 * odds.get(1, 1.0))
     if not n0 or not n1:
         tables.drop("chosen", "sample")
         return model
@@ -287,7 +290,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, landmarks: in
         if turn < rounds - 1:
             hard = {p for r in seen if not r[0] and r[1] > -0.7 for p in windows(letters(bytes(r[4]))) if len(p) > 1}
             neg = [*(hard - set(neg) - set(pos)), *neg]
-    model.calibration = _calibrate(np.array([r[1:4] for r in seen]), np.array([float(r[0]) for r in seen]))
+    # rows weigh as the labels they stand for, so that the 0.5 cut means the same on every size of data
+    weight = np.array([odds[int(r[0])] for r in seen])
+    model.calibration = _calibrate(np.array([r[1:4] for r in seen]), np.array([float(r[0]) for r in seen]), weight / weight.mean())
     model.words = {"pos": pos, "neg": len(neg)}
     tables.drop("chosen", "sample", "stats")
     return model
