@@ -30,7 +30,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 IDENT = re.compile(r"\b(?:user(?:_?name)?|login|account|client_?id|access_?key_?id)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@+-]{3,})", re.I | re.A)
 ENDPOINT = re.compile(r"\b(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?|s3)://[^\s\"'<>]+|\b(?:host|endpoint|server)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]+(?::[0-9]+)?", re.I | re.A)
-OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])")
+OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 KINDS = ("assign", "access", "hex", "ident", "opaque", "endpoint")
 _ASSIGN_WORDS = ("passw", "secret", "token", "api")
 _IDENT_WORDS = ("user", "login", "account", "client", "access")
@@ -47,8 +47,14 @@ def strong(text: str) -> dict[str, list[tuple[int, int]]]:
 
 
 def _mixed(token: str) -> bool:
-    digits = sum(c.isdigit() for c in token)
-    return digits >= 4 and len(token) - digits >= 4 and len(set(token)) >= 10
+    """Whether a token looks drawn at random: ten kinds of characters and four digits beside four others, or capitals and
+    small letters that change about as often as in a random key (names in camel case change seldom)."""
+    digits, n = sum(c.isdigit() for c in token), len(token)
+    if len(set(token)) < 10:
+        return False
+    kinds = ["A" if c.isupper() else "a" if c.islower() else "0" if c.isdigit() else "-" for c in token]
+    changes = sum(x != y for x, y in zip(kinds, kinds[1:], strict=False))
+    return digits >= 4 and n - digits >= 4 or {"A", "a"} <= set(kinds) and 10 * changes >= 4 * (n - 1)
 
 
 def weak(text: str, base: dict) -> dict[str, list[tuple[int, int]]]:
