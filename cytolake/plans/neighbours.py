@@ -74,4 +74,4 @@ def smote_balance(spark, sf_dir):
 
 @query()
 def adasyn_balance(spark, sf_dir):
-    return K.adasyn(vectors(spark, sf_dir).where("label < 3")).groupBy("label").agg(F.count("*").alias("n"))
+    return K.adasyn(vectors(spark, sf_dir)).groupBy("label").agg(F.count("*").alias("n"))
