@@ -1,7 +1,7 @@
 """Fuzzy line dedup: near-equal lines of all documents, of which one occurrence stays per connected group.
 
-A line of at least ``min_words`` words is normalised (lower case, digits to 0, signs to spaces); shorter lines are left
-alone. Equal normalised lines are one class by hash, reduced in each task before anything is shuffled. Of every class a
+Lines are normalised (lower case, digits to 0, signs to spaces); those of which nothing is left are left alone. Lines of
+fewer than ``min_words`` words and fewer than ``LONG`` bytes are grouped by their exact normalised form only. Equal normalised lines are one class by hash, reduced in each task before anything is shuffled. Of every class a
 ``BITS``-bit SimHash of its words is cut into ``BLOCKS`` pigeonhole blocks: two fingerprints that differ in fewer bits
 than there are blocks share one. Since short lines with a changed word differ in more, minhashes of a line's grams of
 ``GRAM`` bytes make ``BANDS`` by ``BANDS`` tensored tables of four besides. Classes that share a block or a table's key are
@@ -40,6 +40,8 @@ APART = 100
 #: Grams of so many bytes; tables from twice so many bands of two minhashes; candidates agree in so many minhashes, as
 #: those with a common table do.
 GRAM, BANDS, AGREE = 3, 5, 4
+#: Lines of few words are compared too if they have so many bytes of UTF-8: scripts without spaces have long words.
+LONG = 24
 _OCCURRENCES = "row long, doc_id long, line long, h long, sig binary"
 #: Signs become spaces and digits 0; letters are lower-cased before.
 _PLAIN = bytes(48 if 48 <= c <= 57 else c if c == 10 or c >= 128 or 97 <= c <= 122 or 65 <= c <= 90 else 32 for c in range(256))
@@ -51,14 +53,14 @@ def lines_of(text) -> list[str]:
     return (text or "").split("\n")
 
 
-def hashed(text, min_words: int) -> list[tuple[int, int, bytes]]:
-    """(line number, hash, normalised line) of the lines of enough words."""
+def hashed(text, min_words: int) -> list[tuple[int, int, bytes, bool]]:
+    """(line number, hash, normalised line, whether it is compared with others) of the lines with a word."""
     out = []
     for i, line in enumerate(encode((text or "").lower()).translate(_PLAIN).split(b"\n")):
         words = line.split()
-        if len(words) >= min_words:
+        if words:
             flat = b" ".join(words)
-            out.append((i, xxhash.xxh3_64_intdigest(flat) >> 1, flat))
+            out.append((i, xxhash.xxh3_64_intdigest(flat) >> 1, flat, len(words) >= min_words or len(flat) >= LONG))
     return out
 
 
@@ -192,8 +194,8 @@ def _occurrences(min_words: int):
                 rows: list[tuple] = []
                 new: list[tuple[int, bytes]] = []
                 for row, doc, text in zip(*(batch.column(i).slice(lo, 256).to_pylist() for i in range(3)), strict=True):
-                    for i, h, flat in hashed(text, min_words):
-                        if h not in seen:
+                    for i, h, flat, fuzzy in hashed(text, min_words):
+                        if fuzzy and h not in seen:
                             seen.add(h)
                             new.append((len(rows), flat))
                         rows.append((row, doc, i, h))
@@ -213,8 +215,9 @@ def _texts(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Rec
     for batch in batches:
         found: dict[int, bytes] = {}
         for text in batch.column(0).to_pylist():
-            for _, h, flat in hashed(text, min_words):
-                found[h] = flat
+            for _, h, flat, fuzzy in hashed(text, min_words):
+                if fuzzy:
+                    found[h] = flat
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["id", "data"])
 
 

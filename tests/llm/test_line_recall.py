@@ -26,3 +26,10 @@ def test_edited_short_lines_are_dropped(spark):
     rows = [(i, x) for i, x in enumerate(lines + typed)]
     out = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert all(r["n_dropped"] == 0 for r in out if r["doc_id"] < 100) and sum(r["n_dropped"] for r in out) >= 98
+
+
+def test_short_lines_and_lines_without_spaces(spark):
+    long = "今日は天気がとても良いので公園まで散歩に行きました"
+    rows = [(0, f"All rights reserved.\n{long}"), (1, f"all rights reserved\nx\n{long}"), (2, f"{long.replace('公園', '学校')}\n---\n\n---")]
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: rows[0][1], 1: "x", 2: "---\n\n---"}
