@@ -1,17 +1,18 @@
 """Fuzzy line dedup: near-equal lines of all documents, of which one occurrence stays per connected group.
 
 Lines are normalised (lower case, digits to 0, signs to spaces); those of which nothing is left are left alone. Lines of
-fewer than ``min_words`` words and fewer than ``LONG`` bytes are grouped by their exact normalised form only. Equal normalised lines are one class by hash, reduced in each task before anything is shuffled. Of every class a
-``BITS``-bit SimHash of its words is cut into ``BLOCKS`` pigeonhole blocks: two fingerprints that differ in fewer bits
-than there are blocks share one. Since short lines with a changed word differ in more, minhashes of a line's grams of
-``GRAM`` bytes make ``BANDS`` by ``BANDS`` tensored tables of four besides. Classes that share a block or a table's key are
-candidates; those pass that are within a Hamming bound or agree in ``AGREE`` minhashes, and a
-bit-parallel edit distance of the normalised lines confirms similarity (1 - distance / longer length) of at least
-``least`` percent. Groups are the connected components.
-
-Within a group the first occurrence stays, in order of (document id, line number); all others go from
-their documents, whose other lines keep their text and order. Only the few numbers of a line occurrence are shuffled, and
-texts are rewritten where they are read from the numbers of their dropped lines.
+fewer than ``min_words`` words and fewer than ``LONG`` bytes are grouped by their exact normalised form only. Equal
+normalised lines are one class by a 128-bit hash. Of every other class a ``BITS``-bit SimHash of its words is cut into
+``BLOCKS`` pigeonhole blocks: two fingerprints that differ in fewer bits than there are blocks share one. An edit
+similarity of ``least`` percent is far beyond that bound, so the join has ``MINIMA`` further keys a line, the smallest
+hashes of its windows: of three words, and for lines of few words also of ``GRAM`` characters. Classes with a common key are
+candidates. Those pass whose lengths and counts of character pairs allow the edit distance (bounds that lose nothing),
+and the distance of the normalised lines itself confirms a similarity (1 - distance / longer length) of at least ``least``
+percent. Groups are the connected components; how keys that many lines share are treated is told in ``linking``.
+
+Within a group the first occurrence stays, in order of (document id, line number); all others go from their documents, whose
+other lines keep their text and order. Only the few numbers of a line occurrence are shuffled, the texts of candidates
+are read again by document and line, and texts are rewritten where they are read from the numbers of their dropped lines.
 
 Null texts stay null; empty ones stay empty. Rows with one id and different texts are separate documents, in the order of
 a hash; repeated rows (equal id and text) are one document and get equal results. Null ids come last. Other columns pass
@@ -30,112 +31,139 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .linking import link, verified
-from .neardup import _seeds, tensored_keys
 from .shared import Tables, small_enough
-from .words import encode, hashes, mix
-
-BITS, BLOCKS = 384, 12
-#: Candidates differ in at most so many bits: an angle of 47 degrees between the sums of their words.
-APART = 100
-#: Grams of so many bytes; tables from twice so many bands of two minhashes; candidates agree in so many minhashes, as
-#: those with a common table do.
-GRAM, BANDS, AGREE = 3, 5, 4
+from .words import encode, mix, run_hashes
+
+BITS, BLOCKS = 96, 3
+#: Keys of the windows of a line; characters of a short line's windows and words of a long one's.
+MINIMA, GRAM, SHINGLE = 8, 6, 3
+#: Lines of fewer than FEW words have windows of characters, those of MANY or more windows of words, those between half and half.
+MANY, FEW = 8, 12
+#: Character pairs are counted in so many bins.
+BINS = 64
 #: Lines of few words are compared too if they have so many bytes of UTF-8: scripts without spaces have long words.
 LONG = 24
-_OCCURRENCES = "row long, doc_id long, line long, h long, sig binary"
+_OCCURRENCES = "doc_id long, row long, line long, h binary, sig binary"
 #: Signs become spaces and digits 0; letters are lower-cased before.
 _PLAIN = bytes(48 if 48 <= c <= 57 else c if c == 10 or c >= 128 or 97 <= c <= 122 or 65 <= c <= 90 else 32 for c in range(256))
-#: So many words are counted in one byte per bit; longer lines are summed by parts.
+#: So many words are counted in one byte; longer lines are summed by parts.
 _PART = 255
+#: The eight bits of each byte as eight counters of a byte.
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).reshape(256)
+#: Texts and new lines that are looked at together.
+_TEXTS, _LINES, _BYTES = 256, 2048, 1 << 19
 
 
 def lines_of(text) -> list[str]:
     return (text or "").split("\n")
 
 
-def hashed(text, min_words: int) -> list[tuple[int, int, bytes, bool]]:
-    """(line number, hash, normalised line, whether it is compared with others) of the lines with a word."""
-    out = []
-    for i, line in enumerate(encode((text or "").lower()).translate(_PLAIN).split(b"\n")):
-        words = line.split()
-        if words:
-            flat = b" ".join(words)
-            out.append((i, xxhash.xxh3_64_intdigest(flat) >> 1, flat, len(words) >= min_words or len(flat) >= LONG))
-    return out
+def normalised(text) -> list[bytes]:
+    """Of each line its words in lower case, digits as 0 and signs as spaces, one space apart."""
+    return [b" ".join(line.split()) for line in encode((text or "").lower()).translate(_PLAIN).split(b"\n")]
+
+
+def compared(flat: bytes, min_words: int) -> bool:
+    """Whether a normalised line is compared with others, rather than grouped by its exact form only."""
+    return len(flat) >= LONG or flat.count(b" ") + 1 >= min_words and bool(flat)
+
+
+def simhash(h: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """(lines, BITS / 8) bytes: for each bit whether more than half of the line's words have it. h: hashes of the words."""
+    octets = np.stack([h, mix(h + np.uint64(0x9E3779B97F4A7C15))], 1).view(np.uint8)[:, : BITS // 8]
+    parts = -(-size // _PART)
+    line = np.repeat(np.arange(len(size)), parts)
+    nth = np.arange(len(line)) - np.repeat(np.cumsum(parts) - parts, parts)
+    sums = np.add.reduceat(_LANES[octets], start[line] + nth * _PART, axis=0).view(np.uint8).reshape(len(line), BITS)
+    counts = sums.astype(np.int64)
+    if len(line) > len(size):
+        counts = np.add.reduceat(counts, np.cumsum(parts) - parts, axis=0)
+    return np.packbits(2 * counts > size[:, None], axis=1)
 
 
-def simhash(lines: list[bytes]) -> np.ndarray:
-    """(lines, BITS / 8) bytes: for each bit whether more than half of the line's words have it in their hashes."""
-    words = [line.split() for line in lines]
-    sizes = np.array([len(w) for w in words])
-    h = hashes([w for ws in words for w in ws])
-    starts, lengths, owner = [], [], []
-    at = 0
-    for i, n in enumerate(sizes.tolist()):
-        for lo in range(0, n, _PART):
-            starts.append(at + lo)
-            lengths.append(min(_PART, n - lo))
-            owner.append(i)
-        at += n
-    octets = np.empty((len(h), BITS // 64), np.uint64)
-    for k in range(BITS // 64):
-        with np.errstate(over="ignore"):
-            octets[:, k] = mix(h + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64))
-    bits = np.unpackbits(octets.view(np.uint8), axis=1)
-    # word by word over all parts at once, longest parts first
-    order = np.argsort(-np.array(lengths), kind="stable")
-    start, length = np.array(starts)[order], np.array(lengths)[order]
-    sums = np.zeros((len(start), BITS), np.uint8)
-    for p in range(int(length[0])):
-        live = int(np.searchsorted(-length, -p, side="left"))
-        sums[:live] += bits[start[:live] + p]
-    by_part = np.empty_like(sums)
-    by_part[order] = sums
-    if len(by_part) == len(lines):
-        counts = by_part.astype(np.uint16)
-    else:
-        counts = np.add.reduceat(by_part, np.searchsorted(owner, np.arange(len(lines))), axis=0, dtype=np.int64)
-    return np.packbits(2 * counts > sizes[:, None], axis=1)
-
-
-def block_keys(signatures: list[bytes]) -> np.ndarray:
-    """One key for each block: its number and its bits."""
-    x = np.frombuffer(b"".join(signatures), np.uint32).reshape(len(signatures), BLOCKS)
-    return (x.astype(np.int64) << 4) | np.arange(BLOCKS)
-
-
-def gram_minhashes(lines: list[bytes]) -> np.ndarray:
-    """(lines, 4 * BANDS) minima of hashes of the grams of each line, 32 bits each; every line has a gram."""
-    flat = np.frombuffer(b"".join(lines), np.uint8).astype(np.uint64)
-    n = len(flat) - GRAM + 1
-    grams = mix(sum(flat[k : n + k] << np.uint64(8 * k) for k in range(GRAM)))
-    end = np.cumsum([len(line) for line in lines])
-    # every other range is the grams that cross from a line into the next
-    cuts = np.stack([np.r_[0, end[:-1]], end - GRAM + 1], 1).reshape(-1)[:-1]
-    a, b = _seeds(4 * BANDS)
-    out = np.empty((len(lines), 4 * BANDS), np.uint32)
+def minima(x: np.ndarray, owner: np.ndarray, width: int, lines: int, most: np.ndarray) -> np.ndarray:
+    """(lines, MINIMA) of the smallest different hashes of windows of ``width`` elements within a line, at most ``most`` of each, else 0."""
+    out = np.zeros((lines, MINIMA), np.int64)
+    n = len(x) - width + 1
+    if n <= 0:
+        return out
+    inside = owner[:n] == owner[width - 1 :]
+    window = np.full(n, np.uint64(width))
     with np.errstate(over="ignore"):
-        for j in range(4 * BANDS):
-            out[:, j] = np.minimum.reduceat((grams * a[j] + b[j]) >> np.uint64(32), cuts)[::2]
+        for k in range(width):
+            window = mix(window * np.uint64(0x9E3779B97F4A7C15) + x[k : k + n])
+    # in one sort: line number above, hash below
+    both = np.sort(owner[:n][inside].astype(np.uint64) << np.uint64(50) | window[inside] >> np.uint64(14))
+    both = both[np.r_[True, both[1:] != both[:-1]]] if len(both) else both
+    line = (both >> np.uint64(50)).astype(np.int64)
+    begin = np.searchsorted(line, np.arange(lines))
+    place = np.arange(len(line)) - begin[line]
+    keep = place < most[line]
+    out[line[keep], place[keep]] = (both[keep] & np.uint64((1 << 50) - 1)).astype(np.int64) | width << 50
     return out
 
 
 def signature(lines: list[bytes]) -> np.ndarray:
-    """(lines, bytes): fingerprint and minhashes of each line."""
-    return np.concatenate([simhash(lines), gram_minhashes(lines).view(np.uint8)], 1)
+    """(lines, bytes): fingerprint, keys of the windows, length and counts of character pairs of each line."""
+    joined = b"\n".join(lines) + b"\n"
+    data = np.frombuffer(joined, np.uint8)
+    end = np.flatnonzero(data <= 32)
+    last = data[end] == 10
+    owner = np.cumsum(last) - last
+    size = np.bincount(owner)
+    h = run_hashes(data, np.r_[0, end[:-1] + 1], end)
+    prints = simhash(h, np.cumsum(size) - size, size)
+    points = np.frombuffer(joined.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+    apart = points == 10
+    of = np.cumsum(apart)
+    length = np.bincount(of[~apart], minlength=len(lines))
+    code, of = points[~apart].astype(np.uint64), of[~apart]
+    half = (size >= MANY) & (size < FEW)
+    long = np.where(size < MANY, 0, np.where(half, MINIMA // 2, MINIMA))
+    keys = minima(h, owner, SHINGLE, len(lines), long)
+    few = np.flatnonzero(size < FEW)
+    if len(few):
+        place = np.full(len(lines), -1)
+        place[few] = np.arange(len(few))
+        mine = place[of] >= 0
+        short = minima(mix(code[mine]), place[of[mine]], GRAM, len(few), (MINIMA - long)[few])
+        keys[few] = np.where(half[few, None], np.c_[keys[few, : MINIMA // 2], short[:, : MINIMA // 2]], short)
+    inside = of[1:] == of[:-1]
+    pair = (code[:-1] * np.uint64(1000003) + code[1:]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(58)
+    counts = np.bincount(of[:-1][inside] * BINS + pair[inside].astype(np.int64), minlength=len(lines) * BINS).reshape(-1, BINS)
+    counts = np.minimum(counts, 255).astype(np.uint8)
+    return np.concatenate([prints, keys.view(np.uint8), length.astype(np.uint32)[:, None].view(np.uint8), counts], 1)
+
+
+_KEYS, _LENGTH, _COUNTS = BITS // 8, BITS // 8 + 8 * MINIMA, BITS // 8 + 8 * MINIMA + 4
 
 
 def line_keys(signatures: list[bytes]) -> np.ndarray:
-    """The keys of the fingerprint's blocks and of the minhashes' tables."""
-    cut = BITS // 8
-    return np.concatenate([block_keys([s[:cut] for s in signatures]), tensored_keys(BANDS, 2)([s[cut:] for s in signatures])], 1)
-
+    """The keys of the fingerprint's blocks and of the line's windows, the first window's where there are fewer."""
+    x = np.frombuffer(b"".join(signatures), np.uint8).reshape(len(signatures), -1)
+    blocks = np.ascontiguousarray(x[:, :_KEYS]).view(np.uint32).astype(np.int64) | (np.arange(BLOCKS) + 1) << 56
+    windows = np.ascontiguousarray(x[:, _KEYS:_LENGTH]).view(np.int64)
+    at = np.argmax(windows > 0, axis=1)
+    own = np.where(windows[np.arange(len(x)), at] > 0, windows[np.arange(len(x)), at], blocks[:, 0])
+    return np.c_[blocks, np.where(windows > 0, windows, own[:, None])]
+
+
+def may_be_similar(least: int):
+    """A score of rows of two signatures: above 0 if lengths and counts of character pairs allow the edit similarity. An edit changes the length by one
+    at most and the counts by four; counts that stop at 255 differ by less, never by more."""
+
+    def score(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        a, b = (np.ascontiguousarray(z[:, _LENGTH:_COUNTS]).view(np.uint32)[:, 0].astype(np.int64) for z in (x, y))
+        longer = np.maximum(a, b)
+        most = (100 - least) * longer // 100
+        out = np.zeros(len(x), np.int64)
+        at = np.flatnonzero(np.abs(a - b) <= most)
+        u, v = x[at, _COUNTS:], y[at, _COUNTS:]
+        apart = (np.maximum(u, v) - np.minimum(u, v)).sum(1, dtype=np.int64)
+        out[at] = np.where(apart <= 4 * most[at], 1 + 1000 * (4 * most[at] - apart) // np.maximum(1, longer[at]), 0)
+        return out
 
-def may_be_similar(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether rows of signatures are within the Hamming bound or agree in enough minhashes."""
-    cut = BITS // 64
-    agree = (np.ascontiguousarray(x[:, cut:]).view(np.uint32) == np.ascontiguousarray(y[:, cut:]).view(np.uint32)).sum(1)
-    return (np.bitwise_count(x[:, :cut] ^ y[:, :cut]).sum(1) <= APART) | (agree >= AGREE)
+    return score
 
 
 def edit_distance(a: str, b: str, most: int) -> int:
@@ -168,57 +196,90 @@ def edit_distance(a: str, b: str, most: int) -> int:
     return score
 
 
+def _at_most(a: str, b: str, most: int) -> bool:
+    """Whether words that differ place by place, or between common words at both ends, bound the edit distance by ``most``."""
+    x, y = a.split(" "), b.split(" ")
+    if len(x) == len(y):
+        return sum(max(len(u), len(v)) for u, v in zip(x, y, strict=True) if u != v) <= most
+    lo, n = 0, min(len(x), len(y))
+    while lo < n and x[lo] == y[lo]:
+        lo += 1
+    end = 0
+    while end < n - lo and x[-1 - end] == y[-1 - end]:
+        end += 1
+    return max(sum(map(len, z)) + len(z) for z in (x[lo : len(x) - end], y[lo : len(y) - end])) <= most
+
+
 def similar_lines(least: int):
-    """2 for an edit similarity of ``least`` percent with a centre, 1 for up to twice the difference, else 0."""
+    """Which lines have an edit similarity of ``least`` percent with a centre."""
 
-    def check(centre: bytes, members: list[bytes]) -> list[int]:
-        a = centre.decode()
+    def check(centre: bytes, members: list[bytes]) -> list[bool]:
+        a = centre.decode("utf-8", "surrogatepass")
         out = []
         for m in members:
-            b = m.decode()
+            b = m.decode("utf-8", "surrogatepass")
             most = (100 - least) * max(len(a), len(b)) // 100
-            distance = edit_distance(a, b, 2 * most)
-            out.append(2 if distance <= most else int(distance <= 2 * most))
+            out.append(abs(len(a) - len(b)) <= most and (_at_most(a, b, most) or edit_distance(a, b, most) <= most))
         return out
 
     return check
 
 
+def _parts(new: list[tuple[int, bytes]]) -> Iterator[list[tuple[int, bytes]]]:
+    """Lines in runs of at most _LINES and about _BYTES bytes."""
+    part, size = [], 0
+    for x in new:
+        if part and (len(part) == _LINES or size + len(x[1]) > _BYTES):
+            yield part
+            part, size = [], 0
+        part.append(x)
+        size += len(x[1])
+    if part:
+        yield part
+
+
 def _occurrences(min_words: int):
-    """The lines of a task; a class's fingerprint stands at its first line of each batch."""
+    """The lines of a task; a class's signature stands at its first line of each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: set[int] = set()
-            for lo in range(0, batch.num_rows, 256):
+            seen: set[bytes] = set()
+            for lo in range(0, batch.num_rows, _TEXTS):
                 rows: list[tuple] = []
                 new: list[tuple[int, bytes]] = []
-                for row, doc, text in zip(*(batch.column(i).slice(lo, 256).to_pylist() for i in range(3)), strict=True):
-                    for i, h, flat, fuzzy in hashed(text, min_words):
-                        if fuzzy and h not in seen:
+                for doc, row, text in zip(*(batch.column(i).slice(lo, _TEXTS).to_pylist() for i in range(3)), strict=True):
+                    for i, flat in enumerate(normalised(text)):
+                        if not flat:
+                            continue
+                        h = xxhash.xxh3_128_digest(flat)
+                        if h not in seen:
                             seen.add(h)
-                            new.append((len(rows), flat))
-                        rows.append((row, doc, i, h))
+                            if compared(flat, min_words):
+                                new.append((len(rows), flat))
+                        rows.append((doc, row, i, h))
                 if not rows:
                     continue
                 sig: list = [None] * len(rows)
-                if new:
-                    for (at, _), s in zip(new, signature([f for _, f in new]), strict=True):
+                for part in _parts(new):
+                    for (at, _), s in zip(part, signature([f for _, f in part]), strict=True):
                         sig[at] = s.tobytes()
-                cols = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(sig, pa.binary())], ["row", "doc_id", "line", "h", "sig"])
+                doc, row, line, h = zip(*rows, strict=True)
+                cols = [*(pa.array(c, pa.int64()) for c in (doc, row, line)), pa.array(h, pa.binary()), pa.array(sig, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "row", "line", "h", "sig"])
 
     return run
 
 
-def _texts(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+def _chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, data): the normalised lines of texts at the given places."""
     for batch in batches:
-        found: dict[int, bytes] = {}
-        for text in batch.column(0).to_pylist():
-            for _, h, flat, fuzzy in hashed(text, min_words):
-                if fuzzy:
-                    found[h] = flat
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["id", "data"])
+        ids, data = [], []
+        for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            lines = text.split("\n")
+            for x in wanted:
+                ids.append(x["id"])
+                data.append(normalised(lines[x["line"]])[0])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(data, pa.binary())], ["id", "data"])
 
 
 def _drop_lines(text, dropped) -> str | None:
@@ -228,46 +289,56 @@ def _drop_lines(text, dropped) -> str | None:
     return "\n".join(line for i, line in enumerate(text.split("\n")) if i not in gone)
 
 
-def line_groups(docs: DataFrame, seen: DataFrame, tables: Tables, min_words: int, least: int) -> DataFrame:
-    """(h, group) of the classes of lines that are linked with another class. seen: the occurrences."""
-    text = docs.select("text").where("text is not null")
-    items = tables.cut(seen.where("sig is not null").groupBy(F.col("h").alias("id")).agg(F.first("sig").alias("sig")), "line-classes")
-    tables.free()
+def _by_row(docs: DataFrame, rows: DataFrame, row_bytes: int, held: str, how: str) -> DataFrame:
+    """docs (doc_id, row, ...) joined with rows (doc_id, row, held): the latter's rows are broadcast if a count of their bytes allows."""
+    rows = rows.withColumnsRenamed({"doc_id": "__d", "row": "__r"})
+    size = rows.agg(F.count("*") * 40 + F.sum(F.size(held)) * row_bytes).first()[0] or 0
+    joined = docs.join(F.broadcast(rows) if size <= 32 << 20 else rows, F.col("__r").eqNullSafe(F.col("row")) & F.col("__d").eqNullSafe(F.col("doc_id")), how)
+    return joined.drop("__d", "__r")
+
+
+def line_groups(docs: DataFrame, classes: DataFrame, tables: Tables, least: int) -> DataFrame:
+    """(id, component) of the classes of lines that are linked with a smaller one. docs: doc_id, row, text."""
 
     def verify(pairs: DataFrame, name: str) -> DataFrame:
-        ids = tables.cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), f"{name}-ids")
-        data = text.mapInArrow(lambda it: _texts(it, min_words), "id long, data binary")
-        held = data.join(F.broadcast(ids) if small_enough(ids, 16) else ids, "id", "left_semi").dropDuplicates(["id"])
-        payload = tables.cut(held, f"{name}-lines")
+        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        places = classes.join(F.broadcast(ids) if small_enough(ids, 16) else ids, "id", "left_semi").select("first.doc_id", "first.row", F.struct("id", "first.line").alias("x"))
+        places = tables.cut(places.groupBy("doc_id", "row").agg(F.collect_list("x").alias("wanted")), f"{name}-places")
+        held = _by_row(docs.where("text is not null"), places, 16, "wanted", "inner").select("text", "wanted").mapInArrow(_chosen, "id long, data binary")
+        payload = tables.cut(held.dropDuplicates(["id"]), f"{name}-lines")
         edges = tables.cut(verified(pairs, payload, similar_lines(least)), f"{name}-kept")
-        tables.drop(f"{name}-lines", f"{name}-ids")
+        tables.drop(f"{name}-lines", f"{name}-places")
         return edges
 
-    _, found = link(tables, items, line_keys, (may_be_similar, np.uint64), verify, "lines")
-    return found.select(F.col("id").alias("h"), F.col("component").alias("group"))
+    return link(tables, classes.where("sig is not null"), line_keys, (may_be_similar(least), np.uint8), verify, "lines")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 5, least: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with repeated lines removed from ``text_col``, and columns ``n_lines``, ``n_dropped``."""
-    spark = docs.sparkSession
-    tables = Tables(spark)
+    tables = Tables(docs.sparkSession)
     names = docs.columns
     flat = docs.select(*[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(names)])
     doc_id, body = f"__{names.index(id_col)}", f"__{names.index(text_col)}"
     row = F.xxhash64(doc_id, body)
-    two = flat.select(row.alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(body).alias("text"))
-    seen = tables.cut(two.mapInArrow(_occurrences(min_words), _OCCURRENCES), "occurrences")
-    groups = line_groups(two, seen, tables, min_words, least)
+    texts = flat.select(F.col(doc_id).cast("long").alias("doc_id"), row.alias("row"), F.col(body).alias("text"))
+    seen = tables.cut(texts.mapInArrow(_occurrences(min_words), _OCCURRENCES), "occurrences")
+    place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row", "line")
+    # ids are given when the table is written, and read from there
+    classes = seen.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max("sig").alias("sig"))
+    classes = tables.cut(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    tables.free()
+    found = line_groups(texts, classes, tables, least)
+    linked = found.unionByName(found.select(F.col("component").alias("id"), "component").distinct())
+    linked = tables.cut(classes.drop("sig").join(linked, "id"), "linked")
+    first = linked.groupBy("component").agg(F.min("first").alias("keep"))
+    alone = classes.where("n > 1").join(linked.select("id"), "id", "left_anti").select("h", F.col("first").alias("keep"))
+    affected = tables.cut(linked.join(first, "component").select("h", "keep").unionByName(alone), "affected")
+    again = seen.select("doc_id", "row", "line", "h").join(F.broadcast(affected) if small_enough(affected, 80) else affected, "h")
+    again = again.where("not (doc_id <=> keep.doc_id and row = keep.row and line = keep.line)")
+    gone = tables.cut(again.groupBy("doc_id", "row").agg(F.collect_set("line").alias("gone")), "gone")
+    tables.drop("occurrences", "classes", "linked", "affected", "lines-found")
     tables.free()
-    grouped = seen.drop("sig").join(groups, "h", "left").withColumn("group", F.coalesce("group", "h"))
-    order = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", F.lit(0)).alias("d"), "row", "line")
-    first = grouped.groupBy("group").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("group", "first.row", "first.line")
-    first = first.withColumnsRenamed({"row": "r1", "line": "l1"})
-    gone = grouped.join(first, "group").where("row <> r1 or line <> l1").groupBy("row").agg(F.collect_list("line").alias("gone"))
-    gone = tables.cut(gone, "gone")
-    # 64 bytes a row hold its key and a few line numbers; past the limit the texts are shuffled instead
-    small = gone.agg(F.count("*") + F.sum(F.size("gone"))).first()[0] or 0
-    joined = flat.withColumn("__row", row).join(F.broadcast(gone) if small * 16 <= 32 << 20 else gone, F.col("__row") == F.col("row"), "left").drop("row", "__row")
+    joined = _by_row(flat.withColumns({"row": row, "doc_id": F.col(doc_id).cast("long")}), gone, 8, "gone", "left").drop("row", "doc_id")
     schema = T.StructType([*[f for f in flat.schema.fields], T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     at = names.index(text_col)
 
@@ -276,7 +347,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 5, least: int = 80, id_col: st
             texts, gone = batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()
             cols = list(batch.columns[: len(names)])
             cols[at] = pa.array([_drop_lines(t, g) for t, g in zip(texts, gone, strict=True)], batch.schema.field(at).type)
-            counts = pa.array([len(lines_of(t)) for t in texts], pa.int64()), pa.array([len(g or ()) for g in gone], pa.int64())
+            counts = pa.array([(t or "").count("\n") + 1 for t in texts], pa.int64()), pa.array([len(g or ()) for g in gone], pa.int64())
             yield pa.RecordBatch.from_arrays([*cols, *counts], [f.name for f in schema.fields])
 
     out = joined.mapInArrow(run, schema)

@@ -2,23 +2,19 @@
 
 ``link`` gets items (id, signature) and a way to make keys and to verify pairs. Items that share a key are candidates.
 
-1. Within each map task the items of a key meet first: all but the smallest leave one pair with it and no key, so a key
-   that half of all items hold sends one row per task into the shuffle.
+1. Within each map task, of a key that many items hold only the smallest item goes on, with one pair for each of the others,
+   so a key that half of all items hold sends one row per task into the shuffle.
 2. One shuffle brings the remaining items of a key together, sorted; each pairs with the key's smallest as the rows stream
-   by. Pairs are distinct, pre-filtered by their signatures and verified exactly.
-3. Components are found over the verified edges. Then come the pairs that stars leave out. Verification also reports loose
-   pairs (beyond half the allowed difference again); by the triangle inequality a linked pair whose items both lie near a
-   star's centre is in one loose family. In families of several components each item outside the largest component meets
-   a few items of it, spread by hash, in each of two rounds; most join it. Those that remain pair with all items of the
-   other components, signatures are compared, and what is left is verified. That costs pairs only where similar items
-   truly stay apart.
-4. A key whose items lie in several families has a star that failed: two of its items may be similar while its smallest is
-   far from both. All items of such keys meet across families, in tiles of at most about ``TILE`` by ``TILE`` items, where
-   signatures are compared in memory; only pairs that pass go on and are verified. So every pair that shares a key is in
-   one component, one family or compared.
+   by. Pairs are distinct, filtered by their signatures and verified exactly; components are found over the true ones.
+3. A key is open if one of its pairs has ended in two components and it has a third item: the smallest may be far from two
+   items that are similar. Its items outside its largest component meet all items of the key in tiles of at most ``TILE``
+   by ``TILE``, where signatures are compared in memory and each item's likely partners are ordered, best first. Rounds
+   verify the next few of them (``WINDOWS``), and all that are left in the last one; partners that have come into one
+   component meanwhile are passed over. So every two items that share a key are compared or end in one component,
+   a few rows an item suffice where groups grow together, and no round emits the pairs of a group that is one already.
 
 Components come from alternating large-star and small-star passes over tables, so no lineage grows and nothing is
-collected; hot vertices are reduced by partial minima.
+collected; hot vertices are reduced by partial minima. Later edges are contracted to components first.
 """
 
 from __future__ import annotations
@@ -32,18 +28,21 @@ from pyspark.sql import functions as F
 
 from .shared import Tables, small_enough
 
-#: Rounds in which items outside a family's largest component meet so many items of it, before they meet all that is left.
-ROUNDS, PIVOTS = 2, 8
-#: Items of a key whose stars failed meet in tiles of about so many by so many.
-TILE = 256
+#: Items of an open key meet in tiles of at most about so many by so many.
+TILE = 4096
+#: Ends of the rounds' windows in the order of an item's likely partners in a tile; a last round takes the rest.
+WINDOWS = (8, 128)
+#: Items that a task looks at together, and how many of them make a key hot there.
+GATHER, HOT = 8192, 8
 
 
 def components(tables: Tables, edges: DataFrame, name: str) -> DataFrame:
-    """(id, component) of every id in edges (a, b): the smallest id that is reachable. Stops when a pass changes nothing."""
+    """(id, component) of every id in edges (a, b) but the smallest of each component: the smallest id that is reachable.
+    Stops when a pass changes nothing."""
     now = tables.cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-0")
     stats = _shape(now)
     turn = 0
-    while True:
+    while stats[0]:
         turn += 1
         # every vertex links its larger neighbours to its smallest neighbour
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -67,39 +66,69 @@ def _shape(edges: DataFrame) -> tuple:
     return row[0], row[1]
 
 
-def _local_stars(batches: Iterator[pa.RecordBatch], keys_of: Callable) -> Iterator[pa.RecordBatch]:
-    """Rows (key, a, null) for the smallest item of each key in a group of rows, (a, a, b) for the pairs of the others with it."""
+def _grown(tables: Tables, found: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+    """Components (id, component) after further edges (a, b)."""
+    ends = edges.join(_component(found, "a"), "a", "left").join(_component(found, "b"), "b", "left")
+    ends = ends.select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")).where("a <> b")
+    joined = components(tables, ends, f"{name}-cc")
+    step = joined.select(F.col("id").alias("component"), F.col("component").alias("next"))
+    moved = found.join(step, "component", "left").select("id", F.coalesce("next", "component").alias("component"))
+    return tables.cut(moved.unionByName(joined), f"{name}-found")
+
+
+def _component(found: DataFrame, column: str) -> DataFrame:
+    return found.select(F.col("id").alias(column), F.col("component").alias(f"c_{column}"))
+
+
+def _distinct_keys(ids: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, id) in their order, without repeats, of items with a row of keys each."""
+    flat, owner = keys.reshape(-1), np.repeat(ids, keys.shape[1])
+    order = np.lexsort((owner, flat))
+    flat, owner = flat[order], owner[order]
+    new = np.ones(len(flat), bool)
+    new[1:] = (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])
+    return flat[new], owner[new]
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """Ids and signatures of about GATHER items at a time."""
     held: list[pa.RecordBatch] = []
     size = 0
+    for batch in batches:
+        for lo in range(0, batch.num_rows, GATHER):
+            held.append(batch.slice(lo, GATHER))
+            size += held[-1].num_rows
+            if size >= GATHER:
+                yield np.concatenate([b.column(0).to_numpy() for b in held]), [x for b in held for x in b.column(1).to_pylist()]
+                held, size = [], 0
+    if size:
+        yield np.concatenate([b.column(0).to_numpy() for b in held]), [x for b in held for x in b.column(1).to_pylist()]
+
 
-    def flush() -> pa.RecordBatch:
-        ids = np.concatenate([b.column(0).to_numpy() for b in held])
-        sig = [x for b in held for x in b.column(1).to_pylist()]
-        keys = keys_of(sig)  # one row of keys per item
-        flat, owner = keys.reshape(-1), np.repeat(ids, keys.shape[1])
-        order = np.lexsort((owner, flat))
-        flat, owner = flat[order], owner[order]
+_STARRED = "key long, a long, b long, more boolean"
+
+
+def _local_stars(batches: Iterator[pa.RecordBatch], keys_of: Callable) -> Iterator[pa.RecordBatch]:
+    """Rows (key, a, null) of items; of keys that are hot among those looked at together only the smallest item, and
+    (a, a, b) for the pairs of the others with it. more: whether the key has items beyond those of this row."""
+    for ids, signatures in _gathered(batches):
+        flat, owner = _distinct_keys(ids, keys_of(signatures))
         first = np.r_[True, flat[1:] != flat[:-1]]
-        low = owner[np.maximum.accumulate(np.where(first, np.arange(len(flat)), 0))]
-        pair = ~first & (owner != low)
-        pairs = np.unique(np.stack([low[pair], owner[pair]], 1), axis=0) if pair.any() else np.zeros((0, 2), np.int64)
-        n, m = int(first.sum()), len(pairs)
+        group = np.cumsum(first) - 1
+        hot = (np.bincount(group) >= HOT)[group]
+        low = owner[np.flatnonzero(first)][group]
+        single = ~hot | first
+        left = hot & ~first
+        pairs = np.unique(np.stack([low[left], owner[left]], 1), axis=0) if left.any() else np.zeros((0, 2), np.int64)
+        n, m = int(single.sum()), len(pairs)
         b = pa.array(np.r_[np.zeros(n, np.int64), pairs[:, 1]], pa.int64(), mask=np.r_[np.ones(n, bool), np.zeros(m, bool)])
-        return pa.RecordBatch.from_arrays([pa.array(np.r_[flat[first], pairs[:, 0]]), pa.array(np.r_[owner[first], pairs[:, 0]]), b], ["key", "a", "b"])
-
-    for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-            size += batch.num_rows
-            if size >= 8192:
-                yield flush()
-                held, size = [], 0
-    if held:
-        yield flush()
+        cols = [pa.array(np.r_[flat[single], pairs[:, 0]]), pa.array(np.r_[owner[single], pairs[:, 0]]), b, pa.array(np.r_[hot[single], np.ones(m, bool)])]
+        yield pa.RecordBatch.from_arrays(cols, ["key", "a", "b", "more"])
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of rows sorted by (key, a): each item of a key with the key's first, and the pairs that came along."""
+    """Pairs (a, b, more) of rows sorted by (key, a): each item of a key with the key's first, and the pairs that came along.
+    more: whether the key has, or may have, a third item."""
     key, low = None, None
     for batch in batches:
         if not batch.num_rows:
@@ -107,94 +136,131 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
         ready = batch.filter(pa.array(made))
         if ready.num_rows:
-            yield ready.select(["a", "b"])
-        keys, a = (batch.column(i).to_numpy()[~made] for i in (0, 1))
+            yield ready.select(["a", "b", "more"])
+        keys, a, hot = (batch.column(i).to_numpy(zero_copy_only=False)[~made] for i in (0, 1, 3))
         if not len(keys):
             continue
         first = np.r_[key is None or keys[0] != key, keys[1:] != keys[:-1]]
+        group = np.cumsum(first)  # 0 for what goes on from the batch before
         at = np.maximum.accumulate(np.where(first, np.arange(len(keys)), -1))
         lows = np.where(at >= 0, a[np.maximum(at, 0)], a[0] if low is None else low)
+        more = (np.bincount(group)[group] > 2) | (np.bincount(group, hot)[group] > 0) | (group == 0) | (group == group[-1])
         key, low = keys[-1], lows[-1]
         pair = ~first & (lows != a)
         if pair.any():
-            yield pa.RecordBatch.from_arrays([pa.array(lows[pair]), pa.array(a[pair])], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(lows[pair]), pa.array(a[pair]), pa.array(more[pair])], ["a", "b", "more"])
 
 
 def _keys(batches: Iterator[pa.RecordBatch], keys_of: Callable) -> Iterator[pa.RecordBatch]:
-    """Rows (key, id) of items (id, sig)."""
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 8192):
-            part = batch.slice(lo, 8192)
-            keys = keys_of(part.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(part.column(0).to_numpy(), keys.shape[1]))], ["key", "id"])
-
-
-def _shared_keys(batches: Iterator[pa.RecordBatch], keys_of: Callable) -> Iterator[pa.RecordBatch]:
-    """The keys that the two signatures of a row have in common."""
-    for batch in batches:
-        if batch.num_rows:
-            both = np.sort(np.concatenate([keys_of(batch.column(i).to_pylist()) for i in (0, 1)], 1), 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(both[:, 1:][both[:, 1:] == both[:, :-1]]))], ["key"])
+    """Distinct rows (key, id) of items (id, sig)."""
+    for ids, signatures in _gathered(batches):
+        flat, owner = _distinct_keys(ids, keys_of(signatures))
+        yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(owner)], ["key", "id"])
 
 
-def _tiles(batches: Iterator[pa.RecordBatch], near: Callable, kind: type) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of different families with near signatures in the tiles of rows (key, i, j, chunk, id, family, sig), sorted."""
+def _compared(keys_of: Callable, score: Callable, kind: type):
+    """(a, b, near, keys) of pairs with signatures: whether they may be similar, and the keys that both have if ``more``."""
 
-    def meet(rows: pa.Table) -> pa.RecordBatch:
-        key, i, j, chunk, ids, family = (rows.column(c).to_numpy() for c in range(6))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sigs = [batch.column(i).to_pylist() for i in (3, 4)]
+            x, y = (np.frombuffer(b"".join(s), kind).reshape(batch.num_rows, -1) for s in sigs)
+            keys: list = [None] * batch.num_rows
+            rows = np.flatnonzero(batch.column(2).to_numpy(zero_copy_only=False))
+            if len(rows):
+                p, q = (keys_of([s[i] for i in rows]) for s in sigs)
+                for i, u, v in zip(rows.tolist(), p, q, strict=True):
+                    keys[i] = np.intersect1d(u, v)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score(x, y) > 0), pa.array(keys, pa.list_(pa.int64()))], ["a", "b", "near", "keys"])
+
+    return run
+
+
+def _tiles(score: Callable, kind: type, lo: int, hi: int | None):
+    """Pairs (a, b) of items of different components that may be similar: of each left item those with the places lo to hi in the
+    order of its likely partners in a tile. Rows (key) alone tell that a tile has more. In: (key, i, j, left, id, component,
+    sig) sorted by tile."""
+
+    def meet(rows: pa.Table) -> tuple[np.ndarray, set[int]]:
+        key, i, j, ids, component = (rows.column(c).to_numpy() for c in (0, 1, 2, 4, 5))
+        left = rows.column(3).to_numpy()
         sig = np.frombuffer(b"".join(rows.column(6).to_pylist()), kind).reshape(len(ids), -1)
         ends = np.r_[np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1, len(ids)]
-        out, lo = [np.zeros((0, 2), np.int64)], 0
-        for hi in ends:
-            cut = hi if i[lo] == j[lo] else lo + int(np.searchsorted(chunk[lo:hi], j[lo]))
-            for u in range(lo, cut):
-                other = np.arange(u + 1 if cut == hi and i[lo] == j[lo] else cut, hi)
-                other = other[family[other] != family[u]]
-                if len(other):
-                    other = other[near(np.broadcast_to(sig[u], (len(other), sig.shape[1])), sig[other])]
-                    out.append(np.stack([np.minimum(ids[u], ids[other]), np.maximum(ids[u], ids[other])], 1))
-            lo = hi
-        pairs = np.unique(np.concatenate(out), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    held = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = pa.Table.from_batches([batch])
-        rows = rows if held is None else pa.concat_tables([held, rows])
-        last = np.ones(len(rows), bool)
-        for c in range(3):
-            x = rows.column(c).to_numpy()
-            last &= x == x[-1]
-        at = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
-        if at:
-            yield meet(rows.slice(0, at))
-        held = rows.slice(at)
-    if held is not None:
-        yield meet(held)
-
-
-def _across(tables: Tables, met: DataFrame, items: DataFrame, family: DataFrame, keys_of: Callable, near: Callable, kind: type, name: str) -> DataFrame:
-    """Pairs (a, b) of near signatures that share a key and lie in different families. A key has such items only if a pair of
-    its stars, all of which are in ``met``, lies in different families."""
-    of = lambda x: family.select(F.col("id").alias(x), F.col("family").alias(f"f_{x}"))
-    failed = met.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(f_a, a) <> coalesce(f_b, b)").select("a", "b")
-    a, b = (items.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
-    keys = failed.join(a, "a").join(b, "b").select("sig_a", "sig_b").mapInArrow(lambda it: _shared_keys(it, keys_of), "key long").distinct()
-    keys = tables.cut(keys, f"{name}-keys")
+        out, more, at = [np.zeros((0, 2), np.int64)], set(), 0
+        for end in ends.tolist():
+            own = left[at:end]
+            right = at + np.flatnonzero(~own)
+            c = component[right]
+            if len(right) and (component[at:end] != c[0]).any():
+                r = sig[right]
+                for u in (at + np.flatnonzero(own)).tolist():
+                    other = c != component[u]
+                    if not other.any():
+                        continue
+                    s = score(np.broadcast_to(sig[u], r.shape), r)
+                    near = np.flatnonzero(s > 0)
+                    near = near[np.lexsort((ids[right[near]], -s[near]))]
+                    if hi is not None and other[near[hi:]].any():
+                        more.add(int(key[at]))
+                    near = near[lo:hi]
+                    near = right[near[other[near]]]
+                    if len(near):
+                        out.append(np.stack([np.minimum(ids[u], ids[near]), np.maximum(ids[u], ids[near])], 1))
+            at = end
+        return np.unique(np.concatenate(out), axis=0), more
+
+    def batch_of(pairs: np.ndarray, more: set[int]) -> pa.RecordBatch:
+        n, m = len(pairs), len(more)
+        of = lambda x, y, mask: pa.array(np.r_[x, y].astype(np.int64), pa.int64(), mask=mask)
+        extra, none = np.r_[np.zeros(n, bool), np.ones(m, bool)], np.zeros(m, np.int64)
+        cols = [of(pairs[:, 0], none, extra), of(pairs[:, 1], none, extra), of(np.zeros(n), np.array(sorted(more), np.int64), ~extra)]
+        return pa.RecordBatch.from_arrays(cols, ["a", "b", "key"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            last = np.ones(len(rows), bool)
+            for c in range(3):
+                x = rows.column(c).to_numpy()
+                last &= x == x[-1]
+            at = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+            if at:
+                yield batch_of(*meet(rows.slice(0, at)))
+            held = rows.slice(at)
+        if held is not None:
+            yield batch_of(*meet(held))
+
+    return run
+
+
+def _open(tables: Tables, pairs: DataFrame, items: DataFrame, found: DataFrame, keys_of: Callable, name: str) -> DataFrame | None:
+    """(key, i, j, left, id): the tiles of the open keys. The left items of a key, those outside its largest component, stay the same in
+    all rounds, as do the chunks of right ones, so that each left item's order of partners does."""
+    ends = pairs.where("keys is not null").join(_component(found, "a"), "a", "left").join(_component(found, "b"), "b", "left")
+    keys = ends.where("coalesce(c_a, a) <> coalesce(c_b, b)").select(F.explode("keys").alias("key")).distinct()
+    keys = tables.cut(keys, f"{name}-open")
     if keys.isEmpty():
-        return met.limit(0)
-    every = items.select("id", "sig").mapInArrow(lambda it: _keys(it, keys_of), "key long, id long")
-    held = every.join(F.broadcast(keys) if small_enough(keys, 16) else keys, "key", "left_semi").distinct()
-    held = tables.cut(held.join(family, "id", "left").select("key", "id", F.coalesce("family", "id").alias("family")), f"{name}-members")
-    large = held.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("n")).where("n > 1")
-    dealt = held.join(F.broadcast(large) if small_enough(large, 16) else large, "key", "left").withColumn("n", F.coalesce("n", F.lit(1)))
-    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")).join(items.select("id", "sig"), "id")
-    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    rows = dealt.select("key", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "chunk", "id", "family", "sig")
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "chunk")
-    return rows.mapInArrow(lambda it: _tiles(it, near, kind), "a long, b long").distinct()
+        return None
+    every = items.mapInArrow(lambda it: _keys(it, keys_of), "key long, id long")
+    held = every.join(F.broadcast(keys) if small_enough(keys, 16) else keys, "key", "left_semi").join(found, "id", "left")
+    held = tables.cut(held.select("key", "id", F.coalesce("component", "id").alias("component")), f"{name}-held")
+    parts = held.groupBy("key", "component").agg(F.count("*").alias("n"))
+    whole = parts.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("k"))
+    whole = whole.where("k > 1 and n > 2").select("key", "main", F.ceil(F.col("n") / TILE).cast("int").alias("nr"), F.ceil((F.col("n") - F.col("most")) / TILE).cast("int").alias("nl"))
+    whole = tables.cut(whole, f"{name}-whole")
+    dealt = held.join(F.broadcast(whole) if small_enough(whole, 40) else whole, "key")
+    tiles = F.expr("transform(sequence(0, nl - 1), x -> struct(x as i, cast(pmod(xxhash64(id), nr) as int) as j, false as left))")
+    mine = F.expr("transform(sequence(0, nr - 1), x -> struct(cast(pmod(xxhash64(id, 1), nl) as int) as i, x as j, true as left))")
+    dealt = dealt.select("key", "id", F.explode(F.when(F.col("component") == F.col("main"), tiles).otherwise(F.concat(tiles, mine))).alias("t"))
+    out = tables.cut(dealt.select("key", "t.i", "t.j", "t.left", "id"), f"{name}-tiles")
+    tables.drop(f"{name}-open", f"{name}-held", f"{name}-whole")
+    return out
 
 
 def link(
@@ -204,76 +270,42 @@ def link(
     near: tuple[Callable[[np.ndarray, np.ndarray], np.ndarray], type],
     verify: Callable[[DataFrame, str], DataFrame],
     name: str = "link",
-) -> tuple[DataFrame, DataFrame]:
-    """(edges a < b, components of the linked ids). items: id, sig; near: whether signatures, as rows of numbers of a kind, may be similar, and that kind; verify(pairs,
-    name) keeps the at least loose ones of pairs (a, b) and says which are ``strong``."""
-    keyed = items.select("id", "sig").mapInArrow(lambda it: _local_stars(it, keys_of), "key long, a long, b long")
-    met = keyed.repartition("key").sortWithinPartitions("key", "a").mapInArrow(_stars, "a long, b long").distinct()
-    met = tables.cut(met, f"{name}-met")
-    pairs = tables.cut(_filtered(met, items, near), f"{name}-pairs")
+) -> DataFrame:
+    """(id, component) of the linked ids but the smallest of each component. items: id, sig. near: a score of rows of two
+    signatures, as numbers of a kind, above 0 if they may be similar and higher for likelier ones; and that kind.
+    verify(pairs, name) keeps the true ones of pairs (a, b), a < b."""
+    items = items.select("id", "sig")
+    keyed = items.mapInArrow(lambda it: _local_stars(it, keys_of), _STARRED)
+    met = keyed.repartition("key").sortWithinPartitions("key", "a").mapInArrow(_stars, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+    a, b = (items.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
+    met = met.join(a, "a").join(b, "b").select("a", "b", "more", "sig_a", "sig_b")
+    pairs = tables.cut(met.mapInArrow(_compared(keys_of, *near), "a long, b long, near boolean, keys array<long>").where("near or keys is not null"), f"{name}-pairs")
     tables.free()
-    checked = verify(pairs, f"{name}-verify")
-    edges = tables.cut(checked.where("strong").select("a", "b"), f"{name}-edges")
-    found = components(tables, edges, f"{name}-cc")
-
-    family = components(tables, checked, f"{name}-family").withColumnRenamed("component", "family")
-    roots = family.select(F.col("family").alias("id")).distinct().withColumn("family", F.col("id"))
-    family = tables.cut(family.unionByName(roots), f"{name}-families")
-    tested = pairs.select("a", "b")
-    for turn in range(ROUNDS + 1):
-        open_ = tables.cut(_open(family, found), f"{name}-open{turn}")
-        if open_.isEmpty():
+    tested = pairs.where("near").select("a", "b")
+    found = tables.cut(components(tables, verify(tested, f"{name}-verify"), f"{name}-cc"), f"{name}-found")
+    tiles = _open(tables, pairs, items, found, keys_of, name)
+    for turn, (lo, hi) in enumerate(zip((0, *WINDOWS), (*WINDOWS, None), strict=True)):
+        if tiles is None:
             break
-        small = open_.where("component <> main").select("family", F.col("id").alias("p"), F.col("component").alias("cp"))
-        if turn < ROUNDS:  # a few items of the largest component, spread by hash
-            order = F.xxhash64("id", F.lit(turn))
-            others = open_.where("component = main").groupBy("family", F.pmod(order, F.lit(PIVOTS)).alias("slot")).agg(F.min_by("id", order).alias("id"), F.first("component").alias("component"), F.first("main").alias("main")).drop("slot")
-        else:
-            others = open_
-        cross = small.join(others, "family").where("cp <> component and (component = main or p < id)").select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b"))
-        more = tables.cut(_filtered(cross.join(tested, ["a", "b"], "left_anti"), items, near), f"{name}-cross{turn}")
+        rows = tiles.join(found, "id", "left").select("key", "i", "j", "left", "id", F.coalesce("component", "id").alias("component")).join(items, "id")
+        rows = rows.select("key", "i", "j", "left", "id", "component", "sig").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        met = tables.cut(rows.mapInArrow(_tiles(*near, lo, hi), "a long, b long, key long"), f"{name}-met{turn}")
+        more = tables.cut(met.where("key is null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), f"{name}-more{turn}")
         if not more.isEmpty():
-            tested = tested.unionByName(more)
-            edges = tables.cut(edges.unionByName(verify(more, f"{name}-verify{turn}").where("strong").select("a", "b")), f"{name}-edges{turn}")
-            found = components(tables, edges, f"{name}-cc{turn}")
-    more = tables.cut(_across(tables, met, items, family, keys_of, *near, f"{name}-across"), f"{name}-left")
-    if not more.isEmpty():
-        edges = tables.cut(edges.unionByName(verify(more, f"{name}-verify-left").where("strong").select("a", "b")), f"{name}-edges-left")
-        found = components(tables, edges, f"{name}-cc-left")
-    tables.drop(f"{name}-met", f"{name}-across-keys", f"{name}-across-members")
-    return edges, found
-
-
-def _open(family: DataFrame, found: DataFrame) -> DataFrame:
-    """(family, id, component, main) of the families that hold several components; main: the largest."""
-    every = found.unionByName(found.select(F.col("component").alias("id"), "component").distinct())
-    member = family.join(every, "id", "left").select("family", "id", F.coalesce("component", "id").alias("component"))
-    sizes = member.groupBy("family", "component").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("family").agg(F.max_by("component", F.struct("n", F.col("component"))).alias("main"), F.count("*").alias("k")).where("k > 1").select("family", "main")
-    return member.join(main, "family")
-
-
-def _filtered(pairs: DataFrame, items: DataFrame, near: tuple) -> DataFrame:
-    a, b = (items.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
-    return closer(pairs.join(a, "a").join(b, "b"), *near)
-
-
-def closer(pairs: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.ndarray], kind: type) -> DataFrame:
-    """The pairs (a, b) for whose signatures, as rows of numbers of one kind, ``near`` is true."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), kind).reshape(batch.num_rows, -1) for i in (2, 3))
-                yield batch.select(["a", "b"]).filter(pa.array(near(x, y)))
-
-    return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+            edges = verify(more, f"{name}-verify{turn}")
+            found = found if edges.isEmpty() else _grown(tables, found, edges, f"{name}-turn{turn}")
+        left = tables.cut(met.where("key is not null").select("key").distinct(), f"{name}-left{turn}")
+        tables.drop(f"{name}-met{turn}")
+        if left.isEmpty():
+            break
+        tiles = tiles.join(F.broadcast(left) if small_enough(left, 16) else left, "key", "left_semi")
+    tables.drop(f"{name}-pairs", f"{name}-tiles")
+    return found
 
 
-def verified(pairs: DataFrame, payload: DataFrame, check: Callable[[bytes, list[bytes]], list[int]], most: int = 256) -> DataFrame:
-    """Pairs (a, b, strong) by ``check(data of a, data of several b)`` of their payloads (id, data): 2 for true links, 1 for
-    loose ones, 0 drops a pair. Members go to their centre a,
-    whose group is dealt over salts of about ``most`` members each; a group streams through its task."""
+def verified(pairs: DataFrame, payload: DataFrame, check: Callable[[bytes, list[bytes]], list[bool]], most: int = 256) -> DataFrame:
+    """The pairs (a, b) for which ``check(data of a, data of several b)`` is true, of their payloads (id, data). Members go to
+    their centre a, whose group is dealt over salts of about ``most`` members each; a group streams through its task."""
     count = pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / most).cast("int"))
     salted = pairs.join(count, "a").withColumn("salt", F.pmod(F.hash("b"), F.col("salts")))
     data = payload.select("id", "data")
@@ -285,7 +317,7 @@ def verified(pairs: DataFrame, payload: DataFrame, check: Callable[[bytes, list[
         at, centre = None, None
         for batch in batches:
             a, salt, b, d = (batch.column(i).to_pylist() for i in range(4))
-            out_a, out_b, out_s, i = [], [], [], 0
+            out_a, out_b, i = [], [], 0
             while i < len(a):
                 if b[i] is None:
                     at, centre = (a[i], salt[i]), d[i]
@@ -295,12 +327,11 @@ def verified(pairs: DataFrame, payload: DataFrame, check: Callable[[bytes, list[
                 while j < len(a) and b[j] is not None and (a[j], salt[j]) == (a[i], salt[i]):
                     j += 1
                 if (a[i], salt[i]) == at:
-                    good = [(x, level > 1) for x, level in zip(b[i:j], check(centre, d[i:j]), strict=True) if level]
-                    out_b += [x for x, _ in good]
-                    out_s += [strong for _, strong in good]
+                    good = [x for x, same in zip(b[i:j], check(centre, d[i:j]), strict=True) if same]
+                    out_b += good
                     out_a += [a[i]] * len(good)
                 i = j
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array(out_s, pa.bool_())], ["a", "b", "strong"])
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
     rows = centres.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return rows.mapInArrow(run, "a long, b long, strong boolean")
+    return rows.mapInArrow(run, "a long, b long")

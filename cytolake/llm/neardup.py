@@ -95,20 +95,18 @@ def _sets(width: int):
 
 
 def similar(least: int):
-    """2 for sets with 100 * intersection >= least * union with a centre, 1 for up to twice the difference, else 0."""
-    loose = 2 * least - 100
+    """Which sets have 100 * intersection >= least * union with a centre."""
 
-    def check(centre: bytes, members: list[bytes]) -> list[int]:
+    def check(centre: bytes, members: list[bytes]) -> list[bool]:
         a, out = np.frombuffer(centre, np.uint64), []
         for m in members:
             b = np.frombuffer(m, np.uint64)
-            if not len(a) or 100 * min(len(a), len(b)) < loose * max(len(a), len(b)):
-                out.append(0)
+            if not len(a) or 100 * min(len(a), len(b)) < least * max(len(a), len(b)):
+                out.append(False)
                 continue
             at = np.searchsorted(a, b)
             both = int((a[np.minimum(at, len(a) - 1)] == b).sum())
-            share, union = 100 * both, len(a) + len(b) - both
-            out.append(2 if share >= least * union and both else int(share >= loose * union and both > 0))
+            out.append(both > 0 and 100 * both >= least * (len(a) + len(b) - both))
         return out
 
     return check
@@ -126,7 +124,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: int = 80, bands: int
     # of n minhashes, a pair of similarity 0.8 agrees on at least half, but for a chance below 1e-4
     bar = int(np.ceil(n * (least / 100 - 0.31)))
 
-    near = (lambda x, y: (x == y).sum(1) >= bar), np.uint32
+    def score(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        equal = (x == y).sum(1)
+        return np.where(equal >= bar, equal, 0)
+
+    near = score, np.uint32
 
     def verify(pairs: DataFrame, name: str) -> DataFrame:
         ids = tables.cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), f"{name}-ids")
@@ -139,7 +141,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: int = 80, bands: int
 
     counts = every.where("id is not null and digest is not null").agg(F.count("*")).first()[0]
     repeated = counts != one.count()
-    _, found = link(tables, classes.select("id", "sig"), tensored_keys(bands, rows), near, verify)
+    found = link(tables, classes.select("id", "sig"), tensored_keys(bands, rows), near, verify)
     group = classes.join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     member = tables.cut(one.select("id", "digest").join(group, "digest").select("id", "component"), "members")
     out = every.select("id", "n_shingles").join(member, "id", "left")

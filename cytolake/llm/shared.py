@@ -16,17 +16,25 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="cytolake-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Long texts fill an Arrow batch by their bytes, so that a worker never holds ten thousand of them."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 class Tables:
     """Written intermediate tables of one run. ``cut`` writes a frame and reads it back: lineage ends there and a lost
     executor costs no recomputation. ``drop`` removes tables that the returned frame no longer reads."""
 
     def __init__(self, spark: SparkSession):
+        small_batches(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/cytolake-{uuid.uuid4().hex}"
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:
@@ -46,6 +54,7 @@ class Tables:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -55,3 +55,31 @@ def shingle_set(text, width: int, lower: bool = True) -> np.ndarray:
     """Sorted distinct shingle hashes of a whole text; A-Z is lower-cased first."""
     data = encode(text)
     return np.unique(shingles(hashes((data.lower() if lower else data).split()), width))
+
+
+_ODD = 0x9FB21C651E98DF25
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * _MIX)
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2**64, up to n of each."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        steps = np.empty((2, n), np.uint64)
+        steps[0, 1:], steps[1, 1:], steps[:, 0] = _ODD, pow(_ODD, -1, 2**64), 1
+        with np.errstate(over="ignore"):
+            found = list(np.multiply.accumulate(steps, axis=1))
+        if n > 1 << 21:
+            return found
+        _POWERS[:] = found
+    return _POWERS
+
+
+def run_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the ranges start to end of bytes, none empty: equal ones for equal bytes. A sum of the bytes' values, each times the
+    power of its place, is divided by the power of the start."""
+    powers, inverse = _powers(len(data))
+    with np.errstate(over="ignore"):
+        total = np.cumsum(_BYTES[data] * powers[: len(data)], dtype=np.uint64)
+        before = np.where(start > 0, total[start - 1], np.uint64(0))
+        return mix((total[end - 1] - before) * inverse[start] + (end - start).astype(np.uint64))

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cytolake.llm import linededup, mainpage, mixing, neardup, packing, quality, repetition, secrets, topk, toxicity
+from cytolake.llm.words import run_hashes
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id long, row long, sig string, score double, size long, src string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -102,11 +103,30 @@ def test_edit_distance_and_simhash():
         most = rng.randint(0, 12)
         assert linededup.edit_distance(a, b, most) == min(direct(a, b), most + 1)
     lines = [prose(k, n).encode() for k, n in enumerate((5, 600, 20, 255, 256))]
-    for line, got in zip(lines, linededup.simhash(lines), strict=True):
-        h = linededup.hashes(line.split())
-        with np.errstate(over="ignore"):
-            octets = np.stack([linededup.mix(h + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)) for k in range(linededup.BITS // 64)], 1)
-        assert (np.packbits(2 * np.unpackbits(octets.view(np.uint8), axis=1).sum(0, dtype=int) > len(h)) == got).all()
+    size = np.array([len(line.split()) for line in lines])
+    h = linededup.mix(np.arange(size.sum(), dtype=np.uint64))
+    start = np.cumsum(size) - size
+    for n, at, got in zip(size, start, linededup.simhash(h, start, size), strict=True):
+        both = np.stack([h[at : at + n], linededup.mix(h[at : at + n] + np.uint64(0x9E3779B97F4A7C15))], 1).view(np.uint8)[:, : linededup.BITS // 8]
+        assert (np.packbits(2 * np.unpackbits(both, axis=1).sum(0, dtype=int) > n) == got).all()
+
+
+def test_word_hashes_and_signatures():
+    rng = random.Random(8)
+    words = ["".join(rng.choice("ab é漢") for _ in range(rng.randint(1, 6))).strip() or "x" for _ in range(3000)]
+    data = np.frombuffer(" ".join(words).encode() + b" ", np.uint8)
+    end = np.flatnonzero(data == 32)
+    parts = " ".join(words).split(" ")
+    held = [i for i, w in enumerate(parts) if w]
+    h = run_hashes(data, np.r_[0, end[:-1] + 1][held], end[held])
+    by: dict = {}
+    for i, x in zip(held, h.tolist(), strict=True):
+        assert by.setdefault(parts[i], x) == x
+    assert len(set(by.values())) == len(by)
+    lines = [prose(k, n).encode() for k, n in enumerate((1, 7, 8, 11, 12, 300, 5, 9))] + ["今日は天気がとても良いので公園まで散歩に行きました".encode()]
+    whole = linededup.signature(lines)
+    for line, got in zip(lines, whole, strict=True):  # alone as among others
+        assert (linededup.signature([line])[0] == got).all()
 
 
 def test_mixing(docs, none):

@@ -1,14 +1,17 @@
-"""Pairs that share a key with a far centre, and nothing else, are found."""
+"""Pairs that share a key with a far smallest item, and nothing else, are found; so are components of any shape."""
+
+import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from cytolake.llm import linking
+from cytolake.llm import linking, neardup
 from cytolake.llm.shared import Tables
 
 
 def _linked(spark, rows):
-    """Components of items whose signature is (key, value): similar up to a difference of 2, loose up to 4."""
+    """Components of items whose signature is (key, value): similar up to a difference of 2, likely up to 4."""
     sig = lambda k, v: np.array([k, v], np.int64).tobytes()
     items = spark.createDataFrame([(i, bytearray(sig(k, v))) for i, k, v in rows], "id long, sig binary")
     read = lambda sigs: np.frombuffer(b"".join(sigs), np.int64).reshape(len(sigs), 2)
@@ -16,11 +19,10 @@ def _linked(spark, rows):
 
     def verify(pairs, name):
         a, b = (value.select(F.col("id").alias(x), F.col("v").alias(f"v{x}")) for x in "ab")
-        d = F.abs(F.col("va") - F.col("vb"))
-        return pairs.join(a, "a").join(b, "b").where(d <= 4).select("a", "b", (d <= 2).alias("strong"))
+        return pairs.join(a, "a").join(b, "b").where("abs(va - vb) <= 2").select("a", "b")
 
-    near = (lambda x, y: np.abs(x[:, 1] - y[:, 1]) <= 4), np.int64
-    _, found = linking.link(Tables(spark), items, lambda sigs: read(sigs)[:, :1], near, verify)
+    near = (lambda x, y: np.maximum(0, 5 - np.abs(x[:, 1] - y[:, 1]))), np.int64
+    found = linking.link(Tables(spark), items, lambda sigs: read(sigs)[:, :1], near, verify)
     return {r["id"]: r["component"] for r in found.collect()}
 
 
@@ -29,8 +31,40 @@ def test_similar_items_of_a_far_centre(spark):
     assert _linked(spark, rows) == {i: i - 1 for i in range(2, 41, 2)}
 
 
-def test_hot_key_of_far_families_in_tiles(spark, monkeypatch):
+@pytest.mark.parametrize("gather", [8, 8192])
+def test_hot_key_of_far_families_in_tiles(spark, monkeypatch, gather):
     monkeypatch.setattr(linking, "TILE", 16)
+    monkeypatch.setattr(linking, "WINDOWS", (1, 2))
+    monkeypatch.setattr(linking, "GATHER", gather)
     rows = [(i, 7, 100 * (i % 150)) for i in range(300)]
     found = _linked(spark, rows)
     assert all(found.get(i, i) == i % 150 for i in range(300))
+
+
+def test_chains_and_several_keys(spark, monkeypatch):
+    monkeypatch.setattr(linking, "TILE", 8)
+    monkeypatch.setattr(linking, "WINDOWS", (1,))
+    rng = random.Random(5)
+    rows = [(i, rng.randint(0, 3), rng.randint(0, 250)) for i in range(200)]
+    want = {i: i for i, _, _ in rows}
+    for _ in rows:
+        for i, k, v in rows:
+            for j, m, w in rows:
+                if k == m and abs(v - w) <= 2:
+                    want[i] = want[j] = min(want[i], want[j])
+    found = _linked(spark, rows)
+    assert {i: found.get(i, i) for i in want} == want
+
+
+def test_pieces_of_a_text_and_its_copies(spark):
+    """Documents of half of a text's segments have the smallest ids and share keys with all; its near copies find each other."""
+    rng = random.Random(4)
+    segments = [" ".join(f"w{s}x{k}" for k in range(12)) for s in range(120)]
+    rows = [" ".join(segments[s] for s in sorted(rng.sample(range(120), 66))) for _ in range(300)]
+    for k in range(20):
+        words = " ".join(segments).split()
+        for at in rng.sample(range(len(words)), 12):
+            words[at] = f"new{k}x{at}"
+        rows.append(" ".join(words))
+    got = neardup.near_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), width=4).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: min(i, 300) for i in range(320)}
