@@ -178,15 +178,18 @@ def _compared(keys_of: Callable, score: Callable, kind: type):
     return run
 
 
-def _tiles(score: Callable, kind: type, lo: int, hi: int | None):
+def _tiles(keys_of: Callable, score: Callable, kind: type, lo: int, hi: int | None):
     """Pairs (a, b) of items of different components that may be similar: of each left item those with the places lo to hi in the
-    order of its likely partners in a tile. Rows (key) alone tell that a tile has more. In: (key, i, j, left, id, component,
-    sig) sorted by tile."""
+    order of its likely partners in a tile. A pair belongs to the tile of the smallest key that both have: that key is open
+    too, or they are its only items and have been compared. Rows (key) alone tell that a tile has more. In: (key, i, j, left,
+    id, component, sig) sorted by tile."""
 
     def meet(rows: pa.Table) -> tuple[np.ndarray, set[int]]:
         key, i, j, ids, component = (rows.column(c).to_numpy() for c in (0, 1, 2, 4, 5))
         left = rows.column(3).to_numpy()
-        sig = np.frombuffer(b"".join(rows.column(6).to_pylist()), kind).reshape(len(ids), -1)
+        packed = rows.column(6).to_pylist()
+        sig = np.frombuffer(b"".join(packed), kind).reshape(len(ids), -1)
+        own_keys = np.sort(keys_of(packed), axis=1)
         ends = np.r_[np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1, len(ids)]
         out, more, at = [np.zeros((0, 2), np.int64)], set(), 0
         for end in ends.tolist():
@@ -201,6 +204,11 @@ def _tiles(score: Callable, kind: type, lo: int, hi: int | None):
                         continue
                     s = score(np.broadcast_to(sig[u], r.shape), r)
                     near = np.flatnonzero(s > 0)
+                    if len(near):
+                        mine = own_keys[u][own_keys[u] < key[at]]
+                        if len(mine):
+                            theirs = own_keys[right[near]]
+                            near = near[~(mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs).any(1)]
                     near = near[np.lexsort((ids[right[near]], -s[near]))]
                     if hi is not None and other[near[hi:]].any():
                         more.add(int(key[at]))
@@ -289,7 +297,7 @@ def link(
             break
         rows = tiles.join(found, "id", "left").select("key", "i", "j", "left", "id", F.coalesce("component", "id").alias("component")).join(items, "id")
         rows = rows.select("key", "i", "j", "left", "id", "component", "sig").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        met = tables.cut(rows.mapInArrow(_tiles(*near, lo, hi), "a long, b long, key long"), f"{name}-met{turn}")
+        met = tables.cut(rows.mapInArrow(_tiles(keys_of, *near, lo, hi), "a long, b long, key long"), f"{name}-met{turn}")
         more = tables.cut(met.where("key is null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), f"{name}-more{turn}")
         if not more.isEmpty():
             edges = verify(more, f"{name}-verify{turn}")

@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 
 from .linking import link, verified
 from .shared import Tables, semi
-from .words import mix, shingle_set
+from .words import mix, shingle_sets
 
+#: Texts that are looked at together.
+_TEXTS = 128
 _FEATURES = "id long, n_shingles long, digest binary, sig binary"
 
 
@@ -68,9 +70,9 @@ def tensored_keys(bands: int, rows: int):
 def _features(width: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                sets = [shingle_set(t, width) for t in part.column(1).to_pylist()]
+            for lo in range(0, batch.num_rows, _TEXTS):
+                part = batch.slice(lo, _TEXTS)
+                sets = shingle_sets(part.column(1).to_pylist(), width)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 sig: list = [None] * len(sets)
                 if full:
@@ -86,9 +88,9 @@ def _features(width: int, n: int):
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                data = [shingle_set(t, width).tobytes() for t in part.column(1).to_pylist()]
+            for lo in range(0, batch.num_rows, _TEXTS):
+                part = batch.slice(lo, _TEXTS)
+                data = [x.tobytes() for x in shingle_sets(part.column(1).to_pylist(), width)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(data, pa.binary())], ["id", "data"])
 
     return run

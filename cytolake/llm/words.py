@@ -1,35 +1,17 @@
 """Words of whole texts and their hashes, by batches. A word is a run of ``[^\\x20\\x09-\\x0D]``: exactly what
-``bytes.split()`` gives on UTF-8."""
+``bytes.split()`` separates in UTF-8."""
 
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 
-#: Words that one Python worker remembers; beyond that the memory is dropped and filled again.
-CACHE_WORDS = 400_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_HASHES = _Hashes()
-
-
 def encode(text) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
-def hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     with np.errstate(over="ignore"):
@@ -51,10 +33,8 @@ def shingles(h: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def shingle_set(text, width: int, lower: bool = True) -> np.ndarray:
-    """Sorted distinct shingle hashes of a whole text; A-Z is lower-cased first."""
-    data = encode(text)
-    return np.unique(shingles(hashes((data.lower() if lower else data).split()), width))
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 _ODD = 0x9FB21C651E98DF25
@@ -83,3 +63,23 @@ def run_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
         total = np.cumsum(_BYTES[data] * powers[: len(data)], dtype=np.uint64)
         before = np.where(start > 0, total[start - 1], np.uint64(0))
         return mix((total[end - 1] - before) * inverse[start] + (end - start).astype(np.uint64))
+
+
+def shingle_sets(texts: list, width: int, lower: bool = True) -> list[np.ndarray]:
+    """Of each whole text the sorted distinct hashes of its shingles; A-Z is lower-cased first."""
+    parts = [x.lower() if lower else x for x in map(encode, texts)]
+    data = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
+    space = _SPACE[data]
+    after = np.r_[True, space[:-1]]
+    start, end = np.flatnonzero(~space & after), np.flatnonzero(space & ~after)
+    if not len(start):
+        return [np.zeros(0, np.uint64)] * len(texts)
+    h = run_hashes(data, start, end)
+    edge = np.searchsorted(start, np.cumsum([0, *(len(x) + 1 for x in parts)])).tolist()
+    whole = shingles(h, width) if len(h) >= width else h[:0]
+    out = []
+    for a, b in zip(edge, edge[1:], strict=False):
+        found = whole[a : b - width + 1] if b - a >= width else shingles(h[a:b], width)
+        found = np.sort(found)
+        out.append(found[np.r_[True, found[1:] != found[:-1]]] if len(found) > 1 else found)
+    return out
