@@ -27,10 +27,8 @@ from pyspark.sql import functions as F
 
 from .linking import link, verified
 from .shared import Tables, semi
-from .words import mix, shingle_sets
+from .words import mix, runs, shingle_sets
 
-#: Texts that are looked at together.
-_TEXTS = 128
 _FEATURES = "id long, n_shingles long, digest binary, sig binary"
 
 
@@ -70,9 +68,10 @@ def tensored_keys(bands: int, rows: int):
 def _features(width: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, _TEXTS):
-                part = batch.slice(lo, _TEXTS)
-                sets = shingle_sets(part.column(1).to_pylist(), width)
+            texts = batch.column(1).to_pylist()
+            for lo, hi in runs(texts):
+                part = batch.slice(lo, hi - lo)
+                sets = shingle_sets(texts[lo:hi], width)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 sig: list = [None] * len(sets)
                 if full:
@@ -88,10 +87,10 @@ def _features(width: int, n: int):
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, _TEXTS):
-                part = batch.slice(lo, _TEXTS)
-                data = [x.tobytes() for x in shingle_sets(part.column(1).to_pylist(), width)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(data, pa.binary())], ["id", "data"])
+            texts = batch.column(1).to_pylist()
+            for lo, hi in runs(texts):
+                data = [x.tobytes() for x in shingle_sets(texts[lo:hi], width)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(data, pa.binary())], ["id", "data"])
 
     return run
 

@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -83,3 +85,16 @@ def shingle_sets(texts: list, width: int, lower: bool = True) -> list[np.ndarray
         found = np.sort(found)
         out.append(found[np.r_[True, found[1:] != found[:-1]]] if len(found) > 1 else found)
     return out
+
+
+def runs(texts: list, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that hold about ``most`` characters together; a longer text is alone."""
+    lo, size = 0, 0
+    for i, t in enumerate(texts):
+        n = 64 + len(t or "")
+        if i > lo and size + n > most:
+            yield lo, i
+            lo, size = i, 0
+        size += n
+    if lo < len(texts):
+        yield lo, len(texts)
