@@ -5,10 +5,12 @@ fewer than ``min_words`` words and fewer than ``LONG`` bytes are grouped by thei
 normalised lines are one class by a 128-bit hash. Of every other class a ``BITS``-bit SimHash of its words is cut into
 ``BLOCKS`` pigeonhole blocks: two fingerprints that differ in fewer bits than there are blocks share one. An edit
 similarity of ``least`` percent is far beyond that bound, so the join has ``MINIMA`` further keys a line, the smallest
-hashes of its windows: of three words, and for lines of few words also of ``GRAM`` characters. Classes with a common key are
-candidates. Those pass whose lengths and counts of character pairs allow the edit distance (bounds that lose nothing),
-and the distance of the normalised lines itself confirms a similarity (1 - distance / longer length) of at least ``least``
-percent. Groups are the connected components; how keys that many lines share are treated is told in ``linking``.
+hashes of its windows: of characters in lines of few words, of three words in longer and of five in long ones, with two kinds
+in between. Classes with a common key are candidates. Those pass whose lengths allow the edit distance and, in lines of few
+words, whose counts of character pairs do (bounds that lose nothing); of long lines at most about ``CHANGED`` percent of the
+words may differ. The distance of the normalised lines itself confirms a similarity (1 - distance / longer length) of at
+least ``least`` percent. So long lines in which most words are misspelt are not found. Groups are the connected components;
+how keys that many lines share are treated is told in ``linking``.
 
 Within a group the first occurrence stays, in order of (document id, line number); all others go from their documents, whose
 other lines keep their text and order. Only the few numbers of a line occurrence are shuffled, the texts of candidates
@@ -35,12 +37,15 @@ from .shared import Tables, small_enough
 from .words import encode, mix, run_hashes
 
 BITS, BLOCKS = 96, 3
-#: Keys of the windows of a line; characters of a short line's windows and words of a long one's.
-MINIMA, GRAM, SHINGLE = 8, 6, 3
-#: Lines of fewer than FEW words have windows of characters, those of MANY or more windows of words, those between half and half.
-MANY, FEW = 8, 12
-#: Character pairs are counted in so many bins.
-BINS = 64
+#: Keys of the windows of a line.
+MINIMA = 8
+#: Kinds of windows: their width and the numbers of words from which and below which a line has them. A line with two kinds
+#: has half of the keys of each.
+CHARACTERS, THREE, FIVE = (6, 0, 10), (3, 7, 25), (5, 16, 1 << 31)
+#: Lines of so many words are compared by their words, shorter ones by pairs of characters, counted in so many bins.
+WORDY, BINS = 8, 128
+#: So many percent of the words of a long line may differ, and two more.
+CHANGED = 30
 #: Lines of few words are compared too if they have so many bytes of UTF-8: scripts without spaces have long words.
 LONG = 24
 _OCCURRENCES = "doc_id long, row long, line long, h binary, sig binary"
@@ -118,24 +123,32 @@ def signature(lines: list[bytes]) -> np.ndarray:
     of = np.cumsum(apart)
     length = np.bincount(of[~apart], minlength=len(lines))
     code, of = points[~apart].astype(np.uint64), of[~apart]
-    half = (size >= MANY) & (size < FEW)
-    long = np.where(size < MANY, 0, np.where(half, MINIMA // 2, MINIMA))
-    keys = minima(h, owner, SHINGLE, len(lines), long)
-    few = np.flatnonzero(size < FEW)
-    if len(few):
+    share = np.full(len(lines), MINIMA)
+    share[(size >= THREE[1]) & (size < CHARACTERS[2]) | (size >= FIVE[1]) & (size < THREE[2])] //= 2
+    keys, filled = np.zeros((len(lines), MINIMA), np.int64), np.zeros(len(lines), bool)
+    for (width, least, most), (x, owned) in ((CHARACTERS, (code, of)), (THREE, (h, owner)), (FIVE, (h, owner))):
+        has = np.flatnonzero((size >= least) & (size < most))
+        if not len(has):
+            continue
         place = np.full(len(lines), -1)
-        place[few] = np.arange(len(few))
-        mine = place[of] >= 0
-        short = minima(mix(code[mine]), place[of[mine]], GRAM, len(few), (MINIMA - long)[few])
-        keys[few] = np.where(half[few, None], np.c_[keys[few, : MINIMA // 2], short[:, : MINIMA // 2]], short)
-    inside = of[1:] == of[:-1]
-    pair = (code[:-1] * np.uint64(1000003) + code[1:]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(58)
-    counts = np.bincount(of[:-1][inside] * BINS + pair[inside].astype(np.int64), minlength=len(lines) * BINS).reshape(-1, BINS)
-    counts = np.minimum(counts, 255).astype(np.uint8)
-    return np.concatenate([prints, keys.view(np.uint8), length.astype(np.uint32)[:, None].view(np.uint8), counts], 1)
-
-
-_KEYS, _LENGTH, _COUNTS = BITS // 8, BITS // 8 + 8 * MINIMA, BITS // 8 + 8 * MINIMA + 4
+        place[has] = np.arange(len(has))
+        mine = place[owned] >= 0
+        got = minima(mix(x[mine]) if x is code else x[mine], place[owned[mine]], width, len(has), share[has])
+        second = filled[has]
+        keys[has[~second]] = got[~second]
+        keys[has[second], MINIMA // 2 :] = got[second, : MINIMA // 2]
+        filled[has] = True
+    wordy = size >= WORDY
+    inside = (of[1:] == of[:-1]) & ~wordy[of[1:]]
+    pair = mix(code[:-1] * np.uint64(1000003) + code[1:]) % np.uint64(BINS)
+    at = of[:-1][inside] * BINS + pair[inside].astype(np.int64)
+    at = np.r_[at, (owner * BINS + (h % np.uint64(BINS)).astype(np.int64))[wordy[owner]]]
+    counts = np.minimum(np.bincount(at, minlength=len(lines) * BINS).reshape(-1, BINS), 255).astype(np.uint8)
+    numbers = np.stack([length, size], 1).astype(np.uint32)
+    return np.concatenate([prints, keys.view(np.uint8), numbers.view(np.uint8), counts], 1)
+
+
+_KEYS, _LENGTH, _COUNTS = BITS // 8, BITS // 8 + 8 * MINIMA, BITS // 8 + 8 * MINIMA + 8
 
 
 def line_keys(signatures: list[bytes]) -> np.ndarray:
@@ -149,18 +162,19 @@ def line_keys(signatures: list[bytes]) -> np.ndarray:
 
 
 def may_be_similar(least: int):
-    """A score of rows of two signatures: above 0 if lengths and counts of character pairs allow the edit similarity. An edit changes the length by one
-    at most and the counts by four; counts that stop at 255 differ by less, never by more."""
+    """A score of rows of two signatures: above 0 if they may have the edit similarity, by length and counts. An edit changes
+    the length by one at most and the counts of character pairs by four; counts that stop at 255 differ by less, never by more."""
 
     def score(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        a, b = (np.ascontiguousarray(z[:, _LENGTH:_COUNTS]).view(np.uint32)[:, 0].astype(np.int64) for z in (x, y))
-        longer = np.maximum(a, b)
-        most = (100 - least) * longer // 100
+        (a, m), (b, n) = (np.ascontiguousarray(z[:, _LENGTH:_COUNTS]).view(np.uint32).astype(np.int64).T for z in (x, y))
+        most = (100 - least) * np.maximum(a, b) // 100
+        words, both = np.maximum(m, n), (m >= WORDY) & (n >= WORDY)
+        bound = np.where(both, 2 * (CHANGED * words // 100 + 2), np.where(words < WORDY, 4 * most, 1 << 31))
         out = np.zeros(len(x), np.int64)
         at = np.flatnonzero(np.abs(a - b) <= most)
         u, v = x[at, _COUNTS:], y[at, _COUNTS:]
         apart = (np.maximum(u, v) - np.minimum(u, v)).sum(1, dtype=np.int64)
-        out[at] = np.where(apart <= 4 * most[at], 1 + 1000 * (4 * most[at] - apart) // np.maximum(1, longer[at]), 0)
+        out[at] = np.where(apart <= bound[at], 1 + np.maximum(0, 1000 - 1000 * apart // np.maximum(1, np.where(both, m + n, a + b)[at])), 0)
         return out
 
     return score
