@@ -28,17 +28,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .linking import link, verified
-from .shared import Tables, small_enough
-from .words import encode, mix, run_hashes
+from .shared import Tables, semi, small_enough
+from .words import encode, mix, run_hashes, runs
 
 BITS, BLOCKS = 96, 3
 #: Keys of the windows of a line.
-MINIMA = 8
+MINIMA = 6
 #: Kinds of windows: their width and the numbers of words from which and below which a line has them. A line with two kinds
 #: has half of the keys of each.
 CHARACTERS, THREE, FIVE = (6, 0, 10), (3, 7, 25), (5, 16, 1 << 31)
@@ -48,15 +49,15 @@ WORDY, BINS = 8, 128
 CHANGED = 30
 #: Lines of few words are compared too if they have so many bytes of UTF-8: scripts without spaces have long words.
 LONG = 24
-_OCCURRENCES = "doc_id long, row long, line long, h binary, sig binary"
+_OCCURRENCES = "doc_id long, row long, line long, h binary, id long, sig binary"
 #: Signs become spaces and digits 0; letters are lower-cased before.
 _PLAIN = bytes(48 if 48 <= c <= 57 else c if c == 10 or c >= 128 or 97 <= c <= 122 or 65 <= c <= 90 else 32 for c in range(256))
 #: So many words are counted in one byte; longer lines are summed by parts.
 _PART = 255
 #: The eight bits of each byte as eight counters of a byte.
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).reshape(256)
-#: Texts and new lines that are looked at together.
-_TEXTS, _LINES, _BYTES = 256, 2048, 1 << 19
+#: New lines that are looked at together, and their bytes.
+_LINES, _BYTES = 2048, 1 << 19
 
 
 def lines_of(text) -> list[str]:
@@ -143,7 +144,8 @@ def signature(lines: list[bytes]) -> np.ndarray:
     pair = mix(code[:-1] * np.uint64(1000003) + code[1:]) % np.uint64(BINS)
     at = of[:-1][inside] * BINS + pair[inside].astype(np.int64)
     at = np.r_[at, (owner * BINS + (h % np.uint64(BINS)).astype(np.int64))[wordy[owner]]]
-    counts = np.minimum(np.bincount(at, minlength=len(lines) * BINS).reshape(-1, BINS), 255).astype(np.uint8)
+    counts = np.minimum(np.bincount(at, minlength=len(lines) * BINS).reshape(-1, BINS), 15).astype(np.uint8)
+    counts = counts[:, ::2] | counts[:, 1::2] << 4
     numbers = np.stack([length, size], 1).astype(np.uint32)
     return np.concatenate([prints, keys.view(np.uint8), numbers.view(np.uint8), counts], 1)
 
@@ -163,7 +165,7 @@ def line_keys(signatures: list[bytes]) -> np.ndarray:
 
 def may_be_similar(least: int):
     """A score of rows of two signatures: above 0 if they may have the edit similarity, by length and counts. An edit changes
-    the length by one at most and the counts of character pairs by four; counts that stop at 255 differ by less, never by more."""
+    the length by one at most and the counts of character pairs by four; counts that stop at 15 differ by less, never by more."""
 
     def score(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         (a, m), (b, n) = (np.ascontiguousarray(z[:, _LENGTH:_COUNTS]).view(np.uint32).astype(np.int64).T for z in (x, y))
@@ -172,8 +174,8 @@ def may_be_similar(least: int):
         bound = np.where(both, 2 * (CHANGED * words // 100 + 2), np.where(words < WORDY, 4 * most, 1 << 31))
         out = np.zeros(len(x), np.int64)
         at = np.flatnonzero(np.abs(a - b) <= most)
-        u, v = x[at, _COUNTS:], y[at, _COUNTS:]
-        apart = (np.maximum(u, v) - np.minimum(u, v)).sum(1, dtype=np.int64)
+        u, v = (np.concatenate([z & 15, z >> 4], 1).view(np.int8) for z in (x[at, _COUNTS:], y[at, _COUNTS:]))
+        apart = np.abs(u - v).sum(1, dtype=np.int64)
         out[at] = np.where(apart <= bound[at], 1 + np.maximum(0, 1000 - 1000 * apart // np.maximum(1, np.where(both, m + n, a + b)[at])), 0)
         return out
 
@@ -253,15 +255,18 @@ def _parts(new: list[tuple[int, bytes]]) -> Iterator[list[tuple[int, bytes]]]:
 
 
 def _occurrences(min_words: int):
-    """The lines of a task; a class's signature stands at its first line of each batch."""
+    """The lines of a task; a class's signature stands, under an id of its own, at its first line of each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        given = (context.partitionId() if context else 0) << 40
         for batch in batches:
             seen: set[bytes] = set()
-            for lo in range(0, batch.num_rows, _TEXTS):
+            texts = batch.column(2).to_pylist()
+            for lo, hi in runs(texts):
                 rows: list[tuple] = []
                 new: list[tuple[int, bytes]] = []
-                for doc, row, text in zip(*(batch.column(i).slice(lo, _TEXTS).to_pylist() for i in range(3)), strict=True):
+                for doc, row, text in zip(*(batch.column(i).slice(lo, hi - lo).to_pylist() for i in range(2)), texts[lo:hi], strict=True):
                     for i, flat in enumerate(normalised(text)):
                         if not flat:
                             continue
@@ -274,12 +279,14 @@ def _occurrences(min_words: int):
                 if not rows:
                     continue
                 sig: list = [None] * len(rows)
+                ids: list = [None] * len(rows)
                 for part in _parts(new):
                     for (at, _), s in zip(part, signature([f for _, f in part]), strict=True):
-                        sig[at] = s.tobytes()
+                        sig[at], ids[at] = s.tobytes(), given
+                        given += 1
                 doc, row, line, h = zip(*rows, strict=True)
-                cols = [*(pa.array(c, pa.int64()) for c in (doc, row, line)), pa.array(h, pa.binary()), pa.array(sig, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "row", "line", "h", "sig"])
+                cols = [*(pa.array(c, pa.int64()) for c in (doc, row, line)), pa.array(h, pa.binary()), pa.array(ids, pa.int64()), pa.array(sig, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "row", "line", "h", "id", "sig"])
 
     return run
 
@@ -311,20 +318,20 @@ def _by_row(docs: DataFrame, rows: DataFrame, row_bytes: int, held: str, how: st
     return joined.drop("__d", "__r")
 
 
-def line_groups(docs: DataFrame, classes: DataFrame, tables: Tables, least: int) -> DataFrame:
-    """(id, component) of the classes of lines that are linked with a smaller one. docs: doc_id, row, text."""
+def line_groups(docs: DataFrame, items: DataFrame, tables: Tables, least: int) -> DataFrame:
+    """(id, component) of the lines that are linked with one of a smaller id. docs: doc_id, row, text; items: id, sig, doc_id, row, line."""
 
     def verify(pairs: DataFrame, name: str) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        places = classes.join(F.broadcast(ids) if small_enough(ids, 16) else ids, "id", "left_semi").select("first.doc_id", "first.row", F.struct("id", "first.line").alias("x"))
+        ids = tables.cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), f"{name}-ids")
+        places = semi(items, ids, "id").select("doc_id", "row", F.struct("id", "line").alias("x"))
         places = tables.cut(places.groupBy("doc_id", "row").agg(F.collect_list("x").alias("wanted")), f"{name}-places")
         held = _by_row(docs.where("text is not null"), places, 16, "wanted", "inner").select("text", "wanted").mapInArrow(_chosen, "id long, data binary")
         payload = tables.cut(held.dropDuplicates(["id"]), f"{name}-lines")
         edges = tables.cut(verified(pairs, payload, similar_lines(least)), f"{name}-kept")
-        tables.drop(f"{name}-lines", f"{name}-places")
+        tables.drop(f"{name}-lines", f"{name}-places", f"{name}-ids")
         return edges
 
-    return link(tables, classes.where("sig is not null"), line_keys, (may_be_similar(least), np.uint8), verify, "lines")
+    return link(tables, items, line_keys, (may_be_similar(least), np.uint8), verify, "lines")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 5, least: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -336,21 +343,22 @@ def dedup_lines(docs: DataFrame, min_words: int = 5, least: int = 80, id_col: st
     row = F.xxhash64(doc_id, body)
     texts = flat.select(F.col(doc_id).cast("long").alias("doc_id"), row.alias("row"), F.col(body).alias("text"))
     seen = tables.cut(texts.mapInArrow(_occurrences(min_words), _OCCURRENCES), "occurrences")
-    place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row", "line")
-    # ids are given when the table is written, and read from there
-    classes = seen.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max("sig").alias("sig"))
-    classes = tables.cut(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
-    tables.free()
-    found = line_groups(texts, classes, tables, least)
+    # a class's smallest id stands for it; the few others come from lines that several batches hold
+    signed = seen.where("id is not null")
+    classes = tables.cut(signed.groupBy("h").agg(F.min("id").alias("id")), "classes")
+    spare = tables.cut(signed.select("h", F.col("id").alias("own")).join(classes, "h").where("own <> id").select(F.col("own").alias("id")), "spare")
+    items = signed.join(F.broadcast(spare) if small_enough(spare, 16) else spare, "id", "left_anti")
+    found = line_groups(texts, items, tables, least)
     linked = found.unionByName(found.select(F.col("component").alias("id"), "component").distinct())
-    linked = tables.cut(classes.drop("sig").join(linked, "id"), "linked")
-    first = linked.groupBy("component").agg(F.min("first").alias("keep"))
-    alone = classes.where("n > 1").join(linked.select("id"), "id", "left_anti").select("h", F.col("first").alias("keep"))
-    affected = tables.cut(linked.join(first, "component").select("h", "keep").unionByName(alone), "affected")
-    again = seen.select("doc_id", "row", "line", "h").join(F.broadcast(affected) if small_enough(affected, 80) else affected, "h")
-    again = again.where("not (doc_id <=> keep.doc_id and row = keep.row and line = keep.line)")
-    gone = tables.cut(again.groupBy("doc_id", "row").agg(F.collect_set("line").alias("gone")), "gone")
-    tables.drop("occurrences", "classes", "linked", "affected", "lines-found")
+    linked = classes.join(linked, "id").select("h", F.col("component").cast("string").cast("binary").alias("group"))
+    again = seen.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").join(linked, "h", "full").select("h", F.coalesce("group", "h").alias("group"))
+    again = tables.cut(again, "affected")
+    places = seen.select("doc_id", "row", "line", "h").join(F.broadcast(again) if small_enough(again, 48) else again, "h")
+    places = tables.cut(places.select("group", F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row", "line").alias("place")), "places")
+    first = tables.cut(places.groupBy("group").agg(F.min("place").alias("keep")), "first")
+    later = places.join(F.broadcast(first) if small_enough(first, 64) else first, "group").where("not (place <=> keep)").select("place.*")
+    gone = tables.cut(later.groupBy("doc_id", "row").agg(F.collect_set("line").alias("gone")), "gone")
+    tables.drop("occurrences", "classes", "spare", "affected", "places", "first", "lines-found")
     tables.free()
     joined = _by_row(flat.withColumns({"row": row, "doc_id": F.col(doc_id).cast("long")}), gone, 8, "gone", "left").drop("row", "doc_id")
     schema = T.StructType([*[f for f in flat.schema.fields], T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Tables, small_enough
+from .shared import Tables, semi, small_enough
 
 #: Items of an open key meet in tiles of at most about so many by so many.
 TILE = 4096
@@ -285,9 +285,15 @@ def link(
     items = items.select("id", "sig")
     keyed = items.mapInArrow(lambda it: _local_stars(it, keys_of), _STARRED)
     met = keyed.repartition("key").sortWithinPartitions("key", "a").mapInArrow(_stars, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+    met = tables.cut(met, f"{name}-stars")
+    tables.free()
+    # from here on only items that share a key with another
+    ends = tables.cut(met.select(F.col("a").alias("id")).unionByName(met.select(F.col("b").alias("id"))).distinct(), f"{name}-ids")
+    items = tables.cut(semi(items, ends, "id"), f"{name}-ends")
     a, b = (items.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
     met = met.join(a, "a").join(b, "b").select("a", "b", "more", "sig_a", "sig_b")
     pairs = tables.cut(met.mapInArrow(_compared(keys_of, *near), "a long, b long, near boolean, keys array<long>").where("near or keys is not null"), f"{name}-pairs")
+    tables.drop(f"{name}-stars", f"{name}-ids")
     tables.free()
     tested = pairs.where("near").select("a", "b")
     found = tables.cut(components(tables, verify(tested, f"{name}-verify"), f"{name}-cc"), f"{name}-found")
@@ -307,7 +313,7 @@ def link(
         if left.isEmpty():
             break
         tiles = tiles.join(F.broadcast(left) if small_enough(left, 16) else left, "key", "left_semi")
-    tables.drop(f"{name}-pairs", f"{name}-tiles")
+    tables.drop(f"{name}-pairs", f"{name}-tiles", f"{name}-ends")
     return found
 
 
