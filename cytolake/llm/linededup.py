@@ -6,8 +6,8 @@ normalised lines are one class by a 128-bit hash. Of every other class a ``BITS`
 ``BLOCKS`` pigeonhole blocks: two fingerprints that differ in fewer bits than there are blocks share one. An edit
 similarity of ``least`` percent is far beyond that bound, so the join has ``MINIMA`` further keys a line, the smallest
 hashes of its windows: of characters in lines of few words, of three words in longer and of five in long ones, with two kinds
-in between. Classes with a common key are candidates. Those pass whose lengths allow the edit distance and, in lines of few
-words, whose counts of character pairs do (bounds that lose nothing); of long lines at most about ``CHANGED`` percent of the
+in between. Classes with a common key are candidates. Those pass whose lengths and counts of character
+pairs allow the edit distance (bounds that lose nothing); of lines with WORDY words at most about ``CHANGED`` percent of the
 words may differ. The distance of the normalised lines itself confirms a similarity (1 - distance / longer length) of at
 least ``least`` percent. So long lines in which most words are misspelt are not found. Groups are the connected components;
 how keys that many lines share are treated is told in ``linking``.
@@ -43,8 +43,8 @@ MINIMA = 6
 #: Kinds of windows: their width and the numbers of words from which and below which a line has them. A line with two kinds
 #: has half of the keys of each.
 CHARACTERS, THREE, FIVE = (6, 0, 10), (3, 7, 25), (5, 16, 1 << 31)
-#: Lines of so many words are compared by their words, shorter ones by pairs of characters, counted in so many bins.
-WORDY, BINS = 8, 128
+#: Pairs of characters are counted in so many bins, and words in so many; two lines of WORDY words are compared by both.
+PAIRS, BINS, WORDY = 64, 128, 5
 #: So many percent of the words of a long line may differ, and two more.
 CHANGED = 30
 #: Lines of few words are compared too if they have so many bytes of UTF-8: scripts without spaces have long words.
@@ -109,6 +109,18 @@ def minima(x: np.ndarray, owner: np.ndarray, width: int, lines: int, most: np.nd
     return out
 
 
+def _binned(line: np.ndarray, at: np.ndarray, lines: int, bins: int) -> np.ndarray:
+    """(lines, bins / 2) counts up to 15 in half bytes."""
+    counts = np.minimum(np.bincount(line * bins + at, minlength=lines * bins).reshape(-1, bins), 15).astype(np.uint8)
+    return counts[:, ::2] | counts[:, 1::2] << 4
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sums of the differences of counts in half bytes."""
+    u, v = (np.concatenate([z & 15, z >> 4], 1).view(np.int8) for z in (x, y))
+    return np.abs(u - v).sum(1, dtype=np.int64)
+
+
 def signature(lines: list[bytes]) -> np.ndarray:
     """(lines, bytes): fingerprint, keys of the windows, length and counts of character pairs of each line."""
     joined = b"\n".join(lines) + b"\n"
@@ -139,18 +151,16 @@ def signature(lines: list[bytes]) -> np.ndarray:
         keys[has[~second]] = got[~second]
         keys[has[second], MINIMA // 2 :] = got[second, : MINIMA // 2]
         filled[has] = True
-    wordy = size >= WORDY
-    inside = (of[1:] == of[:-1]) & ~wordy[of[1:]]
-    pair = mix(code[:-1] * np.uint64(1000003) + code[1:]) % np.uint64(BINS)
-    at = of[:-1][inside] * BINS + pair[inside].astype(np.int64)
-    at = np.r_[at, (owner * BINS + (h % np.uint64(BINS)).astype(np.int64))[wordy[owner]]]
-    counts = np.minimum(np.bincount(at, minlength=len(lines) * BINS).reshape(-1, BINS), 15).astype(np.uint8)
-    counts = counts[:, ::2] | counts[:, 1::2] << 4
+    inside = of[1:] == of[:-1]
+    pair = (mix(code[:-1] * np.uint64(1000003) + code[1:]) % np.uint64(PAIRS)).astype(np.int64)
+    word = (h % np.uint64(BINS)).astype(np.int64)
+    counts = np.c_[_binned(of[:-1][inside], pair[inside], len(lines), PAIRS), _binned(owner, word, len(lines), BINS)]
     numbers = np.stack([length, size], 1).astype(np.uint32)
     return np.concatenate([prints, keys.view(np.uint8), numbers.view(np.uint8), counts], 1)
 
 
-_KEYS, _LENGTH, _COUNTS = BITS // 8, BITS // 8 + 8 * MINIMA, BITS // 8 + 8 * MINIMA + 8
+_KEYS, _LENGTH = BITS // 8, BITS // 8 + 8 * MINIMA
+_COUNTS, _WORDS = _LENGTH + 8, _LENGTH + 8 + PAIRS // 2
 
 
 def line_keys(signatures: list[bytes]) -> np.ndarray:
@@ -170,13 +180,12 @@ def may_be_similar(least: int):
     def score(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         (a, m), (b, n) = (np.ascontiguousarray(z[:, _LENGTH:_COUNTS]).view(np.uint32).astype(np.int64).T for z in (x, y))
         most = (100 - least) * np.maximum(a, b) // 100
-        words, both = np.maximum(m, n), (m >= WORDY) & (n >= WORDY)
-        bound = np.where(both, 2 * (CHANGED * words // 100 + 2), np.where(words < WORDY, 4 * most, 1 << 31))
-        out = np.zeros(len(x), np.int64)
         at = np.flatnonzero(np.abs(a - b) <= most)
-        u, v = (np.concatenate([z & 15, z >> 4], 1).view(np.int8) for z in (x[at, _COUNTS:], y[at, _COUNTS:]))
-        apart = np.abs(u - v).sum(1, dtype=np.int64)
-        out[at] = np.where(apart <= bound[at], 1 + np.maximum(0, 1000 - 1000 * apart // np.maximum(1, np.where(both, m + n, a + b)[at])), 0)
+        at = at[_apart(x[at, _COUNTS:_WORDS], y[at, _COUNTS:_WORDS]) <= 4 * most[at]]
+        words, both = np.maximum(m, n)[at], ((m >= WORDY) & (n >= WORDY))[at]
+        apart = _apart(x[at, _WORDS:], y[at, _WORDS:])
+        out = np.zeros(len(x), np.int64)
+        out[at] = np.where(~both | (apart <= 2 * (CHANGED * words // 100 + 2)), 1 + np.maximum(0, 1000 - 500 * apart // np.maximum(1, words)), 0)
         return out
 
     return score
