@@ -6,9 +6,9 @@ normalised lines are one class by a 128-bit hash. Of every other class a ``BITS`
 ``BLOCKS`` pigeonhole blocks: two fingerprints that differ in fewer bits than there are blocks share one. An edit
 similarity of ``least`` percent is far beyond that bound, so the join has ``MINIMA`` further keys a line, the smallest
 hashes of its windows: of characters in lines of few words, of three words in longer and of five in long ones, with two kinds
-in between. Classes with a common key are candidates. Those pass whose lengths and counts of character
-pairs allow the edit distance (bounds that lose nothing); of lines with WORDY words at most about ``CHANGED`` percent of the
-words may differ. The distance of the normalised lines itself confirms a similarity (1 - distance / longer length) of at
+in between. Classes with a common key are candidates. Those pass whose lengths and, in lines of few
+words, counts of character pairs allow the edit distance (bounds that lose nothing); of lines with WORDY words no larger share of the words, and two
+more, may differ than of the characters. The distance of the normalised lines itself confirms a similarity (1 - distance / longer length) of at
 least ``least`` percent. So long lines in which most words are misspelt are not found. Groups are the connected components;
 how keys that many lines share are treated is told in ``linking``.
 
@@ -43,10 +43,8 @@ MINIMA = 6
 #: Kinds of windows: their width and the numbers of words from which and below which a line has them. A line with two kinds
 #: has half of the keys of each.
 CHARACTERS, THREE, FIVE = (6, 0, 10), (3, 7, 25), (5, 16, 1 << 31)
-#: Pairs of characters are counted in so many bins, and words in so many; two lines of WORDY words are compared by both.
+#: Pairs of characters of lines of few words are counted in so many bins, and words in so many, which count from WORDY words on.
 PAIRS, BINS, WORDY = 64, 128, 5
-#: So many percent of the words of a long line may differ, and two more.
-CHANGED = 30
 #: Lines of few words are compared too if they have so many bytes of UTF-8: scripts without spaces have long words.
 LONG = 24
 _OCCURRENCES = "doc_id long, row long, line long, h binary, id long, sig binary"
@@ -122,7 +120,7 @@ def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def signature(lines: list[bytes]) -> np.ndarray:
-    """(lines, bytes): fingerprint, keys of the windows, length and counts of character pairs of each line."""
+    """(lines, bytes): fingerprint, keys of the windows, length, number of words, counts of character pairs and of words of each line."""
     joined = b"\n".join(lines) + b"\n"
     data = np.frombuffer(joined, np.uint8)
     end = np.flatnonzero(data <= 32)
@@ -131,11 +129,12 @@ def signature(lines: list[bytes]) -> np.ndarray:
     size = np.bincount(owner)
     h = run_hashes(data, np.r_[0, end[:-1] + 1], end)
     prints = simhash(h, np.cumsum(size) - size, size)
-    points = np.frombuffer(joined.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
-    apart = points == 10
-    of = np.cumsum(apart)
-    length = np.bincount(of[~apart], minlength=len(lines))
-    code, of = points[~apart].astype(np.uint64), of[~apart]
+    inner = (data & 0xC0) == 0x80
+    stop = end[last]
+    length = np.diff(np.r_[0, stop + 1]) - 1 - np.diff(np.r_[0, np.cumsum(inner)[stop]])
+    few = np.flatnonzero(size < CHARACTERS[2])
+    points = np.frombuffer("".join(lines[i].decode("utf-8", "surrogatepass") for i in few.tolist()).encode("utf-32-le", "surrogatepass"), np.uint32)
+    code, of = points.astype(np.uint64), np.repeat(few, length[few])
     share = np.full(len(lines), MINIMA)
     share[(size >= THREE[1]) & (size < CHARACTERS[2]) | (size >= FIVE[1]) & (size < THREE[2])] //= 2
     keys, filled = np.zeros((len(lines), MINIMA), np.int64), np.zeros(len(lines), bool)
@@ -181,11 +180,12 @@ def may_be_similar(least: int):
         (a, m), (b, n) = (np.ascontiguousarray(z[:, _LENGTH:_COUNTS]).view(np.uint32).astype(np.int64).T for z in (x, y))
         most = (100 - least) * np.maximum(a, b) // 100
         at = np.flatnonzero(np.abs(a - b) <= most)
-        at = at[_apart(x[at, _COUNTS:_WORDS], y[at, _COUNTS:_WORDS]) <= 4 * most[at]]
+        short = np.maximum(m, n)[at] < CHARACTERS[2]
+        at = at[~short | (_apart(x[at, _COUNTS:_WORDS], y[at, _COUNTS:_WORDS]) <= 4 * most[at])]
         words, both = np.maximum(m, n)[at], ((m >= WORDY) & (n >= WORDY))[at]
         apart = _apart(x[at, _WORDS:], y[at, _WORDS:])
         out = np.zeros(len(x), np.int64)
-        out[at] = np.where(~both | (apart <= 2 * (CHANGED * words // 100 + 2)), 1 + np.maximum(0, 1000 - 500 * apart // np.maximum(1, words)), 0)
+        out[at] = np.where(~both | (apart <= 2 * ((100 - least) * words // 100 + 2)), 1 + np.maximum(0, 1000 - 500 * apart // np.maximum(1, words)), 0)
         return out
 
     return score
@@ -218,6 +218,11 @@ def edit_distance(a: str, b: str, most: int) -> int:
             return most + 1
         plus = (plus << 1 | 1) & full
         up, down = (minus << 1) & full | ~(diagonal | plus) & full, plus & diagonal
+        if j & 15 == 15 and (edge := len(a) - len(b) + j + 1) > 0:
+            # at least the distance of the beginnings that leave equally long ends
+            part = (1 << edge) - 1
+            if j + 1 + (up & part).bit_count() - (down & part).bit_count() > most:
+                return most + 1
     return score
 
 

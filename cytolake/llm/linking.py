@@ -32,6 +32,8 @@ from .shared import Tables, semi, small_enough
 TILE = 4096
 #: Ends of the rounds' windows in the order of an item's likely partners in a tile; a last round takes the rest.
 WINDOWS = (8, 128)
+#: Pairs of a tile that are scored at once, and that are held together.
+_AT_ONCE, _HELD = 1 << 14, 1 << 18
 #: Items that a task looks at together, and how many of them make a key hot there.
 GATHER, HOT = 8192, 8
 
@@ -189,34 +191,46 @@ def _tiles(keys_of: Callable, score: Callable, kind: type, lo: int, hi: int | No
         left = rows.column(3).to_numpy()
         packed = rows.column(6).to_pylist()
         sig = np.frombuffer(b"".join(packed), kind).reshape(len(ids), -1)
-        own_keys = np.sort(keys_of(packed), axis=1)
         ends = np.r_[np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1, len(ids)]
-        out, more, at = [np.zeros((0, 2), np.int64)], set(), 0
+        out, more, at, held, size = [np.zeros((0, 2), np.int64)], set(), 0, [], 0
+
+        def flush() -> None:
+            u, v = (np.concatenate(x) for x in zip(*held, strict=True))
+            found = np.concatenate([score(sig[u[k : k + _AT_ONCE]], sig[v[k : k + _AT_ONCE]]) for k in range(0, len(u), _AT_ONCE)])
+            near = np.flatnonzero(found > 0)
+            near = near[np.lexsort((ids[v[near]], -found[near], u[near]))]
+            u, v = u[near], v[near]
+            place = np.arange(len(u)) - np.searchsorted(u, u)
+            other = component[u] != component[v]
+            if hi is not None:
+                more.update(key[u[other & (place >= hi)]].tolist())
+            now = other & (place >= lo) & (place < (hi or len(u) + 1))
+            u, v = u[now], v[now]
+            for k in range(0, len(u), 1024):
+                x, y = u[k : k + 1024], v[k : k + 1024]
+                mine, theirs = (keys_of([packed[z] for z in w.tolist()]) for w in (x, y))
+                below = np.where(mine < key[x, None], mine, -1)
+                smaller = ((below[:, :, None] == theirs[:, None, :]) & (below[:, :, None] != -1)).any((1, 2))
+                x, y = ids[x[~smaller]], ids[y[~smaller]]
+                out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+            held.clear()
+
         for end in ends.tolist():
             own = left[at:end]
             right = at + np.flatnonzero(~own)
-            c = component[right]
-            if len(right) and (component[at:end] != c[0]).any():
-                r = sig[right]
-                for u in (at + np.flatnonzero(own)).tolist():
-                    other = c != component[u]
-                    if not other.any():
-                        continue
-                    s = score(np.broadcast_to(sig[u], r.shape), r)
-                    near = np.flatnonzero(s > 0)
-                    if len(near):
-                        mine = own_keys[u][own_keys[u] < key[at]]
-                        if len(mine):
-                            theirs = own_keys[right[near]]
-                            near = near[~(mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs).any(1)]
-                    near = near[np.lexsort((ids[right[near]], -s[near]))]
-                    if hi is not None and other[near[hi:]].any():
-                        more.add(int(key[at]))
-                    near = near[lo:hi]
-                    near = right[near[other[near]]]
-                    if len(near):
-                        out.append(np.stack([np.minimum(ids[u], ids[near]), np.maximum(ids[u], ids[near])], 1))
+            if len(right) and len(right) < end - at and (component[at:end] != component[right[0]]).any():
+                lefts = at + np.flatnonzero(own)
+                step = max(1, _HELD // len(right))
+                for k in range(0, len(lefts), step):
+                    part = lefts[k : k + step]
+                    held.append((np.repeat(part, len(right)), np.tile(right, len(part))))
+                    size += len(part) * len(right)
+                    if size >= _HELD:
+                        flush()
+                        size = 0
             at = end
+        if held:
+            flush()
         return np.unique(np.concatenate(out), axis=0), more
 
     def batch_of(pairs: np.ndarray, more: set[int]) -> pa.RecordBatch:
