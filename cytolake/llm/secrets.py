@@ -15,7 +15,9 @@ spans, and the hash of the empty string.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -61,9 +63,12 @@ def weak(text: str, base: dict) -> dict[str, list[tuple[int, int]]]:
     """Weak candidates that overlap no strong span; none where a text has no access id and no identity, without which
     nothing weak can be complete."""
     taken = sorted(s for spans in base.values() for s in spans)
+    starts = [a for a, _ in taken]
+    furthest = list(itertools.accumulate((b for _, b in taken), max))
 
     def free(spans: list) -> list:
-        return [s for s in spans if not any(a < s[1] and s[0] < b for a, b in taken)]
+        """Those that begin at or behind the furthest end of all strong spans that begin before they end."""
+        return [(a, b) for a, b in spans if not (i := bisect.bisect_left(starts, b)) or furthest[i - 1] <= a]
 
     low = text.lower()
     ident = free([m.span() for m in IDENT.finditer(text)]) if any(w in low for w in _IDENT_WORDS) else []
