@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .linking import link, verified
-from .shared import Tables, semi, small_enough
+from .shared import Tables, lean, semi, small_enough
 from .words import encode, mix, run_hashes, runs
 
 BITS, BLOCKS = 96, 3
@@ -339,7 +339,7 @@ def line_groups(docs: DataFrame, items: DataFrame, tables: Tables, least: int) -
         ids = tables.cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), f"{name}-ids")
         places = semi(items, ids, "id").select("doc_id", "row", F.struct("id", "line").alias("x"))
         places = tables.cut(places.groupBy("doc_id", "row").agg(F.collect_list("x").alias("wanted")), f"{name}-places")
-        held = _by_row(docs.where("text is not null"), places, 16, "wanted", "inner").select("text", "wanted").mapInArrow(_chosen, "id long, data binary")
+        held = _by_row(docs.where("text is not null"), places, 16, "wanted", "inner").select("text", "wanted").mapInArrow(lean("lines", _chosen), "id long, data binary")
         payload = tables.cut(held.dropDuplicates(["id"]), f"{name}-lines")
         edges = tables.cut(verified(pairs, payload, similar_lines(least)), f"{name}-kept")
         tables.drop(f"{name}-lines", f"{name}-places", f"{name}-ids")
@@ -356,7 +356,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 5, least: int = 80, id_col: st
     doc_id, body = f"__{names.index(id_col)}", f"__{names.index(text_col)}"
     row = F.xxhash64(doc_id, body)
     texts = flat.select(F.col(doc_id).cast("long").alias("doc_id"), row.alias("row"), F.col(body).alias("text"))
-    seen = tables.cut(texts.mapInArrow(_occurrences(min_words), _OCCURRENCES), "occurrences")
+    seen = tables.cut(texts.mapInArrow(lean("lines", _occurrences(min_words)), _OCCURRENCES), "occurrences")
     # a class's smallest id stands for it; the few others come from lines that several batches hold
     signed = seen.where("id is not null")
     classes = tables.cut(signed.groupBy("h").agg(F.min("id").alias("id")), "classes")
@@ -386,7 +386,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 5, least: int = 80, id_col: st
             counts = pa.array([(t or "").count("\n") + 1 for t in texts], pa.int64()), pa.array([len(g or ()) for g in gone], pa.int64())
             yield pa.RecordBatch.from_arrays([*cols, *counts], [f.name for f in schema.fields])
 
-    out = joined.mapInArrow(run, schema)
+    out = joined.mapInArrow(lean("lines", run), schema)
     if {"n_lines", "n_dropped"} & set(names):  # columns of the input keep their names
         out = out.drop("n_lines", "n_dropped")
     return out.withColumnsRenamed({f"__{i}": c for i, c in enumerate(names)})

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Tables, semi, small_enough
+from .shared import Tables, lean, semi, small_enough
 
 #: Items of an open key meet in tiles of at most about so many by so many.
 TILE = 4096
@@ -269,7 +269,7 @@ def _open(tables: Tables, pairs: DataFrame, items: DataFrame, found: DataFrame,
     keys = tables.cut(keys, f"{name}-open")
     if keys.isEmpty():
         return None
-    every = items.mapInArrow(lambda it: _keys(it, keys_of), "key long, id long")
+    every = items.mapInArrow(lean("link", lambda it: _keys(it, keys_of)), "key long, id long")
     held = every.join(F.broadcast(keys) if small_enough(keys, 16) else keys, "key", "left_semi").join(found, "id", "left")
     held = tables.cut(held.select("key", "id", F.coalesce("component", "id").alias("component")), f"{name}-held")
     parts = held.groupBy("key", "component").agg(F.count("*").alias("n"))
@@ -297,8 +297,8 @@ def link(
     signatures, as numbers of a kind, above 0 if they may be similar and higher for likelier ones; and that kind.
     verify(pairs, name) keeps the true ones of pairs (a, b), a < b."""
     items = items.select("id", "sig")
-    keyed = items.mapInArrow(lambda it: _local_stars(it, keys_of), _STARRED)
-    met = keyed.repartition("key").sortWithinPartitions("key", "a").mapInArrow(_stars, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+    keyed = items.mapInArrow(lean("link", lambda it: _local_stars(it, keys_of)), _STARRED)
+    met = keyed.repartition("key").sortWithinPartitions("key", "a").mapInArrow(lean("link", _stars), "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
     met = tables.cut(met, f"{name}-stars")
     tables.free()
     # from here on only items that share a key with another
@@ -306,7 +306,7 @@ def link(
     items = tables.cut(semi(items, ends, "id"), f"{name}-ends")
     a, b = (items.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
     met = met.join(a, "a").join(b, "b").select("a", "b", "more", "sig_a", "sig_b")
-    pairs = tables.cut(met.mapInArrow(_compared(keys_of, *near), "a long, b long, near boolean, keys array<long>").where("near or keys is not null"), f"{name}-pairs")
+    pairs = tables.cut(met.mapInArrow(lean("link", _compared(keys_of, *near)), "a long, b long, near boolean, keys array<long>").where("near or keys is not null"), f"{name}-pairs")
     tables.drop(f"{name}-stars", f"{name}-ids")
     tables.free()
     tested = pairs.where("near").select("a", "b")
@@ -317,7 +317,7 @@ def link(
             break
         rows = tiles.join(found, "id", "left").select("key", "i", "j", "left", "id", F.coalesce("component", "id").alias("component")).join(items, "id")
         rows = rows.select("key", "i", "j", "left", "id", "component", "sig").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        met = tables.cut(rows.mapInArrow(_tiles(keys_of, *near, lo, hi), "a long, b long, key long"), f"{name}-met{turn}")
+        met = tables.cut(rows.mapInArrow(lean("link", _tiles(keys_of, *near, lo, hi)), "a long, b long, key long"), f"{name}-met{turn}")
         more = tables.cut(met.where("key is null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), f"{name}-more{turn}")
         if not more.isEmpty():
             edges = verify(more, f"{name}-verify{turn}")
@@ -362,4 +362,4 @@ def verified(pairs: DataFrame, payload: DataFrame, check: Callable[[bytes, list[
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
     rows = centres.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(lean("link", run), "a long, b long")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .linking import link, verified
-from .shared import Tables, semi
+from .shared import lean, semi, Tables
 from .words import mix, runs, shingle_sets
 
 _FEATURES = "id long, n_shingles long, digest binary, sig binary"
@@ -117,7 +117,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: int = 80, bands: int
     """doc_id, n_shingles, component_id, kept of every row."""
     tables, n = Tables(docs.sparkSession), 2 * bands * rows
     two = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    every = tables.cut(two.mapInArrow(_features(width, n), _FEATURES), "features")
+    every = tables.cut(two.mapInArrow(lean("sets", _features(width, n)), _FEATURES), "features")
     one = every.where("id is not null and digest is not null").groupBy("id").agg(F.min(F.struct("digest", "sig")).alias("d")).select("id", "d.digest", "d.sig")
     # documents with equal sets: their smallest id stands for them
     classes = one.groupBy("digest").agg(F.min("id").alias("id"), F.first("sig").alias("sig"))
@@ -134,7 +134,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: int = 80, bands: int
     def verify(pairs: DataFrame, name: str) -> DataFrame:
         ids = tables.cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), f"{name}-ids")
         texts = semi(two, ids, "id")
-        with_sets = texts.mapInArrow(_sets(width), "id long, data binary").dropDuplicates(["id"]) if repeated else texts.mapInArrow(_sets(width), "id long, data binary")
+        with_sets = texts.mapInArrow(lean("sets", _sets(width)), "id long, data binary")
+        with_sets = with_sets.dropDuplicates(["id"]) if repeated else with_sets
         payload = tables.cut(with_sets, f"{name}-sets")
         edges = tables.cut(verified(pairs, payload, similar(least)), f"{name}-kept")
         tables.drop(f"{name}-sets", f"{name}-ids")

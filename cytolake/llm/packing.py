@@ -28,14 +28,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Tables
+from .shared import FORGET, Tables, lean
 from .words import encode
 
 #: Distinct words whose ids one Python worker remembers.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, deal long"
 _PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _CACHE: dict[str, WordTokenizer] = {}
+FORGET.append(_CACHE.clear)
 _PARTS = re.compile(rb"([a-z]+)([!-/:-@\[-`{-~]+)\Z").match
 
 
@@ -200,7 +201,7 @@ def pack(docs: DataFrame, window: int = 4096, end_id: int = 2, tokenizer_path: s
     spark, path = docs.sparkSession, tokenizer_path or vocabulary()
     tables = Tables(spark)
     two = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = tables.cut(two.mapInArrow(_pieces(path, window, piece, end_id), PIECES), "pieces")
+    pieces = tables.cut(two.mapInArrow(lean("packing", _pieces(path, window, piece, end_id)), PIECES), "pieces")
     total = pieces.agg(F.sum("length")).first()[0] or 0
     shards = max(1, round(total / (window * shard_windows)))
     dealt = pieces.withColumn("shard", F.pmod("deal", F.lit(shards)))

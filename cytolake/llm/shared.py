@@ -5,18 +5,27 @@ The folder is the session's ``spark.checkpoint.dir``; only where that is unset (
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def in_one_process(spark: SparkSession) -> bool:
+    return spark.sparkContext.master.split("[")[0] == "local"
+
 
 def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not in_one_process(spark):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="cytolake-")
         spark.sparkContext.setCheckpointDir(found)
@@ -36,6 +45,8 @@ class Tables:
     def __init__(self, spark: SparkSession):
         small_batches(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/cytolake-{uuid.uuid4().hex}"
+        if not in_one_process(spark):
+            self.free()
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -43,9 +54,13 @@ class Tables:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def free(self) -> None:
-        """Lets Spark delete the shuffle files of finished frames: it does so when the driver's JVM collects them."""
+        """Lets Spark delete the shuffle files of finished frames, which it does when the driver's JVM collects them; and has the
+        executors, whose heaps otherwise only grow, give back what the classes and buffers of finished plans held."""
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
+        if not in_one_process(self.spark):
+            n = self.spark.sparkContext.defaultParallelism
+            self.spark.range(0, n, 1, n).selectExpr("java_method('java.lang.System', 'gc')").write.format("noop").mode("overwrite").save()
 
     def drop(self, *names: str) -> None:
         for name in names:
@@ -53,6 +68,36 @@ class Tables:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: What operators remember in a Python worker, as ways to forget it; and the operator that a worker served last.
+FORGET: list[Callable[[], None]] = []
+_SERVED = [""]
+
+
+def begin(owner: str) -> None:
+    if _SERVED[0] != owner:
+        for forget in FORGET:
+            forget()
+        _SERVED[0] = owner
+
+
+def finish() -> None:
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+def lean(owner: str, run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a task's batches. A worker serves one operator after the other: it first forgets what another has
+    remembered, and gives memory back at the task's end."""
+
+    def served(batches: Iterator) -> Iterator:
+        begin(owner)
+        yield from run(batches)
+        finish()
+
+    return served
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Tables, small_enough
+from .shared import FORGET, Tables, lean, small_enough
 from .words import encode
 
 #: Codes: 0 word start, 1 word end, 2 to 31 characters.
@@ -43,6 +43,7 @@ CACHE_WORDS = 400_000
 #: Lengths of word beginnings that count as evidence for all their words.
 STEMS = (4, 5)
 _MEMORY: dict[bytes, dict[bytes, float]] = {}
+FORGET.append(_MEMORY.clear)
 
 
 def letters(word: bytes) -> str:
@@ -262,7 +263,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, landmarks: in
     if not n0 or not n1:
         tables.drop("chosen", "sample")
         return model
-    stats = sample.select("toxic", "text").mapInArrow(_pairs, "word string, toxic long").groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+    stats = sample.select("toxic", "text").mapInArrow(lean("toxicity", _pairs), "word string, toxic long").groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
     share = n1 / (n0 + n1)
     stats = tables.cut(stats.withColumn("evidence", _evidence(F.col("a"), F.col("b"), share)), "stats")
     # evidence is a log likelihood ratio; a threshold of the log of the number of words leaves none to chance
@@ -286,7 +287,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, landmarks: in
     for turn in range(rounds):
         model.weights, model.bias = _fit_words(pos, neg, decay, landmarks, 1.0)
         model.key = model.weights.tobytes()[:64] + str(model.bias).encode()
-        seen = sample.select("toxic", "text").mapInArrow(_signs(model), "toxic int, m1 double, m2 double, rate double, word binary").collect()
+        seen = sample.select("toxic", "text").mapInArrow(lean("toxicity", _signs(model)), "toxic int, m1 double, m2 double, rate double, word binary").collect()
         if turn < rounds - 1:
             hard = {p for r in seen if not r[0] and r[1] > -0.7 for p in windows(letters(bytes(r[4]))) if len(p) > 1}
             neg = [*(hard - set(neg) - set(pos)), *neg]
@@ -323,5 +324,5 @@ def score(docs: DataFrame, model: Model, keep: list[str] = ("doc_id",), text_col
                 x, _ = signs(model, part.column(part.num_columns - 1).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(model.score(x), pa.float64())], [*part.schema.names[:-1], "__score"])
 
-    out = kept.mapInArrow(run, schema).withColumnRenamed("__score", "score")
+    out = kept.mapInArrow(lean("toxicity", run), schema).withColumnRenamed("__score", "score")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
