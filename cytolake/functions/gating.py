@@ -11,7 +11,7 @@ import re
 from collections.abc import Collection
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r"[\w-]+|[&|!()]")
@@ -116,17 +116,27 @@ def operands(gate: Gate) -> dict[str, list[str]]:
     return out
 
 
-def encoding(channels: list[str], primary: str, optional: str = "") -> dict[str, int]:
-    """Per channel: 1 must, 2 one of, 0 never or optional, -1 not in the rule (``optional`` only fills what is left)."""
-    roles = operands(parse(primary))
+def encoding(channels: list[str], primary: str, secondary: str = "", tertiary: str = "") -> dict[str, int]:
+    """Per channel: 1 must, 2 one of, -3 explicitly not, 0 optional, -1 not in the rule. ``secondary`` and ``tertiary``, markers
+    apart by ``|``, only fill what the primary expression leaves open."""
     out = dict.fromkeys(channels, -1)
-    for role, code in (("must", 1), ("either", 2), ("never", 0)):
-        out.update({m: code for m in roles[role] if m in out})
-    if optional.strip():
-        out.update({m: 0 for m in parse(optional).markers() if out.get(m) == -1})
+    if primary and primary.strip():
+        roles = operands(parse(primary))
+        for role, code in (("must", 1), ("either", 2), ("never", -3)):
+            out.update({m: code for m in roles[role] if m in out})
+    for m in f"{secondary or ''}|{tertiary or ''}".split("|"):
+        if out.get(m.strip()) == -1:
+            out[m.strip()] = 0
     return out
 
 
+def encoded(rules: DataFrame, channels: list[str]) -> DataFrame:
+    """(rule, channel, code) of a marker table (cell_type, primary, secondary, tertiary), one row per cell type, whose rules are read
+    on the driver: a table of a panel's few types."""
+    rows = rules.select("cell_type", "primary", "secondary", "tertiary").collect()
+    return rules.sparkSession.createDataFrame([(r[0], c, code) for r in rows for c, code in encoding(channels, *r[1:]).items()], "rule string, channel string, code int")
+
+
 def soft_not(own: dict[str, int], other: dict[str, int]) -> dict[str, int]:
     """own, with channels that only the overlapping other rule requires marked -3."""
     if not any(own[c] > 0 and other.get(c, -1) > 0 for c in own):

@@ -16,11 +16,3 @@ SELECT p_partkey, (large OR pricey) AND NOT eco AND (odd OR NOT large) AS gate F
 def gating_mask(spark, sf_dir):
     df = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") > 25).alias("Large"), (F.col("p_retailprice") > 1200).alias("Pricey"), (F.col("p_type") == "ECONOMY").alias("Eco"), (F.col("p_partkey") % 2 == 1).alias("Odd"))
     return df.select("p_partkey", G.mask(G.parse(EXPRESSION), df.columns).alias("gate"))
-
-
-@query("SELECT * FROM (VALUES ('T', 'CD3', 1), ('T', 'CD4', 2), ('T', 'CD8', 2), ('T', 'CD19', 0), ('T', 'Ki67', 0), ('T', 'CD56', -3), ('NK', 'CD3', 1), ('NK', 'CD4', -3), ('NK', 'CD8', -3), ('NK', 'CD19', -1), ('NK', 'Ki67', -1), ('NK', 'CD56', 1)) t(rule, channel, code)")
-def gating_encoding(spark, sf_dir):
-    channels = ["CD3", "CD4", "CD8", "CD19", "Ki67", "CD56"]
-    t, nk = G.encoding(channels, "CD3 & (CD4 | CD8) & !CD19", "Ki67"), G.encoding(channels, "CD3 & CD56")
-    rows = [(n, c, v) for n, e in (("T", G.soft_not(t, nk)), ("NK", G.soft_not(nk, t))) for c, v in e.items()]
-    return spark.createDataFrame(rows, "rule string, channel string, code int")
