@@ -198,7 +198,12 @@ def log_loss(spark, sf_dir):
     return U.log_loss(e, "y", "p").select(F.round("log_loss", 6).alias("log_loss"))
 
 
-@query("SELECT * FROM (VALUES ('l: quantity', 'l', 'within'), ('l: double', 'l', 'kept'), ('p: price', 'p', 'kept'), ('p: zero', 'p', 'constant'), ('d: discount', 'd', 'kept')) t(feature, grp, verdict)")
+@query("""
+WITH v AS (SELECT l_quantity AS a, l_quantity * 2 + 1 AS b, l_extendedprice AS c, 0.0 AS d, l_discount AS e FROM lineitem),
+s AS (SELECT abs(corr(a, b)) AS r, count(*) FILTER (WHERE d <> 0) AS n, stddev_pop(a) < stddev_pop(b) AS less, stddev_pop(c) > 0 AS varies FROM v)
+SELECT 'l: quantity' AS feature, 'l' AS grp, CASE WHEN less AND r > 0.95 THEN 'within' ELSE 'kept' END AS verdict FROM s
+UNION ALL SELECT 'l: double', 'l', 'kept' FROM s UNION ALL SELECT 'p: price', 'p', 'kept' FROM s WHERE varies
+UNION ALL SELECT 'p: zero', 'p', CASE WHEN n < 5 THEN 'constant' ELSE 'kept' END FROM s UNION ALL SELECT 'd: discount', 'd', 'kept' FROM s""")
 def grouped_pruning(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("l: quantity"), (F.col("l_quantity") * 2 + 1).alias("l: double"), F.col("l_extendedprice").alias("p: price"), F.lit(0.0).alias("p: zero"), F.col("l_discount").alias("d: discount"))
     return M.prune_by_group(df, df.columns, whitelist=1)
