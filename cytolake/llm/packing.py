@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import FORGET, Tables, lean
-from .words import encode
+from .words import encode, runs
 
 #: Distinct words whose ids one Python worker remembers.
 CACHE_WORDS = 1_000_000
@@ -117,12 +117,12 @@ def _pieces(path: str, window: int, piece: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, end, turn = tokenizer(path), int(end_id).to_bytes(4, "little"), itertools.count()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
+            whole, ids = batch.column(1).to_pylist(), batch.column(0).to_pylist()
+            for lo, hi in runs(whole, 1 << 21):
                 out: list[tuple] = []
-                part = batch.slice(lo, 64)
-                texts = [tok.words(t) for t in part.column(1).to_pylist()]
+                texts = [tok.words(t) for t in whole[lo:hi]]
                 tok.learn(set().union(*texts))
-                for doc_id, words in zip(part.column(0).to_pylist(), texts, strict=True):
+                for doc_id, words in zip(ids[lo:hi], texts, strict=True):
                     data = tok.ids(words) + end
                     total = len(data) // 4
                     for start, length in cuts(total, window, piece):
