@@ -37,7 +37,9 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _CACHE: dict[str, WordTokenizer] = {}
 FORGET.append(_CACHE.clear)
-_PARTS = re.compile(rb"([a-z]+)([!-/:-@\[-`{-~]+)\Z").match
+#: Latin letters up to U+023F whose lower case is one letter, in UTF-8, and signs after them.
+_LETTERS = rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|[\xc5-\xc8][\x80-\xbf])+"
+_PARTS = re.compile(rb"(" + _LETTERS + rb")([!-/:-@\[-`{-~]+)?\Z").match
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -54,9 +56,12 @@ class WordTokenizer:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        #: the same model for lower-case Latin letters, which need no normaliser and are one pre-token each
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -72,27 +77,31 @@ class WordTokenizer:
             self.known.clear()
             new = words
         # letters and the signs after them are separate pre-tokens, so their ids come from their parts
-        parted = [(w, m[1], m[2]) for w in new if (m := _PARTS(w))]
-        known = self.known
-        whole = new.difference(w for w, _, _ in parted)
-        whole.update(*((a, b) for _, a, b in parted))
-        whole = [w for w in whole if w not in known]
-        texts = [w.decode("utf-8", "replace") for w in whole]
-        alone = []
-        letters = [(w, t) for w, t in zip(whole, texts, strict=True) if t.isalpha() or alone.append((w, t))]
-        for i in range(0, len(letters), 1000):
-            part = letters[i : i + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join(t for _, t in part), add_special_tokens=False).ids, np.uint32)
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(part):  # a word of letters is one pre-token, which only its last token ends
-                data, at = ids.tobytes(), (4 * np.r_[0, ends]).tolist()
-                known.update((w, data[a:b]) for (w, _), a, b in zip(part, at, at[1:], strict=False))
+        known, parted, letters, alone = self.known, [], set(), set()
+        for w in new:
+            if not (m := _PARTS(w)):
+                alone.add(w)
+            elif m[2]:
+                parted.append((w, m[1], m[2]))
+                letters.add(m[1])
+                alone.add(m[2])
             else:
-                alone += part
+                letters.add(w)
+        letters = [w for w in letters if w not in known]
+        alone = [w for w in alone if w not in known]
+        for i in range(0, len(letters), 100_000):
+            parts = [letters[k : k + 1000] for k in range(i, min(i + 100_000, len(letters)), 1000)]
+            found = self.plain.encode_batch_fast([b" ".join(p).decode().lower() for p in parts], add_special_tokens=False)
+            for part, e in zip(parts, found, strict=True):
+                ids = np.array(e.ids, np.uint32)
+                data, at = ids.tobytes(), (4 * np.r_[0, np.flatnonzero(self.ends[ids]) + 1]).tolist()
+                known.update((w, data[a:b]) for w, a, b in zip(part, at, at[1:], strict=False))
+                if len(at) != len(part) + 1:
+                    raise AssertionError("a word of letters ends with its last token only")
         for i in range(0, len(alone), 10_000):
             part = alone[i : i + 10_000]
-            found = self.tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False)
-            known.update((w, array("I", e.ids).tobytes()) for (w, _), e in zip(part, found, strict=True))
+            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
+            known.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, found, strict=True))
         known.update((w, known[a] + known[b]) for w, a, b in parted)
 
     def ids(self, words: list[bytes]) -> bytes:

@@ -225,6 +225,7 @@ def test_word_ids_equal_whole_text_ids():
     tok, full = packing.tokenizer(packing.vocabulary()), Tokenizer.from_file(packing.vocabulary())
     rng = random.Random(7)
     cases = ["It's <|endoftext|>A<|STARTOFTEXT|> don't éX İ x\x1cz q 3.14abc'S !!??A_b", *("".join(rng.choice("aAbE'sS tT<|>.!_́é \x1c\n9Éß") for _ in range(30)) for _ in range(300))]
+    cases += [f"{chr(c)} a{chr(c)}b {chr(c)}.. {chr(c)}'s x{chr(c)}" for c in range(0xA0, 0x260)]  # letters with and without signs
     for text in cases:
         words = tok.words(text)
         tok.learn(set(words))
