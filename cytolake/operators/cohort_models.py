@@ -139,10 +139,10 @@ def cohort_leiden(cells: DataFrame, columns: Sequence[str], sample_size: int = 5
     return known.select("id", F.col("label").alias("cluster")).unionByName(transfer_labels(rest, known, transfer).withColumnRenamed("label", "cluster"))
 
 
-def boosted(train: DataFrame, rounds: int = 20, depth: int = 4, seed: int = 42):
-    """Boosted trees for each class against the rest. train: vec, y from 0."""
+def boosted(train: DataFrame, rounds: int = 20, depth: int = 4, seed: int = 42, eta: float = 0.1, subsample: float = 0.8, colsample: float = 1.0):
+    """Boosted trees for each class against the rest. train: vec, y from 0. subsample: share of rows a tree; colsample: of features a split."""
     rows = train.select(array_to_vector("vec").alias("features"), F.col("y").cast("double").alias("label"))
-    return OneVsRest(classifier=GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, seed=seed)).fit(rows)
+    return OneVsRest(classifier=GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=eta, subsamplingRate=subsample, featureSubsetStrategy=str(colsample) if colsample < 1 else "all", seed=seed)).fit(rows)
 
 
 def best_rounds(losses: Sequence[float], patience: int = 20) -> int:

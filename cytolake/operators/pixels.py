@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import finite
+from ..functions.columns import finite, inside
 from .stats import with_robust_z
 
 KEYS = ["image", "channel"]
@@ -76,3 +78,15 @@ def pixel_cohort(stats: DataFrame, empty: DataFrame) -> DataFrame:
     flags = F.concat_ws(";", F.when(background, "BACKGROUND_HEAVY"), F.when(saturated, "SATURATED"), F.when(weak, "WEAK_SIGNAL"), F.when(odd, "INTENSITY_OUTLIER"))
     verdict = F.when(background, "Background-heavy").when(saturated, "Saturated").when(weak, "Weak signal").when(odd, "Intensity outlier").otherwise("OK")
     return out.select("image", "fg", "empty", "sat", "dyn", "z_int", score.alias("score"), flags.alias("flags"), verdict.alias("verdict"))
+
+
+def reading(width: Column, height: Column, bits: Column, floating: Column, longest: int = 2048) -> tuple[Column, Column]:
+    """(downsample, largest value) to read an image whole: its longer edge has at most ``longest`` pixels; floats have no largest value."""
+    down = F.greatest(F.lit(1.0), F.greatest(width, height) / longest)
+    return down, F.when(floating, float("nan")).otherwise(F.pow(F.lit(2.0), bits) - 1)
+
+
+def masked(pixels: DataFrame, polygon: Sequence[tuple[float, float]]) -> DataFrame:
+    """pixels (x, y, v, ...) with v 0 where a pixel's centre lies outside the polygon."""
+    within = inside(F.col("x") + 0.5, F.col("y") + 0.5, polygon)
+    return pixels.withColumn("v", F.when(within, F.col("v")).otherwise(F.lit(0).cast(pixels.schema["v"].dataType)))

@@ -84,3 +84,14 @@ def pixel_cohort(spark, sf_dir):
 def pixel_csv_wide(spark, sf_dir):
     stats = P.channel_stats(pixels(spark, sf_dir), 255.0)
     return stats.groupBy("image").pivot("channel", ["click", "error", "purchase", "signup", "view"]).agg(F.round(F.max("median"), 5).alias("median"), F.round(F.max("saturation"), 5).alias("saturation"))
+
+
+@query(_PIX + " SELECT image, channel, x, y, CASE WHEN 41 * (x + 0.5) + 8 * (y + 0.5) < 328 THEN v ELSE 0 END AS v FROM pixels")
+def masked_pixels(spark, sf_dir):
+    return P.masked(pixels(spark, sf_dir), [(0.0, 0.0), (8.0, 0.0), (0.0, 41.0)])
+
+
+@query("SELECT p_partkey, round(greatest(1, greatest(p_partkey * 7, p_size * 200) / 2048), 9) AS downsample, CASE WHEN p_size % 3 = 0 THEN NULL ELSE power(2, 8 + p_size % 3) - 1 END AS largest FROM part")
+def image_reading(spark, sf_dir):
+    down, most = P.reading(F.col("p_partkey") * 7, F.col("p_size") * 200, 8 + F.col("p_size") % 3, F.col("p_size") % 3 == 0)
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(down, 9).alias("downsample"), F.nanvl(most, F.lit(None).cast("double")).alias("largest"))

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import learn as M
 from ..operators import spatial as S
+from ..operators import tuning as U
+from ..operators.knn import smote
 from .neighbours import vectors
 from .registry import query, table
 from .spatial import RADIUS, _SEG, cells
@@ -47,3 +49,14 @@ def prune_features(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem").withColumn("double_quantity", F.col("l_quantity") * 2 + 1).withColumn("zero", F.lit(0.0))
     rows = M.prune_features(df, ["l_quantity", "double_quantity", "l_extendedprice", "l_discount", "zero"])
     return spark.createDataFrame(rows, "feature string, verdict string")
+
+
+@query()
+def train_validation_metrics(spark, sf_dir):
+    return U.train_validation_metrics(vectors(spark, sf_dir), resample=smote, trees=20, depth=8)
+
+
+@query()
+def scatter_pca(spark, sf_dir):
+    out = M.pca_reduce(vectors(spark, sf_dir), most=2)
+    return out.select("id", F.round(F.get("vec", F.lit(0)), 4).alias("x"), F.round(F.get("vec", F.lit(1)), 4).alias("y"))

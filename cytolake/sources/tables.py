@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import csv
-import json
 import re
 from collections.abc import Sequence
 
@@ -106,11 +105,6 @@ def valid_predictions(df: DataFrame) -> DataFrame:
     return df.where(some & (F.size("p1") == F.size("classes")) & (F.size("p2") == F.size("classes")))
 
 
-def save_labels(df: DataFrame, path: str) -> None:
-    """Label rows by scope and image; only the partitions present in df are replaced."""
-    df.write.partitionBy("scope", "image").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
-
-
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     """(name, kind, poly) of the polygons of a FeatureCollection or a bare array (plain or gzip); bad features are skipped."""
     shape = "geometry struct<type: string, coordinates: array<array<array<double>>>>, properties struct<name: string, classification: struct<name: string>>"
@@ -137,14 +131,3 @@ def quoted(c: Column) -> Column:
     """CSV quoting where it is needed; null is empty."""
     s = F.coalesce(c.cast("string"), F.lit(""))
     return F.when(F.regexp_like(s, F.lit('[",\r\n]')), F.concat(F.lit('"'), F.replace(s, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(s)
-
-
-def save_state(path: str, state: dict) -> None:
-    """Model state that is no table (features, classes, parameters) as one JSON on the driver."""
-    with open(path, "w") as f:
-        json.dump(state, f, sort_keys=True)
-
-
-def load_state(path: str) -> dict:
-    with open(path) as f:
-        return json.load(f)
