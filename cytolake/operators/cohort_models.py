@@ -16,6 +16,7 @@ from .graph import leiden_clusters
 from .knn import feature_knn, snn_edges, tomek_clean, smote, transfer_labels
 from .sampling import even_sample, shuffled
 from .stats import column_stats, standardised
+from .written import written
 
 
 def cluster_means(rows: DataFrame, types: DataFrame | None = None) -> DataFrame:
@@ -109,7 +110,7 @@ def prune_by_group(df: DataFrame, columns: Sequence[str], least: int = 5, within
 
 def smote_tomek(df: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
     """df and synthetic rows up to the largest label, without the members of Tomek links of labels at the then largest count."""
-    return tomek_clean(smote(df, k, seed))
+    return tomek_clean(written(smote(df, k, seed)))
 
 
 def _rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
