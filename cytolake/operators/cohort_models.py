@@ -22,7 +22,7 @@ from .written import written
 def cluster_means(rows: DataFrame, types: DataFrame | None = None) -> DataFrame:
     """(cn, type, mean, n): mean fraction of each type among the cells of a neighbourhood, absent types 0. rows: image, id, cn, type,
     fraction; cells whose cn is below 1 are left out."""
-    used = rows.where("cn >= 1")
+    used = written(rows.where("cn >= 1"))
     size = used.select("image", "id", "cn").distinct().groupBy("cn").agg(F.count("*").alias("n"))
     names = types if types is not None else used.select("type").distinct()
     grid = size.crossJoin(F.broadcast(names))  # neighbourhoods times types: both are a handful
