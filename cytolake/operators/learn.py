@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import all_label, argmax, feature
 from .sampling import shuffled
 from .stats import feature_stats, unpivot
+from .written import written
 
 
 def assembled(df: DataFrame, vec: str = "vec") -> DataFrame:
@@ -89,6 +90,6 @@ def kmeans_clusters(df: DataFrame, k: int, restarts: int = 10, seed: int = 42) -
 def neighbourhoods(comp: DataFrame, types: Sequence[str], k: int, restarts: int = 3, by: Sequence[str] = ("image",)) -> DataFrame:
     """(by, id, cn) from 1: k-means over window compositions (by, id, type, fraction)."""
     wide = comp.groupBy(*by, "id").pivot("type", list(types)).agg(F.first("fraction"))
-    rows = wide.select(*by, "id", F.array(*[F.coalesce(F.col(f"`{t}`"), F.lit(0.0)) for t in types]).alias("vec"))
+    rows = written(wide.select(*by, "id", F.array(*[F.coalesce(F.col(f"`{t}`"), F.lit(0.0)) for t in types]).alias("vec")))
     model = kmeans_clusters(rows.select("id", "vec"), k, restarts)[1]
     return model.transform(assembled(rows)).select(*by, "id", (F.col("cluster") + 1).alias("cn"))

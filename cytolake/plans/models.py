@@ -25,9 +25,7 @@ def kmeans_clusters(spark, sf_dir):
 
 @query()
 def neighborhoods(spark, sf_dir):
-    c = cells(spark, sf_dir)
-    comp = S.composition(S.radius_join(c, c, RADIUS), c.select("image", "id", "type"))
-    return M.neighbourhoods(comp, _SEG, 5)
+    return M.neighbourhoods(S.window_composition(cells(spark, sf_dir), RADIUS), _SEG, 5)
 
 
 @query()
