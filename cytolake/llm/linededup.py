@@ -48,6 +48,8 @@ PAIRS, BINS, WORDY = 64, 128, 5
 #: Lines of few words are compared too if they have so many bytes of UTF-8: scripts without spaces have long words.
 LONG = 24
 _OCCURRENCES = "doc_id long, row long, line long, h binary, id long, sig binary"
+#: Lines of so many characters have their pairs of characters compared before the edit distance.
+COUNTED = 256
 #: Signs become spaces and digits 0; letters are lower-cased before.
 _PLAIN = bytes(48 if 48 <= c <= 57 else c if c == 10 or c >= 128 or 97 <= c <= 122 or 65 <= c <= 90 else 32 for c in range(256))
 #: So many words are counted in one byte; longer lines are summed by parts.
@@ -240,16 +242,30 @@ def _at_most(a: str, b: str, most: int) -> bool:
     return max(sum(map(len, z)) + len(z) for z in (x[lo : len(x) - end], y[lo : len(y) - end])) <= most
 
 
+def pair_counts(flat: str) -> np.ndarray:
+    """Counts of the pairs of neighbouring characters in 16,384 bins, those of ASCII each in its own."""
+    x = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    x = (x ^ x >> 7) & 127
+    return np.bincount(x[:-1] << 7 | x[1:], minlength=1 << 14)
+
+
 def similar_lines(least: int):
-    """Which lines have an edit similarity of ``least`` percent with a centre."""
+    """Which lines have an edit similarity of ``least`` percent with a centre. An edit changes the counts of character pairs by
+    four at most, so lines of COUNTED characters whose counts are further apart need no edit distance."""
 
     def check(centre: bytes, members: list[bytes]) -> list[bool]:
-        a = centre.decode("utf-8", "surrogatepass")
+        a, counts = centre.decode("utf-8", "surrogatepass"), None
         out = []
         for m in members:
             b = m.decode("utf-8", "surrogatepass")
             most = (100 - least) * max(len(a), len(b)) // 100
-            out.append(abs(len(a) - len(b)) <= most and (_at_most(a, b, most) or edit_distance(a, b, most) <= most))
+            good = abs(len(a) - len(b)) <= most
+            if good and not _at_most(a, b, most):
+                if min(len(a), len(b)) >= COUNTED:
+                    counts = pair_counts(a) if counts is None else counts
+                    good = int(np.abs(counts - pair_counts(b)).sum()) <= 4 * most
+                good = good and edit_distance(a, b, most) <= most
+            out.append(good)
         return out
 
     return check

@@ -315,7 +315,9 @@ def link(
     for turn, (lo, hi) in enumerate(zip((0, *WINDOWS), (*WINDOWS, None), strict=True)):
         if tiles is None:
             break
-        rows = tiles.join(found, "id", "left").select("key", "i", "j", "left", "id", F.coalesce("component", "id").alias("component")).join(items, "id")
+        # later rounds are of few keys: the signatures of other items stay where they are
+        met = semi(items, tiles.select("id").distinct(), "id") if turn else items
+        rows = tiles.join(found, "id", "left").select("key", "i", "j", "left", "id", F.coalesce("component", "id").alias("component")).join(met, "id")
         rows = rows.select("key", "i", "j", "left", "id", "component", "sig").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
         met = tables.cut(rows.mapInArrow(lean("link", _tiles(keys_of, *near, lo, hi)), "a long, b long, key long"), f"{name}-met{turn}")
         more = tables.cut(met.where("key is null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), f"{name}-more{turn}")
