@@ -160,8 +160,10 @@ def signature(lines: list[bytes]) -> np.ndarray:
     return np.concatenate([prints, keys.view(np.uint8), numbers.view(np.uint8), counts], 1)
 
 
-_KEYS, _LENGTH = BITS // 8, BITS // 8 + 8 * MINIMA
-_COUNTS, _WORDS = _LENGTH + 8, _LENGTH + 8 + PAIRS // 2
+#: Ends of the fingerprint, and begins of the parts behind the keys, counted from the signature's end.
+_KEYS, _WORDS = BITS // 8, -(BINS // 2)
+_COUNTS = _WORDS - PAIRS // 2
+_LENGTH = _COUNTS - 8
 
 
 def line_keys(signatures: list[bytes]) -> np.ndarray:
@@ -193,6 +195,16 @@ def may_be_similar(least: int):
     return score
 
 
+def length_place(least: int):
+    """Logarithms of lengths, such that those of lines with the edit similarity differ by 1 at most."""
+
+    def place(x: np.ndarray) -> np.ndarray:
+        length = np.ascontiguousarray(x[:, _LENGTH : _LENGTH + 4]).view(np.uint32)[:, 0]
+        return np.log(np.maximum(1, length)) / np.log(100 / least) if least < 100 else length.astype(float)
+
+    return place
+
+
 def edit_distance(a: str, b: str, most: int) -> int:
     """Levenshtein distance, or most + 1 if it is larger: common ends go first, then Myers' bit vectors."""
     if abs(len(a) - len(b)) > most:
@@ -361,7 +373,7 @@ def line_groups(docs: DataFrame, items: DataFrame, tables: Tables, least: int) -
         tables.drop(f"{name}-lines", f"{name}-places", f"{name}-ids")
         return edges
 
-    return link(tables, items, line_keys, (may_be_similar(least), np.uint8), verify, "lines")
+    return link(tables, items, line_keys, (may_be_similar(least), np.uint8), verify, "lines", _KEYS + 8 * MINIMA, length_place(least))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 5, least: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -375,8 +387,9 @@ def dedup_lines(docs: DataFrame, min_words: int = 5, least: int = 80, id_col: st
     seen = tables.cut(texts.mapInArrow(lean("lines", _occurrences(min_words)), _OCCURRENCES), "occurrences")
     # a class's smallest id stands for it; the few others come from lines that several batches hold
     signed = seen.where("id is not null")
-    classes = tables.cut(signed.groupBy("h").agg(F.min("id").alias("id")), "classes")
-    spare = tables.cut(signed.select("h", F.col("id").alias("own")).join(classes, "h").where("own <> id").select(F.col("own").alias("id")), "spare")
+    classes = tables.cut(signed.groupBy("h").agg(F.min("id").alias("id"), F.collect_list("id").alias("ids")), "classes")
+    spare = classes.where("size(ids) > 1").select("id", F.explode("ids").alias("own")).where("own <> id").select(F.col("own").alias("id"))
+    spare, classes = tables.cut(spare, "spare"), classes.select("h", "id")
     items = signed.join(F.broadcast(spare) if small_enough(spare, 16) else spare, "id", "left_anti")
     found = line_groups(texts, items, tables, least)
     linked = found.unionByName(found.select(F.col("component").alias("id"), "component").distinct())

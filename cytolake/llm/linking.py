@@ -4,9 +4,11 @@
 
 1. Within each map task, of a key that many items hold only the smallest item goes on, with one pair for each of the others,
    so a key that half of all items hold sends one row per task into the shuffle.
-2. One shuffle brings the remaining items of a key together, sorted; each pairs with the key's smallest as the rows stream
-   by. Pairs are distinct, filtered by their signatures and verified exactly; components are found over the true ones.
-3. A key is open if one of its pairs has ended in two components and it has a third item: the smallest may be far from two
+2. One shuffle brings the remaining items of a key together, sorted. Keys of at most ``SMALL`` items are kept whole, and all
+   of their items are compared by signature in memory; of a larger key each item pairs with the smallest as the rows stream by.
+3. Each item's likeliest partner in a small key, and the likely pairs of large keys, are verified exactly and make components.
+   All other likely pairs of small keys that end in two components are verified after that.
+4. A large key is open if one of its pairs has ended in two components: the smallest may be far from two
    items that are similar. Its items outside its largest component meet all items of the key in tiles of at most ``TILE``
    by ``TILE``, where signatures are compared in memory and each item's likely partners are ordered, best first. Rounds
    verify the next few of them (``WINDOWS``), and all that are left in the last one; partners that have come into one
@@ -34,8 +36,12 @@ TILE = 4096
 WINDOWS = (8, 128)
 #: Pairs of a tile that are scored at once, and that are held together.
 _AT_ONCE, _HELD = 1 << 14, 1 << 18
+#: What differences of places may lose to rounding.
+_ROUNDED = 1e-6
 #: Items that a task looks at together, and how many of them make a key hot there.
-GATHER, HOT = 8192, 8
+GATHER, HOT = 8192, 32
+#: Keys of at most so many items are compared whole.
+SMALL = 64
 
 
 def components(tables: Tables, edges: DataFrame, name: str) -> DataFrame:
@@ -107,12 +113,12 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, l
         yield np.concatenate([b.column(0).to_numpy() for b in held]), [x for b in held for x in b.column(1).to_pylist()]
 
 
-_STARRED = "key long, a long, b long, more boolean"
+_STARRED = "key long, a long, b long, hot boolean"
 
 
 def _local_stars(batches: Iterator[pa.RecordBatch], keys_of: Callable) -> Iterator[pa.RecordBatch]:
     """Rows (key, a, null) of items; of keys that are hot among those looked at together only the smallest item, and
-    (a, a, b) for the pairs of the others with it. more: whether the key has items beyond those of this row."""
+    (a, a, b) for the pairs of the others with it. hot: whether the key has such pairs."""
     for ids, signatures in _gathered(batches):
         flat, owner = _distinct_keys(ids, keys_of(signatures))
         first = np.r_[True, flat[1:] != flat[:-1]]
@@ -125,32 +131,99 @@ def _local_stars(batches: Iterator[pa.RecordBatch], keys_of: Callable) -> Iterat
         n, m = int(single.sum()), len(pairs)
         b = pa.array(np.r_[np.zeros(n, np.int64), pairs[:, 1]], pa.int64(), mask=np.r_[np.ones(n, bool), np.zeros(m, bool)])
         cols = [pa.array(np.r_[flat[single], pairs[:, 0]]), pa.array(np.r_[owner[single], pairs[:, 0]]), b, pa.array(np.r_[hot[single], np.ones(m, bool)])]
-        yield pa.RecordBatch.from_arrays(cols, ["key", "a", "b", "more"])
+        yield pa.RecordBatch.from_arrays(cols, ["key", "a", "b", "hot"])
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, more) of rows sorted by (key, a): each item of a key with the key's first, and the pairs that came along.
-    more: whether the key has, or may have, a third item."""
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (key, a): (key, a, null) of keys with 2 to SMALL items; (null, a, b) for each item of larger and of hot keys
+    with the key's first, and for the pairs that came along."""
+
+    def starred(low: np.ndarray, a: np.ndarray) -> pa.RecordBatch:
+        cols = [pa.nulls(len(a), pa.int64()), pa.array(low, pa.int64()), pa.array(a, pa.int64())]
+        return pa.RecordBatch.from_arrays(cols, ["key", "a", "b"])
+
+    def parted(keys: np.ndarray, a: np.ndarray, n: np.ndarray, low: np.ndarray, large: np.ndarray) -> Iterator[pa.RecordBatch]:
+        small = ~large & (n > 1)
+        if small.any():
+            cols = [pa.array(keys[small]), pa.array(a[small]), pa.nulls(int(small.sum()), pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["key", "a", "b"])
+        pair = large & (low != a)
+        if pair.any():
+            yield starred(low[pair], a[pair])
+
+    #: The last key and its smallest item if it is large, and the rows of a key that may go on.
     key, low = None, None
+    held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
     for batch in batches:
-        if not batch.num_rows:
-            continue
         made = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
-        ready = batch.filter(pa.array(made))
-        if ready.num_rows:
-            yield ready.select(["a", "b", "more"])
-        keys, a, hot = (batch.column(i).to_numpy(zero_copy_only=False)[~made] for i in (0, 1, 3))
-        if not len(keys):
+        if made.any():
+            ready = batch.filter(pa.array(made))
+            yield starred(ready.column(1).to_numpy(), ready.column(2).to_numpy())
+        rows = tuple(np.r_[h, batch.column(i).to_numpy(zero_copy_only=False)[~made]] for h, i in zip(held, (0, 1, 3), strict=True))
+        if not len(rows[0]):
             continue
-        first = np.r_[key is None or keys[0] != key, keys[1:] != keys[:-1]]
-        group = np.cumsum(first)  # 0 for what goes on from the batch before
-        at = np.maximum.accumulate(np.where(first, np.arange(len(keys)), -1))
-        lows = np.where(at >= 0, a[np.maximum(at, 0)], a[0] if low is None else low)
-        more = (np.bincount(group)[group] > 2) | (np.bincount(group, hot)[group] > 0) | (group == 0) | (group == group[-1])
-        key, low = keys[-1], lows[-1]
-        pair = ~first & (lows != a)
-        if pair.any():
-            yield pa.RecordBatch.from_arrays([pa.array(lows[pair]), pa.array(a[pair]), pa.array(more[pair])], ["a", "b", "more"])
+        keys, a, hot = rows
+        if low is not None and keys[0] == key:
+            at = int(np.searchsorted(keys, key, "right"))
+            yield starred(np.full(at, low), a[:at])
+            keys, a, hot = keys[at:], a[at:], hot[at:]
+            if not len(keys):
+                held = keys, a, hot
+                continue
+        first = np.r_[True, keys[1:] != keys[:-1]]
+        group = np.cumsum(first) - 1
+        n, lows = np.bincount(group)[group], a[np.flatnonzero(first)][group]
+        large = (n > SMALL) | (np.bincount(group, hot)[group] > 0)
+        key, low = keys[-1], lows[-1] if large[-1] else None
+        done = len(keys) if large[-1] else len(keys) - int(n[-1])
+        held = keys[done:], a[done:], hot[done:]
+        yield from parted(*(x[:done] for x in (keys, a, n, lows, large)))
+    n = len(held[0])
+    if n:
+        yield from parted(held[0], held[1], np.full(n, n), np.full(n, held[1][0]), np.zeros(n, bool))
+
+
+def _within(score: Callable, kind: type, place: Callable | None):
+    """(a, b, first) of items (key, id, sig), sorted by key and id, of small keys: their pairs that may be similar. first: whether a is
+    the likeliest of b's partners before it."""
+
+    def meet(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, ids = (rows.column(c).to_numpy() for c in (0, 1))
+        sig = np.frombuffer(b"".join(rows.column(2).to_pylist()), kind).reshape(len(ids), -1)
+        at = place(sig) if place else None
+        begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        before = np.arange(len(ids)) - np.repeat(begin, np.diff(np.r_[begin, len(ids)]))
+        total, lo = np.cumsum(before), 0
+        while lo < len(ids):
+            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + _AT_ONCE, "right")))
+            m = before[lo:hi]
+            v = np.repeat(np.arange(lo, hi), m)
+            u = v - 1 - (np.arange(len(v)) - np.repeat(np.cumsum(m) - m, m))
+            if at is not None:
+                close = np.abs(at[u] - at[v]) <= 1 + _ROUNDED
+                u, v = u[close], v[close]
+            found = score(sig[u], sig[v]) if len(u) else np.zeros(0)
+            near = np.flatnonzero(found > 0)
+            near = near[np.lexsort((ids[u[near]], -found[near], v[near]))]
+            u, v, lo = u[near], v[near], hi
+            first = np.ones(len(v), bool)
+            first[1:] = v[1:] != v[:-1]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[u], pa.int64()), pa.array(ids[v], pa.int64()), pa.array(first)], ["a", "b", "first"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            key = rows.column(0).to_numpy()
+            at = int(np.searchsorted(key, key[-1])) if len(key) else 0
+            if at:
+                yield from meet(rows.slice(0, at))
+            held = rows.slice(at)
+        if held is not None and len(held):
+            yield from meet(held)
+
+    return run
 
 
 def _keys(batches: Iterator[pa.RecordBatch], keys_of: Callable) -> Iterator[pa.RecordBatch]:
@@ -161,29 +234,24 @@ def _keys(batches: Iterator[pa.RecordBatch], keys_of: Callable) -> Iterator[pa.R
 
 
 def _compared(keys_of: Callable, score: Callable, kind: type):
-    """(a, b, near, keys) of pairs with signatures: whether they may be similar, and the keys that both have if ``more``."""
+    """(a, b, near, keys) of pairs with signatures: whether they may be similar, and the keys that both have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sigs = [batch.column(i).to_pylist() for i in (3, 4)]
+            sigs = [batch.column(i).to_pylist() for i in (2, 3)]
             x, y = (np.frombuffer(b"".join(s), kind).reshape(batch.num_rows, -1) for s in sigs)
-            keys: list = [None] * batch.num_rows
-            rows = np.flatnonzero(batch.column(2).to_numpy(zero_copy_only=False))
-            if len(rows):
-                p, q = (keys_of([s[i] for i in rows]) for s in sigs)
-                for i, u, v in zip(rows.tolist(), p, q, strict=True):
-                    keys[i] = np.intersect1d(u, v)
+            keys = [np.intersect1d(u, v) for u, v in zip(*map(keys_of, sigs), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score(x, y) > 0), pa.array(keys, pa.list_(pa.int64()))], ["a", "b", "near", "keys"])
 
     return run
 
 
-def _tiles(keys_of: Callable, score: Callable, kind: type, lo: int, hi: int | None):
+def _tiles(keys_of: Callable | None, score: Callable, kind: type, place: Callable | None, lo: int, hi: int | None):
     """Pairs (a, b) of items of different components that may be similar: of each left item those with the places lo to hi in the
     order of its likely partners in a tile. A pair belongs to the tile of the smallest key that both have: that key is open
-    too, or they are its only items and have been compared. Rows (key) alone tell that a tile has more. In: (key, i, j, left,
+    too, or small, and they have been compared. Without ``keys_of`` it may come from several tiles. Rows (key) alone tell that a tile has more. In: (key, i, j, left,
     id, component, sig) sorted by tile."""
 
     def meet(rows: pa.Table) -> tuple[np.ndarray, set[int]]:
@@ -191,6 +259,7 @@ def _tiles(keys_of: Callable, score: Callable, kind: type, lo: int, hi: int | No
         left = rows.column(3).to_numpy()
         packed = rows.column(6).to_pylist()
         sig = np.frombuffer(b"".join(packed), kind).reshape(len(ids), -1)
+        spot = place(sig) if place else None
         ends = np.r_[np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1, len(ids)]
         out, more, at, held, size = [np.zeros((0, 2), np.int64)], set(), 0, [], 0
 
@@ -200,18 +269,20 @@ def _tiles(keys_of: Callable, score: Callable, kind: type, lo: int, hi: int | No
             near = np.flatnonzero(found > 0)
             near = near[np.lexsort((ids[v[near]], -found[near], u[near]))]
             u, v = u[near], v[near]
-            place = np.arange(len(u)) - np.searchsorted(u, u)
+            nth = np.arange(len(u)) - np.searchsorted(u, u)
             other = component[u] != component[v]
             if hi is not None:
-                more.update(key[u[other & (place >= hi)]].tolist())
-            now = other & (place >= lo) & (place < (hi or len(u) + 1))
+                more.update(key[u[other & (nth >= hi)]].tolist())
+            now = other & (nth >= lo) & (nth < (hi or len(u) + 1))
             u, v = u[now], v[now]
             for k in range(0, len(u), 1024):
                 x, y = u[k : k + 1024], v[k : k + 1024]
-                mine, theirs = (keys_of([packed[z] for z in w.tolist()]) for w in (x, y))
-                below = np.where(mine < key[x, None], mine, -1)
-                smaller = ((below[:, :, None] == theirs[:, None, :]) & (below[:, :, None] != -1)).any((1, 2))
-                x, y = ids[x[~smaller]], ids[y[~smaller]]
+                if keys_of:
+                    mine, theirs = (keys_of([packed[z] for z in w.tolist()]) for w in (x, y))
+                    below = np.where(mine < key[x, None], mine, -1)
+                    smaller = ((below[:, :, None] == theirs[:, None, :]) & (below[:, :, None] != -1)).any((1, 2))
+                    x, y = x[~smaller], y[~smaller]
+                x, y = ids[x], ids[y]
                 out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
             held.clear()
 
@@ -223,8 +294,13 @@ def _tiles(keys_of: Callable, score: Callable, kind: type, lo: int, hi: int | No
                 step = max(1, _HELD // len(right))
                 for k in range(0, len(lefts), step):
                     part = lefts[k : k + step]
-                    held.append((np.repeat(part, len(right)), np.tile(right, len(part))))
-                    size += len(part) * len(right)
+                    if spot is None:
+                        pair = np.repeat(part, len(right)), np.tile(right, len(part))
+                    else:
+                        x, y = np.nonzero(np.abs(spot[part, None] - spot[right]) <= 1 + _ROUNDED)
+                        pair = part[x], right[y]
+                    held.append(pair)
+                    size += len(pair[0])
                     if size >= _HELD:
                         flush()
                         size = 0
@@ -264,7 +340,7 @@ def _tiles(keys_of: Callable, score: Callable, kind: type, lo: int, hi: int | No
 def _open(tables: Tables, pairs: DataFrame, items: DataFrame, found: DataFrame, keys_of: Callable, name: str) -> DataFrame | None:
     """(key, i, j, left, id): the tiles of the open keys. The left items of a key, those outside its largest component, stay the same in
     all rounds, as do the chunks of right ones, so that each left item's order of partners does."""
-    ends = pairs.where("keys is not null").join(_component(found, "a"), "a", "left").join(_component(found, "b"), "b", "left")
+    ends = pairs.join(_component(found, "a"), "a", "left").join(_component(found, "b"), "b", "left")
     keys = ends.where("coalesce(c_a, a) <> coalesce(c_b, b)").select(F.explode("keys").alias("key")).distinct()
     keys = tables.cut(keys, f"{name}-open")
     if keys.isEmpty():
@@ -292,34 +368,51 @@ def link(
     near: tuple[Callable[[np.ndarray, np.ndarray], np.ndarray], type],
     verify: Callable[[DataFrame, str], DataFrame],
     name: str = "link",
+    unread: int = 0,
+    place: Callable[[np.ndarray], np.ndarray] | None = None,
 ) -> DataFrame:
     """(id, component) of the linked ids but the smallest of each component. items: id, sig. near: a score of rows of two
-    signatures, as numbers of a kind, above 0 if they may be similar and higher for likelier ones; and that kind.
-    verify(pairs, name) keeps the true ones of pairs (a, b), a < b."""
+    signatures, as numbers of a kind, above 0 if they may be similar and higher for likelier ones; and that kind. It does not
+    read the first ``unread`` bytes of signatures, and gets them with and without these. place: a number
+    of each such signature, of which those of similar items differ by 1 at most. verify(pairs, name) keeps the true ones of pairs (a, b), a < b."""
     items = items.select("id", "sig")
     keyed = items.mapInArrow(lean("link", lambda it: _local_stars(it, keys_of)), _STARRED)
-    met = keyed.repartition("key").sortWithinPartitions("key", "a").mapInArrow(lean("link", _stars), "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+    met = keyed.repartition("key").sortWithinPartitions("key", "a").mapInArrow(lean("link", _grouped), "key long, a long, b long")
     met = tables.cut(met, f"{name}-stars")
     tables.free()
     # from here on only items that share a key with another
-    ends = tables.cut(met.select(F.col("a").alias("id")).unionByName(met.select(F.col("b").alias("id"))).distinct(), f"{name}-ids")
+    ends = met.select(F.col("a").alias("id")).unionByName(met.where("b is not null").select(F.col("b").alias("id"))).distinct()
+    ends = tables.cut(ends, f"{name}-ids")
     items = tables.cut(semi(items, ends, "id"), f"{name}-ends")
+    small = met.where("b is null").select("key", F.col("a").alias("id")).join(items.select("id", F.expr(f"substring(sig, {unread + 1})").alias("sig")), "id")
+    small = small.select("key", "id", "sig").repartition("key").sortWithinPartitions("key", "id")
+    small = small.mapInArrow(lean("link", _within(*near, place)), "a long, b long, first boolean").groupBy("a", "b").agg(F.max("first").alias("first"))
+    small = tables.cut(small, f"{name}-small")
     a, b = (items.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
-    met = met.join(a, "a").join(b, "b").select("a", "b", "more", "sig_a", "sig_b")
-    pairs = tables.cut(met.mapInArrow(lean("link", _compared(keys_of, *near)), "a long, b long, near boolean, keys array<long>").where("near or keys is not null"), f"{name}-pairs")
+    large = met.where("b is not null").select("a", "b").distinct().join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b")
+    pairs = tables.cut(large.mapInArrow(lean("link", _compared(keys_of, *near)), "a long, b long, near boolean, keys array<long>"), f"{name}-pairs")
     tables.drop(f"{name}-stars", f"{name}-ids")
     tables.free()
-    tested = pairs.where("near").select("a", "b")
+    likely = pairs.where("near").select("a", "b")
+    tested = small.where("first").select("a", "b").unionByName(likely).distinct()
     found = tables.cut(components(tables, verify(tested, f"{name}-verify"), f"{name}-cc"), f"{name}-found")
+    rest = small.where("not first").join(_component(found, "a"), "a", "left").join(_component(found, "b"), "b", "left")
+    rest = rest.where("coalesce(c_a, a) <> coalesce(c_b, b)").select("a", "b").join(likely, ["a", "b"], "left_anti")
+    rest = tables.cut(rest, f"{name}-rest")
+    if not rest.isEmpty():
+        edges = verify(rest, f"{name}-verify-rest")
+        found = found if edges.isEmpty() else _grown(tables, found, edges, f"{name}-rest")
+    tested = small.select("a", "b").unionByName(likely)
+    ends = items.select("id", F.expr(f"substring(sig, {unread + 1})").alias("sig"))
     tiles = _open(tables, pairs, items, found, keys_of, name)
     for turn, (lo, hi) in enumerate(zip((0, *WINDOWS), (*WINDOWS, None), strict=True)):
         if tiles is None:
             break
         # later rounds are of few keys: the signatures of other items stay where they are
-        met = semi(items, tiles.select("id").distinct(), "id") if turn else items
+        met = semi(ends, tiles.select("id").distinct(), "id") if turn else ends
         rows = tiles.join(found, "id", "left").select("key", "i", "j", "left", "id", F.coalesce("component", "id").alias("component")).join(met, "id")
         rows = rows.select("key", "i", "j", "left", "id", "component", "sig").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        met = tables.cut(rows.mapInArrow(lean("link", _tiles(keys_of, *near, lo, hi)), "a long, b long, key long"), f"{name}-met{turn}")
+        met = tables.cut(rows.mapInArrow(lean("link", _tiles(None if unread else keys_of, *near, place, lo, hi)), "a long, b long, key long"), f"{name}-met{turn}")
         more = tables.cut(met.where("key is null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), f"{name}-more{turn}")
         if not more.isEmpty():
             edges = verify(more, f"{name}-verify{turn}")
@@ -329,7 +422,7 @@ def link(
         if left.isEmpty():
             break
         tiles = tiles.join(F.broadcast(left) if small_enough(left, 16) else left, "key", "left_semi")
-    tables.drop(f"{name}-pairs", f"{name}-tiles", f"{name}-ends")
+    tables.drop(f"{name}-pairs", f"{name}-tiles", f"{name}-ends", f"{name}-small", f"{name}-rest")
     return found
 
 
