@@ -30,6 +30,14 @@ def cluster_means(rows: DataFrame, types: DataFrame | None = None) -> DataFrame:
     return grid.join(total, ["cn", "type"], "left").select("cn", "type", (F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("mean"), "n")
 
 
+def share_means(cells: DataFrame, types: DataFrame) -> DataFrame:
+    """``cluster_means`` of cells (cn, shares of type, fraction), one row a cell, in one pass: a cell counts with its first share."""
+    each = cells.where("cn >= 1").select("cn", F.posexplode("shares").alias("place", "share"))
+    total = written(each.groupBy("cn", "share.type").agg(F.sum("share.fraction").alias("s"), F.count_if(F.col("place") == 0).alias("n")))
+    grid = total.groupBy("cn").agg(F.sum("n").alias("n")).crossJoin(F.broadcast(types))
+    return grid.join(total.select("cn", "type", "s"), ["cn", "type"], "left").select("cn", "type", (F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("mean"), "n")
+
+
 def merged_means(means: DataFrame, names: DataFrame) -> DataFrame:
     """(name, type, mean, n): neighbourhoods of one name together, weighted by their cells. A blank name is ``CN`` and the number."""
     named = means.join(names, "cn", "left").withColumn("name", display_name("name", "cn"))

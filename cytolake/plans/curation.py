@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from ..functions import gating as G
 from ..operators import cohort_models as M
 from ..operators import curation as U
+from ..operators import spatial as S
 from .neighbours import vectors
 from .predicted import _PRED, predictions
 from .registry import query, table
-from .spatial import _CELLS, _POLY, _POLY2, _WINDOW, _composition, _crossings, cells
+from .spatial import _CELLS, _POLY, _POLY2, _WINDOW, RADIUS, _crossings, cells
 
 _RULES = "SELECT r_regionkey AS k, r_name AS rule FROM region"
 
@@ -165,8 +166,8 @@ _CN = _WINDOW + ", cn AS (SELECT image, id, id % 4 AS cn FROM cells), r AS (SELE
 
 
 def _means(spark, sf_dir):
-    rows = _composition(spark, sf_dir).withColumn("cn", F.col("id") % 4)
-    return M.cluster_means(rows, cells(spark, sf_dir).select("type").distinct())
+    rows = S.window_shares(cells(spark, sf_dir), RADIUS).withColumn("cn", F.col("id") % 4)
+    return M.share_means(rows, cells(spark, sf_dir).select("type").distinct())
 
 
 @query(_CN + " SELECT cn, type, round(mean, 6) AS mean, n FROM m")

@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from cytolake.operators import spatial
+from cytolake.operators import cohort_models, spatial
 
 
 def cells(spark):
@@ -85,3 +87,33 @@ def test_spatial_radius_deals_its_pairs(spark):
 
     plan = spatial_radius(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan
+
+
+@pytest.mark.parametrize("grain", [0.0, 0.25])
+def test_windows_by_squares_equal_blocks(grain):
+    """Rims, points at the radius itself, null types; only a share of the pairs is compared."""
+    rng = np.random.default_rng(3)
+    x, y = (rng.uniform(lo, lo + 6, 3000) for lo in (-2, 50))
+    if grain:
+        x, y = (np.round(z / grain) * grain for z in (x, y))
+    kind, q = rng.integers(-1, 4, 3000), np.arange(0, 3000, 3)
+    t = [np.flatnonzero(kind == c) for c in range(4)]
+    assert (spatial._near_by_square(x, y, q, t, 2.25) == spatial._near_by_kind(x, y, q, t, 2.25)).all()
+    assert spatial._by_squares(x, y, 1.5, spatial.BY_SQUARE, 4) and not spatial._by_squares(x + 1e9, y, 1.5, spatial.BY_SQUARE, 4)
+
+
+def test_crowded_windows_go_by_squares(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "BY_SQUARE", 1)
+    c = cells(spark).where("image is not null")
+    pairs = spatial.radius_join(c, c, 1.5)
+    assert rounded(spatial.window_composition(c, 1.5)) == rounded(spatial.composition(pairs, c.select("image", "id", "type")))
+
+
+def test_means_of_shares_equal_means_of_rows(spark):
+    c = cells(spark)
+    shares = spatial.window_shares(c, 1.5).withColumn("cn", F.col("id") % 4)
+    rows = spatial.window_composition(c, 1.5).withColumn("cn", F.col("id") % 4)
+    types = c.select("type").distinct()
+    key = lambda df: sorted(str(tuple(round(v, 9) if isinstance(v, float) else v for v in r)) for r in df.collect())
+    assert shares.groupBy("image", "id").count().where("count > 1").isEmpty()
+    assert key(cohort_models.share_means(shares, types)) == key(cohort_models.cluster_means(rows, types))
