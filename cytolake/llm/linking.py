@@ -338,7 +338,7 @@ def _tiles(keys_of: Callable | None, score: Callable, kind: type, place: Callabl
 
 
 def _open(tables: Tables, pairs: DataFrame, items: DataFrame, found: DataFrame, keys_of: Callable, name: str) -> DataFrame | None:
-    """(key, i, j, left, id): the tiles of the open keys. The left items of a key, those outside its largest component, stay the same in
+    """(key, i, j, left, id, component): the tiles of the open keys. The left items of a key, those outside its largest component, stay the same in
     all rounds, as do the chunks of right ones, so that each left item's order of partners does."""
     ends = pairs.join(_component(found, "a"), "a", "left").join(_component(found, "b"), "b", "left")
     keys = ends.where("coalesce(c_a, a) <> coalesce(c_b, b)").select(F.explode("keys").alias("key")).distinct()
@@ -355,8 +355,8 @@ def _open(tables: Tables, pairs: DataFrame, items: DataFrame, found: DataFrame,
     dealt = held.join(F.broadcast(whole) if small_enough(whole, 40) else whole, "key")
     tiles = F.expr("transform(sequence(0, nl - 1), x -> struct(x as i, cast(pmod(xxhash64(id), nr) as int) as j, false as left))")
     mine = F.expr("transform(sequence(0, nr - 1), x -> struct(cast(pmod(xxhash64(id, 1), nl) as int) as i, x as j, true as left))")
-    dealt = dealt.select("key", "id", F.explode(F.when(F.col("component") == F.col("main"), tiles).otherwise(F.concat(tiles, mine))).alias("t"))
-    out = tables.cut(dealt.select("key", "t.i", "t.j", "t.left", "id"), f"{name}-tiles")
+    dealt = dealt.select("key", "id", "component", F.explode(F.when(F.col("component") == F.col("main"), tiles).otherwise(F.concat(tiles, mine))).alias("t"))
+    out = tables.cut(dealt.select("key", "t.i", "t.j", "t.left", "id", "component"), f"{name}-tiles")
     tables.drop(f"{name}-open", f"{name}-held", f"{name}-whole")
     return out
 
@@ -410,8 +410,7 @@ def link(
             break
         # later rounds are of few keys: the signatures of other items stay where they are
         met = semi(ends, tiles.select("id").distinct(), "id") if turn else ends
-        rows = tiles.join(found, "id", "left").select("key", "i", "j", "left", "id", F.coalesce("component", "id").alias("component")).join(met, "id")
-        rows = rows.select("key", "i", "j", "left", "id", "component", "sig").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        rows = tiles.join(met, "id").select("key", "i", "j", "left", "id", "component", "sig").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
         met = tables.cut(rows.mapInArrow(lean("link", _tiles(None if unread else keys_of, *near, place, lo, hi)), "a long, b long, key long"), f"{name}-met{turn}")
         more = tables.cut(met.where("key is null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), f"{name}-more{turn}")
         if not more.isEmpty():
@@ -421,7 +420,11 @@ def link(
         tables.drop(f"{name}-met{turn}")
         if left.isEmpty():
             break
-        tiles = tiles.join(F.broadcast(left) if small_enough(left, 16) else left, "key", "left_semi")
+        # written, as three steps of a round read them
+        tiles = tiles.drop("component").join(F.broadcast(left) if small_enough(left, 16) else left, "key", "left_semi").join(found, "id", "left")
+        tiles = tables.cut(tiles.withColumn("component", F.coalesce("component", "id")), f"{name}-tiles{turn + 1}")
+        tables.drop(f"{name}-tiles{turn}" if turn else f"{name}-tiles")
+    tables.drop(*(f"{name}-tiles{turn}" for turn in range(1, 1 + len(WINDOWS))))
     tables.drop(f"{name}-pairs", f"{name}-tiles", f"{name}-ends", f"{name}-small", f"{name}-rest")
     return found
 

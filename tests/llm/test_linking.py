@@ -68,3 +68,21 @@ def test_pieces_of_a_text_and_its_copies(spark):
         rows.append(" ".join(words))
     got = neardup.near_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), width=4).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: min(i, 300) for i in range(320)}
+
+
+def test_rounds_read_their_tiles_once(spark, monkeypatch):
+    """Components come with the tiles, and the tiles of a later round are written before its three steps read them."""
+    plans, real = {}, Tables.cut
+
+    def spy(self, df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return real(self, df, name)
+
+    monkeypatch.setattr(Tables, "cut", spy)
+    monkeypatch.setattr(linking, "TILE", 16)
+    monkeypatch.setattr(linking, "WINDOWS", (1, 2))
+    values = [0] + [1000 + 3 * (i % 40) + i // 100 for i in range(300)]
+    assert _linked(spark, [(i, 7, v) for i, v in enumerate(values)])
+    rounds = [plans[f"link-met{k}"] for k in range(3) if f"link-met{k}" in plans]
+    assert len(rounds) > 1 and not any("LeftOuter" in p for p in rounds)
+    assert not any(line for p in rounds for line in p.splitlines() if "LeftSemi" in line and "key" in line)
