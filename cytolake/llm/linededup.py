@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .linking import link, verified
+from .linking import BUCKETS, PACKED, buckets, link, packed, verified
 from .shared import Tables, lean, semi, small_enough
 from .words import encode, mix, run_hashes, runs
 
@@ -48,8 +48,14 @@ PAIRS, BINS, WORDY = 64, 128, 5
 #: Lines of few words are compared too if they have so many bytes of UTF-8: scripts without spaces have long words.
 LONG = 24
 _OCCURRENCES = "doc_id long, row long, line long, h binary, id long, sig binary"
+#: Words after a difference in which lines are looked through for a common one.
+AHEAD = 6
+#: Lines of which a smaller percentage of the words is common are not aligned by words.
+COMMON = 70
 #: Lines of so many characters have their pairs of characters compared before the edit distance.
 COUNTED = 256
+#: Stands for no id, above all of them.
+_NONE = 1 << 62
 #: Signs become spaces and digits 0; letters are lower-cased before.
 _PLAIN = bytes(48 if 48 <= c <= 57 else c if c == 10 or c >= 128 or 97 <= c <= 122 or 65 <= c <= 90 else 32 for c in range(256))
 #: So many words are counted in one byte; longer lines are summed by parts.
@@ -57,7 +63,7 @@ _PART = 255
 #: The eight bits of each byte as eight counters of a byte.
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).reshape(256)
 #: New lines that are looked at together, and their bytes.
-_LINES, _BYTES = 2048, 1 << 19
+_LINES, _BYTES = 2048, 1 << 18
 
 
 def lines_of(text) -> list[str]:
@@ -80,8 +86,11 @@ def simhash(h: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     parts = -(-size // _PART)
     line = np.repeat(np.arange(len(size)), parts)
     nth = np.arange(len(line)) - np.repeat(np.cumsum(parts) - parts, parts)
-    sums = np.add.reduceat(_LANES[octets], start[line] + nth * _PART, axis=0).view(np.uint8).reshape(len(line), BITS)
-    counts = sums.astype(np.int64)
+    at = start[line] + nth * _PART
+    sums = np.empty((len(line), BITS // 8), np.uint64)
+    for k in range(BITS // 8):  # a row of numbers is summed faster than rows of them
+        sums[:, k] = np.add.reduceat(_LANES[octets[:, k]], at)
+    counts = sums.view(np.uint8).reshape(len(line), BITS).astype(np.int64)
     if len(line) > len(size):
         counts = np.add.reduceat(counts, np.cumsum(parts) - parts, axis=0)
     return np.packbits(2 * counts > size[:, None], axis=1)
@@ -241,17 +250,35 @@ def edit_distance(a: str, b: str, most: int) -> int:
 
 
 def _at_most(a: str, b: str, most: int) -> bool:
-    """Whether words that differ place by place, or between common words at both ends, bound the edit distance by ``most``."""
+    """Whether an alignment of the words bounds the edit distance by ``most``: where they differ, the nearest place within
+    AHEAD words at which they are equal again goes on, and else the next word. What lies between counts in full, of two single words without common ends."""
     x, y = a.split(" "), b.split(" ")
-    if len(x) == len(y):
-        return sum(max(len(u), len(v)) for u, v in zip(x, y, strict=True) if u != v) <= most
-    lo, n = 0, min(len(x), len(y))
-    while lo < n and x[lo] == y[lo]:
-        lo += 1
-    end = 0
-    while end < n - lo and x[-1 - end] == y[-1 - end]:
-        end += 1
-    return max(sum(map(len, z)) + len(z) for z in (x[lo : len(x) - end], y[lo : len(y) - end])) <= most
+    i, j, n, m, cost = 0, 0, len(x), len(y), 0
+    p, q = set(x), set(y)
+    if 100 * len(p & q) < COMMON * min(len(p), len(q)):
+        return False
+    while i < n and j < m:
+        u, v = x[i], y[j]
+        if u == v:
+            i, j = i + 1, j + 1
+            continue
+        p, q = 1, 1
+        if not (i + 1 < n and j + 1 < m and x[i + 1] == y[j + 1]):
+            p, q = next(((p, s - p) for s in range(1, AHEAD) for p in range(s + 1) if i + p < n and j + s - p < m and x[i + p] == y[j + s - p]), (1, 1))
+        if p == q == 1:
+            k, most_ends = 0, min(len(u), len(v))
+            while k < most_ends and u[k] == v[k]:
+                k += 1
+            z = 0
+            while z < most_ends - k and u[-1 - z] == v[-1 - z]:
+                z += 1
+            cost += max(len(u), len(v)) - k - z
+        else:
+            cost += max(sum(map(len, x[i : i + p])) + p, sum(map(len, y[j : j + q])) + q)
+        if cost > most:
+            return False
+        i, j = i + p, j + q
+    return cost + sum(map(len, x[i:])) + n - i + sum(map(len, y[j:])) + m - j <= most
 
 
 def pair_counts(flat: str) -> np.ndarray:
@@ -333,6 +360,51 @@ def _occurrences(min_words: int):
     return run
 
 
+def _packed_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the rows (h, id), packed by the hash: of each of those looked at together its smallest id, _NONE if there is none, and the number n of rows; and with
+    n = 0 its other ids."""
+
+    def reduced(held: list) -> Iterator[pa.RecordBatch]:
+        h, h2, ids = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.lexsort((ids, h2, h))
+        h, h2, ids = h[order], h2[order], ids[order]
+        begin = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])])
+        n = np.zeros(len(h), np.int64)
+        n[begin] = np.diff(np.r_[begin, len(h)])
+        keep = (n > 0) | (ids != _NONE)
+        columns = [c[keep] for c in (h, h2, ids, n)]
+        yield from packed(columns[0] % BUCKETS, columns, ["h", "h2", "id", "n"])
+
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            h = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64).reshape(-1, 2)
+            held.append((h[:, 0], h[:, 1], batch.column(1).fill_null(_NONE).to_numpy()))
+            size += len(h)
+        if size >= PACKED:
+            yield from reduced(held)
+            held, size = [], 0
+    if size:
+        yield from reduced(held)
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of packed rows (h, id, n): the ids for which a smaller one of the same hash stands, and the hashes of several rows."""
+    for h, h2, ids, n in buckets(batches):
+        spare = ids[n == 0]
+        h, h2, ids, n = (c[n > 0] for c in (h, h2, ids, n))
+        order = np.lexsort((ids, h2, h))
+        h, h2, ids, n = h[order], h2[order], ids[order], n[order]
+        again = np.r_[False, (h[1:] == h[:-1]) & (h2[1:] == h2[:-1])]
+        begin = np.flatnonzero(~again)
+        several = begin[np.add.reduceat(n, begin) > 1] if len(begin) else begin
+        spare = np.r_[spare, ids[again & (ids != _NONE)]]
+        both = np.ascontiguousarray(np.stack([h[several], h2[several]], 1)).tobytes()
+        hashes = [both[k : k + 16] for k in range(0, len(both), 16)]
+        cols = [pa.array([*hashes, *[None] * len(spare)], pa.binary()), pa.array(np.r_[np.zeros(len(several), np.int64), spare], pa.int64(), mask=np.r_[np.ones(len(several), bool), np.zeros(len(spare), bool)])]
+        yield pa.RecordBatch.from_arrays(cols, ["h", "id"])
+
+
 def _chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, data): the normalised lines of texts at the given places."""
     for batch in batches:
@@ -363,17 +435,22 @@ def _by_row(docs: DataFrame, rows: DataFrame, row_bytes: int, held: str, how: st
 def line_groups(docs: DataFrame, items: DataFrame, tables: Tables, least: int) -> DataFrame:
     """(id, component) of the lines that are linked with one of a smaller id. docs: doc_id, row, text; items: id, sig, doc_id, row, line."""
 
-    def verify(pairs: DataFrame, name: str) -> DataFrame:
-        ids = tables.cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), f"{name}-ids")
+    def texts_of(ids: DataFrame, name: str) -> DataFrame:
         places = semi(items, ids, "id").select("doc_id", "row", F.struct("id", "line").alias("x"))
         places = tables.cut(places.groupBy("doc_id", "row").agg(F.collect_list("x").alias("wanted")), f"{name}-places")
         held = _by_row(docs.where("text is not null"), places, 16, "wanted", "inner").select("text", "wanted").mapInArrow(lean("lines", _chosen), "id long, data binary")
-        payload = tables.cut(held.dropDuplicates(["id"]), f"{name}-lines")
-        edges = tables.cut(verified(pairs, payload, similar_lines(least)), f"{name}-kept")
-        tables.drop(f"{name}-lines", f"{name}-places", f"{name}-ids")
+        out = tables.cut(held.dropDuplicates(["id"]), name)
+        tables.drop(f"{name}-places")
+        return out
+
+    def verify(pairs: DataFrame, name: str) -> DataFrame:
+        ids = tables.cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), f"{name}-ids")
+        edges = tables.cut(verified(pairs, texts_of(ids, f"{name}-lines"), similar_lines(least)), f"{name}-kept")
+        tables.drop(f"{name}-lines", f"{name}-ids")
         return edges
 
-    return link(tables, items, line_keys, (may_be_similar(least), np.uint8), verify, "lines", _KEYS + 8 * MINIMA, length_place(least))
+    near = may_be_similar(least), np.uint8
+    return link(tables, items, line_keys, near, verify, "lines", _KEYS + 8 * MINIMA, length_place(least), (texts_of, similar_lines(least)))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 5, least: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -387,21 +464,23 @@ def dedup_lines(docs: DataFrame, min_words: int = 5, least: int = 80, id_col: st
     seen = tables.cut(texts.mapInArrow(lean("lines", _occurrences(min_words)), _OCCURRENCES), "occurrences")
     # a class's smallest id stands for it; the few others come from lines that several batches hold
     signed = seen.where("id is not null")
-    classes = tables.cut(signed.groupBy("h").agg(F.min("id").alias("id"), F.collect_list("id").alias("ids")), "classes")
-    spare = classes.where("size(ids) > 1").select("id", F.explode("ids").alias("own")).where("own <> id").select(F.col("own").alias("id"))
-    spare, classes = tables.cut(spare, "spare"), classes.select("h", "id")
+    hashed = seen.select("h", "id").mapInArrow(lean("lines", _packed_hashes), "bucket long, h binary, h2 binary, id binary, n binary")
+    hashed = hashed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean("lines", _repeated), "h binary, id long")
+    hashed = tables.cut(hashed, "repeated")
+    spare = hashed.where("id is not null").select("id")
     items = signed.join(F.broadcast(spare) if small_enough(spare, 16) else spare, "id", "left_anti")
     found = line_groups(texts, items, tables, least)
     linked = found.unionByName(found.select(F.col("component").alias("id"), "component").distinct())
-    linked = classes.join(linked, "id").select("h", F.col("component").cast("string").cast("binary").alias("group"))
-    again = seen.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").join(linked, "h", "full").select("h", F.coalesce("group", "h").alias("group"))
+    linked = tables.cut(linked, "linked")
+    linked = signed.select("h", "id").join(F.broadcast(linked) if small_enough(linked, 24) else linked, "id").select("h", F.col("component").cast("string").cast("binary").alias("group"))
+    again = hashed.where("h is not null").select("h").join(linked, "h", "full").select("h", F.coalesce("group", "h").alias("group"))
     again = tables.cut(again, "affected")
     places = seen.select("doc_id", "row", "line", "h").join(F.broadcast(again) if small_enough(again, 48) else again, "h")
     places = tables.cut(places.select("group", F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row", "line").alias("place")), "places")
     first = tables.cut(places.groupBy("group").agg(F.min("place").alias("keep")), "first")
     later = places.join(F.broadcast(first) if small_enough(first, 64) else first, "group").where("not (place <=> keep)").select("place.*")
     gone = tables.cut(later.groupBy("doc_id", "row").agg(F.collect_set("line").alias("gone")), "gone")
-    tables.drop("occurrences", "classes", "spare", "affected", "places", "first", "lines-found")
+    tables.drop("occurrences", "repeated", "linked", "affected", "places", "first", "lines-found")
     tables.free()
     joined = _by_row(flat.withColumns({"row": row, "doc_id": F.col(doc_id).cast("long")}), gone, 8, "gone", "left").drop("row", "doc_id")
     schema = T.StructType([*[f for f in flat.schema.fields], T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])

@@ -14,6 +14,11 @@
    verify the next few of them (``WINDOWS``), and all that are left in the last one; partners that have come into one
    component meanwhile are passed over. So every two items that share a key are compared or end in one component,
    a few rows an item suffice where groups grow together, and no round emits the pairs of a group that is one already.
+   Where the data of items is short enough to come with them (``inside``), a tile verifies its likely pairs itself, best
+   first, and merges the components that it knows at once: one round, which returns fewer rows than the tiles have items.
+
+The rows of step 2 are many and short. They are packed: a task cuts them by key into ``BUCKETS`` and sends a blob for each,
+and the task that gets a bucket sorts its rows in memory, one bucket after the other.
 
 Components come from alternating large-star and small-star passes over tables, so no lineage grows and nothing is
 collected; hot vertices are reduced by partial minima. Later edges are contracted to components first.
@@ -29,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Tables, lean, semi, small_enough
+from .words import mix
 
 #: Items of an open key meet in tiles of at most about so many by so many.
 TILE = 4096
@@ -42,6 +48,10 @@ _ROUNDED = 1e-6
 GATHER, HOT = 8192, 32
 #: Keys of at most so many items are compared whole.
 SMALL = 64
+#: Tiles whose items bring their data hold about so many bytes of it.
+TILE_BYTES = 32 << 20
+#: Buckets of packed rows, a power of two: of a thousand million rows one has a million. Rows that a task packs together, and blobs that leave it at once.
+BUCKETS, PACKED, _BLOBS = 1024, 1 << 20, 128
 
 
 def components(tables: Tables, edges: DataFrame, name: str) -> DataFrame:
@@ -113,9 +123,6 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, l
         yield np.concatenate([b.column(0).to_numpy() for b in held]), [x for b in held for x in b.column(1).to_pylist()]
 
 
-_STARRED = "key long, a long, b long, hot boolean"
-
-
 def _local_stars(batches: Iterator[pa.RecordBatch], keys_of: Callable) -> Iterator[pa.RecordBatch]:
     """Rows (key, a, null) of items; of keys that are hot among those looked at together only the smallest item, and
     (a, a, b) for the pairs of the others with it. hot: whether the key has such pairs."""
@@ -134,6 +141,82 @@ def _local_stars(batches: Iterator[pa.RecordBatch], keys_of: Callable) -> Iterat
         yield pa.RecordBatch.from_arrays(cols, ["key", "a", "b", "hot"])
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Numbers of 64 bits by the places of their bytes, of which the high ones compress."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def from_planes(blobs: list[bytes]) -> np.ndarray:
+    return np.concatenate([np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(np.int64).reshape(-1) for b in blobs])
+
+
+def packed(bucket: np.ndarray, columns: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """(bucket, columns) of rows of 64-bit numbers: one row, of planes, for each bucket."""
+    order = np.argsort(bucket.astype(np.uint16), kind="stable")
+    edge = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+    columns = [x[order] for x in columns]
+    full = np.flatnonzero(np.diff(edge))
+    for at in range(0, len(full), _BLOBS):
+        part = full[at : at + _BLOBS]
+        blobs = [pa.array([planes(x[edge[k] : edge[k + 1]]) for k in part.tolist()], pa.binary()) for x in columns]
+        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), *blobs], ["bucket", *names])
+
+
+def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of one bucket after the other, of packed rows sorted by bucket."""
+    at, held = None, []
+    for batch in batches:
+        for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
+            if row[0] != at and held:
+                yield [from_planes(list(x)) for x in zip(*held, strict=True)]
+                held = []
+            at = row[0]
+            held.append(row[1:])
+    if held:
+        yield [from_planes(list(x)) for x in zip(*held, strict=True)]
+
+
+_PACKED = "bucket long, key binary, a binary, b binary"
+#: In packed rows: no pair, of a key that is hot or not.
+_HOT, _COLD = -1, -2
+
+
+def _packed_stars(batches: Iterator[pa.RecordBatch], keys_of: Callable) -> Iterator[pa.RecordBatch]:
+    """The rows of ``_local_stars``, packed by key; b is _HOT or _COLD where it is null. Ids are not below 0."""
+    held, size = [], 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        key, a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+        yield from packed((mix(key.view(np.uint64)) >> np.uint64(32)).astype(np.int64) % BUCKETS, [key, a, b], ["key", "a", "b"])
+
+    for batch in _local_stars(batches, keys_of):
+        key, a, hot = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
+        b = batch.column(2).fill_null(_COLD).to_numpy()
+        held.append((key, a, np.where((b == _COLD) & hot, _HOT, b)))
+        size += len(key)
+        if size >= PACKED:
+            yield from flush()
+            held, size = [], 0
+    if size:
+        yield from flush()
+
+
+def _sorted_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows (key, a, b, hot) of one bucket after the other, sorted by key and a, but for keys of one row, which make no pair."""
+    for key, a, b in buckets(batches):
+        made = b >= 0
+        pairs = a[made], b[made]
+        key, a, b = key[~made], a[~made], b[~made]
+        order = np.argsort(key)
+        near = key[order[1:]] == key[order[:-1]]
+        order = order[np.r_[False, near] | np.r_[near, False]] if len(order) else order
+        order = order[np.lexsort((a[order], key[order]))]
+        n, m = len(order), len(pairs[0])
+        cols = [np.r_[key[order], pairs[0]], np.r_[a[order], pairs[0]], np.r_[np.zeros(n, np.int64), pairs[1]], np.r_[b[order] == _HOT, np.ones(m, bool)]]
+        none = np.r_[np.ones(n, bool), np.zeros(m, bool)]
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2], mask=none), pa.array(cols[3])], ["key", "a", "b", "hot"])
+
+
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by (key, a): (key, a, null) of keys with 2 to SMALL items; (null, a, b) for each item of larger and of hot keys
     with the key's first, and for the pairs that came along."""
@@ -337,9 +420,95 @@ def _tiles(keys_of: Callable | None, score: Callable, kind: type, place: Callabl
     return run
 
 
-def _open(tables: Tables, pairs: DataFrame, items: DataFrame, found: DataFrame, keys_of: Callable, name: str) -> DataFrame | None:
-    """(key, i, j, left, id, component): the tiles of the open keys. The left items of a key, those outside its largest component, stay the same in
-    all rounds, as do the chunks of right ones, so that each left item's order of partners does."""
+def _inside(keys_of: Callable, score: Callable, kind: type, place: Callable | None, check: Callable):
+    """Edges (a, b) that join the components of items with their data, tile by tile: each left item meets the right ones, and its likely
+    partners are verified best first, but for those that have come into its component. Two items outside the main component
+    meet twice, and the one of the smaller id is taken as left. A pair belongs to the tile of the smallest key that both have, as in
+    ``_tiles``. In: (key, i, j, left, right, main, id, component, sig, data) sorted by tile."""
+
+    def meet(rows: pa.Table) -> pa.RecordBatch:
+        key, i, j, left, right, main, ids, component = (rows.column(c).to_numpy() for c in range(8))
+        packed, data = (rows.column(c).to_pylist() for c in (8, 9))
+        sig = np.frombuffer(b"".join(packed), kind).reshape(len(ids), -1)
+        spot = place(sig) if place else None
+        names, of = np.unique(component, return_inverse=True)
+        root = np.arange(len(names))
+        ends = np.r_[np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1, len(ids)]
+        out: list[tuple[int, int]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def owned(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+            mine, theirs = (keys_of([packed[z] for z in w.tolist()]) for w in (u, v))
+            below = mine < key[u, None]
+            return ~((mine[:, :, None] == theirs[:, None, :]) & below[:, :, None]).any((1, 2))
+
+        def flush() -> None:
+            u, v = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            if not len(u):
+                return
+            found = np.concatenate([score(sig[u[k : k + _AT_ONCE]], sig[v[k : k + _AT_ONCE]]) for k in range(0, len(u), _AT_ONCE)])
+            near = np.flatnonzero(found > 0)
+            near = near[np.lexsort((ids[v[near]], -found[near], u[near]))]
+            u, v, width = u[near], v[near], 1
+            while len(u):
+                apart = root[of[u]] != root[of[v]]
+                u, v = u[apart], v[apart]
+                now = np.arange(len(u)) - np.searchsorted(u, u) < width
+                x, y = u[now], v[now]
+                for k in range(0, len(x), 1024):
+                    p, q = x[k : k + 1024], y[k : k + 1024]
+                    good = owned(p, q)
+                    for b, c in zip(p[good].tolist(), q[good].tolist(), strict=True):
+                        r, s = root[of[b]], root[of[c]]
+                        if r != s and check(data[b], [data[c]])[0]:
+                            root[root == s] = r
+                            out.append((min(ids[b], ids[c]), max(ids[b], ids[c])))
+                u, v, width = u[~now], v[~now], 4 * width
+
+        at, size = 0, 0
+        for end in ends.tolist():
+            lefts, rights = at + np.flatnonzero(left[at:end]), at + np.flatnonzero(right[at:end])
+            at = end
+            step = max(1, _HELD // max(1, len(rights)))
+            for k in range(0, len(lefts), step) if len(rights) else ():
+                part = lefts[k : k + step]
+                meets = (root[of[part]][:, None] != root[of[rights]]) & (main[rights] | (ids[part, None] < ids[rights]))
+                if spot is not None:
+                    meets &= np.abs(spot[part, None] - spot[rights]) <= 1 + _ROUNDED
+                x, y = np.nonzero(meets)
+                held.append((part[x], rights[y]))
+                size += len(x)
+                if size >= _HELD:
+                    flush()
+                    size = 0
+        if held:
+            flush()
+        return pa.RecordBatch.from_arrays([pa.array([int(x[k]) for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            last = np.ones(len(rows), bool)
+            for c in range(3):
+                x = rows.column(c).to_numpy()
+                last &= x == x[-1]
+            at = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+            if at:
+                yield meet(rows.slice(0, at))
+            held = rows.slice(at)
+        if held is not None:
+            yield meet(held)
+
+    return run
+
+
+def _held(tables: Tables, pairs: DataFrame, items: DataFrame, found: DataFrame, keys_of: Callable, name: str) -> DataFrame | None:
+    """(key, id, component) of the items of the open keys, if there are any."""
     ends = pairs.join(_component(found, "a"), "a", "left").join(_component(found, "b"), "b", "left")
     keys = ends.where("coalesce(c_a, a) <> coalesce(c_b, b)").select(F.explode("keys").alias("key")).distinct()
     keys = tables.cut(keys, f"{name}-open")
@@ -348,6 +517,35 @@ def _open(tables: Tables, pairs: DataFrame, items: DataFrame, found: DataFrame,
     every = items.mapInArrow(lean("link", lambda it: _keys(it, keys_of)), "key long, id long")
     held = every.join(F.broadcast(keys) if small_enough(keys, 16) else keys, "key", "left_semi").join(found, "id", "left")
     held = tables.cut(held.select("key", "id", F.coalesce("component", "id").alias("component")), f"{name}-held")
+    tables.drop(f"{name}-open")
+    return held
+
+
+def _merged(tables: Tables, held: DataFrame, items: DataFrame, data: DataFrame, near: tuple, place: Callable | None, keys_of: Callable, check: Callable) -> DataFrame:
+    """Edges (a, b) of the tiles of held items with their data: as in ``_open``, but an item that is left and right in a tile is one row."""
+    sizes = data.select("id", F.length("data").alias("size"))
+    sized = held.join(F.broadcast(sizes) if small_enough(sizes, 16) else sizes, "id")
+    parts = sized.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    whole = parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.max_by("component", F.struct("n", "component")).alias("main"), F.max(F.struct("n", "component", "size")).alias("most"))
+    pieces = lambda n, size: F.ceil(F.greatest(n / TILE, size / TILE_BYTES, F.lit(1e-9))).cast("int")
+    whole = whole.where("n > most.n").select("key", "main", pieces(F.col("n"), F.col("size")).alias("nr"), pieces(F.col("n") - F.col("most.n"), F.col("size") - F.col("most.size")).alias("nl"))
+    dealt = held.join(F.broadcast(whole) if small_enough(held, 40) else whole, "key").withColumn("main", F.col("component") == F.col("main"))
+    dealt = dealt.withColumns({"own_i": F.expr("cast(pmod(xxhash64(id, 1), nl) as int)"), "own_j": F.expr("cast(pmod(xxhash64(id), nr) as int)")})
+    right = "transform(sequence(0, nl - 1), x -> struct(x as i, own_j as j, not main and x = own_i as left, true as right))"
+    left = "transform(filter(sequence(0, nr - 1), x -> not main and x <> own_j), x -> struct(own_i as i, x as j, true as left, false as right))"
+    dealt = dealt.select("key", "main", "id", "component", F.explode(F.expr(f"concat({right}, {left})")).alias("t"))
+    full = items.select("id", "sig").join(data, "id")
+    rows = dealt.select("key", "t.i", "t.j", "t.left", "t.right", "main", "id", "component").join(full, "id")
+    rows = rows.select("key", "i", "j", "left", "right", "main", "id", "component", "sig", "data").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return rows.mapInArrow(lean("link", _inside(keys_of, *near, place, check)), "a long, b long")
+
+
+def _open(tables: Tables, pairs: DataFrame, items: DataFrame, found: DataFrame, keys_of: Callable, name: str) -> DataFrame | None:
+    """(key, i, j, left, id, component): the tiles of the open keys. The left items of a key, those outside its largest component, stay the same in
+    all rounds, as do the chunks of right ones, so that each left item's order of partners does."""
+    held = _held(tables, pairs, items, found, keys_of, name)
+    if held is None:
+        return None
     parts = held.groupBy("key", "component").agg(F.count("*").alias("n"))
     whole = parts.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("k"))
     whole = whole.where("k > 1 and n > 2").select("key", "main", F.ceil(F.col("n") / TILE).cast("int").alias("nr"), F.ceil((F.col("n") - F.col("most")) / TILE).cast("int").alias("nl"))
@@ -357,7 +555,7 @@ def _open(tables: Tables, pairs: DataFrame, items: DataFrame, found: DataFrame,
     mine = F.expr("transform(sequence(0, nr - 1), x -> struct(cast(pmod(xxhash64(id, 1), nl) as int) as i, x as j, true as left))")
     dealt = dealt.select("key", "id", "component", F.explode(F.when(F.col("component") == F.col("main"), tiles).otherwise(F.concat(tiles, mine))).alias("t"))
     out = tables.cut(dealt.select("key", "t.i", "t.j", "t.left", "id", "component"), f"{name}-tiles")
-    tables.drop(f"{name}-open", f"{name}-held", f"{name}-whole")
+    tables.drop(f"{name}-held", f"{name}-whole")
     return out
 
 
@@ -370,14 +568,16 @@ def link(
     name: str = "link",
     unread: int = 0,
     place: Callable[[np.ndarray], np.ndarray] | None = None,
+    inside: tuple[Callable[[DataFrame, str], DataFrame], Callable[[bytes, list[bytes]], list[bool]]] | None = None,
 ) -> DataFrame:
     """(id, component) of the linked ids but the smallest of each component. items: id, sig. near: a score of rows of two
     signatures, as numbers of a kind, above 0 if they may be similar and higher for likelier ones; and that kind. It does not
     read the first ``unread`` bytes of signatures, and gets them with and without these. place: a number
-    of each such signature, of which those of similar items differ by 1 at most. verify(pairs, name) keeps the true ones of pairs (a, b), a < b."""
+    of each such signature, of which those of similar items differ by 1 at most. verify(pairs, name) keeps the true ones of pairs (a, b), a < b. inside: the data
+    (id, data) of distinct ids (id), written under a name, and a check of it as for ``verified``."""
     items = items.select("id", "sig")
-    keyed = items.mapInArrow(lean("link", lambda it: _local_stars(it, keys_of)), _STARRED)
-    met = keyed.repartition("key").sortWithinPartitions("key", "a").mapInArrow(lean("link", _grouped), "key long, a long, b long")
+    keyed = items.mapInArrow(lean("link", lambda it: _packed_stars(it, keys_of)), _PACKED)
+    met = keyed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean("link", lambda it: _grouped(_sorted_stars(it))), "key long, a long, b long")
     met = tables.cut(met, f"{name}-stars")
     tables.free()
     # from here on only items that share a key with another
@@ -388,10 +588,12 @@ def link(
     small = small.select("key", "id", "sig").repartition("key").sortWithinPartitions("key", "id")
     small = small.mapInArrow(lean("link", _within(*near, place)), "a long, b long, first boolean").groupBy("a", "b").agg(F.max("first").alias("first"))
     small = tables.cut(small, f"{name}-small")
-    a, b = (items.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
-    large = met.where("b is not null").select("a", "b").distinct().join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b")
+    large = tables.cut(met.where("b is not null").select("a", "b").distinct(), f"{name}-large")
+    ends = semi(items, large.select(F.col("a").alias("id")).unionByName(large.select(F.col("b").alias("id"))).distinct(), "id")
+    a, b = (ends.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
+    large = large.join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b")
     pairs = tables.cut(large.mapInArrow(lean("link", _compared(keys_of, *near)), "a long, b long, near boolean, keys array<long>"), f"{name}-pairs")
-    tables.drop(f"{name}-stars", f"{name}-ids")
+    tables.drop(f"{name}-stars", f"{name}-ids", f"{name}-large")
     tables.free()
     likely = pairs.where("near").select("a", "b")
     tested = small.where("first").select("a", "b").unionByName(likely).distinct()
@@ -399,6 +601,19 @@ def link(
     rest = small.where("not first").join(_component(found, "a"), "a", "left").join(_component(found, "b"), "b", "left")
     rest = rest.where("coalesce(c_a, a) <> coalesce(c_b, b)").select("a", "b").join(likely, ["a", "b"], "left_anti")
     rest = tables.cut(rest, f"{name}-rest")
+    if inside:
+        read, check = inside
+        held = _held(tables, pairs, items, found, keys_of, name)
+        ends = rest.select(F.col("a").alias("id")).unionByName(rest.select(F.col("b").alias("id")))
+        ends = tables.cut((ends if held is None else ends.unionByName(held.select("id"))).distinct(), f"{name}-left")
+        if not ends.isEmpty():
+            data = read(ends, f"{name}-left-data")
+            edges = verified(rest, data, check)
+            edges = edges if held is None else edges.unionByName(_merged(tables, held, semi(items, ends, "id"), data, near, place, keys_of, check))
+            edges = tables.cut(edges, f"{name}-left-kept")
+            found = found if edges.isEmpty() else _grown(tables, found, edges, f"{name}-left")
+        tables.drop(*(f"{name}-{x}" for x in ("left", "left-data", "left-kept", "held", "pairs", "ends", "small", "rest")))
+        return found
     if not rest.isEmpty():
         edges = verify(rest, f"{name}-verify-rest")
         found = found if edges.isEmpty() else _grown(tables, found, edges, f"{name}-rest")
