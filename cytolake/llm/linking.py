@@ -18,7 +18,8 @@
    first, and merges the components that it knows at once: one round, which returns fewer rows than the tiles have items.
 
 The rows of step 2 are many and short. They are packed: a task cuts them by key into ``BUCKETS`` and sends a blob for each,
-and the task that gets a bucket sorts its rows in memory, one bucket after the other.
+and the task that gets a bucket sorts its rows in memory, one bucket after the other. Where items have a ``place``, those of small
+keys that are near no other go no further.
 
 Components come from alternating large-star and small-star passes over tables, so no lineage grows and nothing is
 collected; hot vertices are reduced by partial minima. Later edges are contracted to components first.
@@ -123,8 +124,8 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, l
         yield np.concatenate([b.column(0).to_numpy() for b in held]), [x for b in held for x in b.column(1).to_pylist()]
 
 
-def _local_stars(batches: Iterator[pa.RecordBatch], keys_of: Callable) -> Iterator[pa.RecordBatch]:
-    """Rows (key, a, null) of items; of keys that are hot among those looked at together only the smallest item, and
+def _local_stars(batches: Iterator[pa.RecordBatch], keys_of: Callable, spot_of: Callable) -> Iterator[pa.RecordBatch]:
+    """Rows (key, a, null, hot, spot) of items; of keys that are hot among those looked at together only the smallest item, and
     (a, a, b) for the pairs of the others with it. hot: whether the key has such pairs."""
     for ids, signatures in _gathered(batches):
         flat, owner = _distinct_keys(ids, keys_of(signatures))
@@ -137,8 +138,10 @@ def _local_stars(batches: Iterator[pa.RecordBatch], keys_of: Callable) -> Iterat
         pairs = np.unique(np.stack([low[left], owner[left]], 1), axis=0) if left.any() else np.zeros((0, 2), np.int64)
         n, m = int(single.sum()), len(pairs)
         b = pa.array(np.r_[np.zeros(n, np.int64), pairs[:, 1]], pa.int64(), mask=np.r_[np.ones(n, bool), np.zeros(m, bool)])
+        order = np.argsort(ids)
+        spot = spot_of(signatures)[order[np.searchsorted(ids, owner[single], sorter=order)]]
         cols = [pa.array(np.r_[flat[single], pairs[:, 0]]), pa.array(np.r_[owner[single], pairs[:, 0]]), b, pa.array(np.r_[hot[single], np.ones(m, bool)])]
-        yield pa.RecordBatch.from_arrays(cols, ["key", "a", "b", "hot"])
+        yield pa.RecordBatch.from_arrays([*cols, pa.array(np.r_[spot, np.zeros(m, np.int64)])], ["key", "a", "b", "hot", "spot"])
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -177,22 +180,34 @@ def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
 
 
 _PACKED = "bucket long, key binary, a binary, b binary"
-#: In packed rows: no pair, of a key that is hot or not.
-_HOT, _COLD = -1, -2
+#: Steps of a place in packed rows, few so that they take little space there.
+_STEPS = 4
 
 
-def _packed_stars(batches: Iterator[pa.RecordBatch], keys_of: Callable) -> Iterator[pa.RecordBatch]:
-    """The rows of ``_local_stars``, packed by key; b is _HOT or _COLD where it is null. Ids are not below 0."""
+def _spots(place: Callable | None, kind: type) -> Callable:
+    """Of signatures their places in whole steps from 0 on, or zeros."""
+
+    def spots(signatures: list[bytes]) -> np.ndarray:
+        if not place:
+            return np.zeros(len(signatures), np.int64)
+        at = place(np.frombuffer(b"".join(signatures), kind).reshape(len(signatures), -1))
+        return (np.clip(at, 0, 1 << 40) * _STEPS).astype(np.int64)
+
+    return spots
+
+
+def _packed_stars(batches: Iterator[pa.RecordBatch], keys_of: Callable, spot_of: Callable) -> Iterator[pa.RecordBatch]:
+    """The rows of ``_local_stars``, packed by key; b, where it is null, tells hot and spot and is below 0. Ids are not below 0."""
     held, size = [], 0
 
     def flush() -> Iterator[pa.RecordBatch]:
         key, a, b = (np.concatenate(x) for x in zip(*held, strict=True))
         yield from packed((mix(key.view(np.uint64)) >> np.uint64(32)).astype(np.int64) % BUCKETS, [key, a, b], ["key", "a", "b"])
 
-    for batch in _local_stars(batches, keys_of):
-        key, a, hot = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
-        b = batch.column(2).fill_null(_COLD).to_numpy()
-        held.append((key, a, np.where((b == _COLD) & hot, _HOT, b)))
+    for batch in _local_stars(batches, keys_of, spot_of):
+        key, a, hot, spot = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3, 4))
+        b = batch.column(2).fill_null(-1).to_numpy()
+        held.append((key, a, np.where(b < 0, -1 - (2 * spot + hot), b)))
         size += len(key)
         if size >= PACKED:
             yield from flush()
@@ -202,7 +217,8 @@ def _packed_stars(batches: Iterator[pa.RecordBatch], keys_of: Callable) -> Itera
 
 
 def _sorted_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows (key, a, b, hot) of one bucket after the other, sorted by key and a, but for keys of one row, which make no pair."""
+    """The rows (key, a, b, hot) of one bucket after the other, sorted by key and a, but for keys of one row, which make no pair,
+    and for the items of small keys of which no other has a place within 1."""
     for key, a, b in buckets(batches):
         made = b >= 0
         pairs = a[made], b[made]
@@ -210,9 +226,16 @@ def _sorted_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         order = np.argsort(key)
         near = key[order[1:]] == key[order[:-1]]
         order = order[np.r_[False, near] | np.r_[near, False]] if len(order) else order
+        spot, hot = (-1 - b) >> 1, ((-1 - b) & 1).astype(bool)
+        order = order[np.lexsort((spot[order], key[order]))]
+        same = key[order[1:]] == key[order[:-1]]
+        group = np.cumsum(np.r_[True, ~same][: len(order)]) - 1
+        close = same & (spot[order[1:]] - spot[order[:-1]] <= _STEPS + 1)
+        close = np.r_[False, close][: len(order)] | np.r_[close, False][: len(order)]
+        order = order[close | (np.bincount(group, hot[order])[group] > 0) | (np.bincount(group)[group] > SMALL)]
         order = order[np.lexsort((a[order], key[order]))]
         n, m = len(order), len(pairs[0])
-        cols = [np.r_[key[order], pairs[0]], np.r_[a[order], pairs[0]], np.r_[np.zeros(n, np.int64), pairs[1]], np.r_[b[order] == _HOT, np.ones(m, bool)]]
+        cols = [np.r_[key[order], pairs[0]], np.r_[a[order], pairs[0]], np.r_[np.zeros(n, np.int64), pairs[1]], np.r_[hot[order], np.ones(m, bool)]]
         none = np.r_[np.ones(n, bool), np.zeros(m, bool)]
         yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2], mask=none), pa.array(cols[3])], ["key", "a", "b", "hot"])
 
@@ -576,7 +599,7 @@ def link(
     of each such signature, of which those of similar items differ by 1 at most. verify(pairs, name) keeps the true ones of pairs (a, b), a < b. inside: the data
     (id, data) of distinct ids (id), written under a name, and a check of it as for ``verified``."""
     items = items.select("id", "sig")
-    keyed = items.mapInArrow(lean("link", lambda it: _packed_stars(it, keys_of)), _PACKED)
+    keyed = items.mapInArrow(lean("link", lambda it: _packed_stars(it, keys_of, _spots(place, near[1]))), _PACKED)
     met = keyed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean("link", lambda it: _grouped(_sorted_stars(it))), "key long, a long, b long")
     met = tables.cut(met, f"{name}-stars")
     tables.free()
@@ -588,6 +611,7 @@ def link(
     small = small.select("key", "id", "sig").repartition("key").sortWithinPartitions("key", "id")
     small = small.mapInArrow(lean("link", _within(*near, place)), "a long, b long, first boolean").groupBy("a", "b").agg(F.max("first").alias("first"))
     small = tables.cut(small, f"{name}-small")
+    tables.free()
     large = tables.cut(met.where("b is not null").select("a", "b").distinct(), f"{name}-large")
     ends = semi(items, large.select(F.col("a").alias("id")).unionByName(large.select(F.col("b").alias("id"))).distinct(), "id")
     a, b = (ends.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
@@ -602,6 +626,7 @@ def link(
     rest = rest.where("coalesce(c_a, a) <> coalesce(c_b, b)").select("a", "b").join(likely, ["a", "b"], "left_anti")
     rest = tables.cut(rest, f"{name}-rest")
     if inside:
+        tables.free()
         read, check = inside
         held = _held(tables, pairs, items, found, keys_of, name)
         ends = rest.select(F.col("a").alias("id")).unionByName(rest.select(F.col("b").alias("id")))

@@ -104,3 +104,15 @@ def test_words_bound_the_edit_distance():
             bounded += 1
             assert linededup.edit_distance(x, y, 10**6) <= most
     assert bounded > 300
+
+
+def test_items_far_from_all_others_of_a_small_key_go_no_further():
+    places = [0.5, 1.4, 7.0, 9.0, 10.0, 20.0]
+    rows = [(5, i, x) for i, x in enumerate(places)] + [(6, 1, 1.4), (6, 2, 7.0)] + [(7, i, 100.0 * i) for i in range(linking.SMALL + 1)]
+    by_id = {(i, x): np.array([x]).tobytes() for _, i, x in rows}
+    spots = linking._spots(lambda x: x[:, 0], np.float64)
+    key, a = (np.array([r[k] for r in rows]) for k in (0, 1))
+    b = -1 - 2 * spots([by_id[i, x] for _, i, x in rows])
+    blobs = pa.Table.from_batches(list(linking.packed(np.zeros(len(rows), np.int64), [key, a, b], ["key", "a", "b"])))
+    got = [(r["key"], r["a"]) for t in linking._sorted_stars(iter(blobs.to_batches())) for r in t.to_pylist()]
+    assert got == [(5, 0), (5, 1), (5, 3), (5, 4)] + [(7, i) for i in range(linking.SMALL + 1)]
