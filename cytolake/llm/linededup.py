@@ -24,6 +24,7 @@ through, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .linking import BUCKETS, PACKED, buckets, link, packed, verified
-from .shared import Tables, lean, semi, small_enough
+from .shared import FORGET, Tables, lean, semi, small_enough
 from .words import encode, mix, run_hashes, runs
 
 BITS, BLOCKS = 96, 3
@@ -54,6 +55,8 @@ AHEAD = 6
 COMMON = 70
 #: Lines of so many characters have their pairs of characters compared before the edit distance.
 COUNTED = 256
+#: Columns of the table of distances between two looks at what they have come to.
+_COLUMNS = 16
 #: Stands for no id, above all of them.
 _NONE = 1 << 62
 #: Signs become spaces and digits 0; letters are lower-cased before.
@@ -72,7 +75,10 @@ def lines_of(text) -> list[str]:
 
 def normalised(text) -> list[bytes]:
     """Of each line its words in lower case, digits as 0 and signs as spaces, one space apart."""
-    return [b" ".join(line.split()) for line in encode((text or "").lower()).translate(_PLAIN).split(b"\n")]
+    flat = encode((text or "").lower()).translate(_PLAIN)
+    while b"  " in flat:
+        flat = flat.replace(b"  ", b" ")
+    return [line.strip(b" ") for line in flat.split(b"\n")]
 
 
 def compared(flat: bytes, min_words: int) -> bool:
@@ -106,7 +112,9 @@ def minima(x: np.ndarray, owner: np.ndarray, width: int, lines: int, most: np.nd
     window = np.full(n, np.uint64(width))
     with np.errstate(over="ignore"):
         for k in range(width):
-            window = mix(window * np.uint64(0x9E3779B97F4A7C15) + x[k : k + n])
+            window *= np.uint64(0x9E3779B97F4A7C15)
+            window += x[k : k + n]
+            window = mix(window)
     # in one sort: line number above, hash below
     both = np.sort(owner[:n][inside].astype(np.uint64) << np.uint64(50) | window[inside] >> np.uint64(14))
     both = both[np.r_[True, both[1:] != both[:-1]]] if len(both) else both
@@ -230,21 +238,23 @@ def edit_distance(a: str, b: str, most: int) -> int:
     place: dict[str, int] = {}
     for i, c in enumerate(a):
         place[c] = place.get(c, 0) | 1 << i
-    full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    up, down, score = full, 0, len(a)
-    for j, c in enumerate(b):
-        eq = place.get(c, 0)
-        diagonal = (((eq & up) + up) ^ up) | eq | down
-        plus, minus = down | ~(diagonal | up) & full, up & diagonal
-        score += (1 if plus & last else 0) - (1 if minus & last else 0)
-        if score - (len(b) - 1 - j) > most:
-            return most + 1
-        plus = (plus << 1 | 1) & full
-        up, down = (minus << 1) & full | ~(diagonal | plus) & full, plus & diagonal
-        if j & 15 == 15 and (edge := len(a) - len(b) + j + 1) > 0:
+    for c in set(b).difference(place):
+        place[c] = 0
+    full = (1 << len(a)) - 1
+    up, down = full, 0
+    for j in range(0, len(b), _COLUMNS):
+        part = b[j : j + _COLUMNS]
+        # bits beyond those of a change none of them, and are cut off now and then
+        for eq in map(place.__getitem__, part):
+            diagonal = ((eq & up) + up ^ up) | eq | down
+            plus = (down | (diagonal | up) ^ full) << 1 | 1
+            up, down = (up & diagonal) << 1 | (diagonal | plus) ^ full, plus & diagonal
+        up, down, done = up & full, down & full, j + len(part)
+        if (edge := len(a) - len(b) + done) > 0:
             # at least the distance of the beginnings that leave equally long ends
-            part = (1 << edge) - 1
-            if j + 1 + (up & part).bit_count() - (down & part).bit_count() > most:
+            first = (1 << edge) - 1
+            score = done + (up & first).bit_count() - (down & first).bit_count()
+            if score > most:
                 return most + 1
     return score
 
@@ -281,11 +291,14 @@ def _at_most(a: str, b: str, most: int) -> bool:
     return cost + sum(map(len, x[i:])) + n - i + sum(map(len, y[j:])) + m - j <= most
 
 
-def pair_counts(flat: str) -> np.ndarray:
-    """Counts of the pairs of neighbouring characters in 16,384 bins, those of ASCII each in its own."""
-    x = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    x = (x ^ x >> 7) & 127
-    return np.bincount(x[:-1] << 7 | x[1:], minlength=1 << 14)
+@lru_cache(maxsize=2048)
+def pair_counts(flat: bytes) -> np.ndarray:
+    """Counts of the pairs of neighbouring characters in 1,024 bins, those of letters each in its own."""
+    x = np.frombuffer(flat.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) & 31
+    return np.bincount(x[:-1] << 5 | x[1:], minlength=1 << 10).astype(np.int32)
+
+
+FORGET.append(pair_counts.cache_clear)
 
 
 def similar_lines(least: int):
@@ -293,7 +306,7 @@ def similar_lines(least: int):
     four at most, so lines of COUNTED characters whose counts are further apart need no edit distance."""
 
     def check(centre: bytes, members: list[bytes]) -> list[bool]:
-        a, counts = centre.decode("utf-8", "surrogatepass"), None
+        a = centre.decode("utf-8", "surrogatepass")
         out = []
         for m in members:
             b = m.decode("utf-8", "surrogatepass")
@@ -301,8 +314,7 @@ def similar_lines(least: int):
             good = abs(len(a) - len(b)) <= most
             if good and not _at_most(a, b, most):
                 if min(len(a), len(b)) >= COUNTED:
-                    counts = pair_counts(a) if counts is None else counts
-                    good = int(np.abs(counts - pair_counts(b)).sum()) <= 4 * most
+                    good = int(np.abs(pair_counts(centre) - pair_counts(m)).sum()) <= 4 * most
                 good = good and edit_distance(a, b, most) <= most
             out.append(good)
         return out
