@@ -7,7 +7,7 @@ itself. Landmark words give the Nystroem map k(w, Z) K^-1/2, in which a linear m
 
 Labels are of whole documents, so learning is of multiple instances: a sentence of a toxic document is positive through
 its witness, a word (or beginning of words) whose counts in toxic and clean documents of the sample no chance explains; all words of clean documents
-are negative. After each of ``rounds`` fits, the words with which clean sample documents score highest become further
+are negative. Near copies with one label count as one document there, as all words of a toxic text that was copied often would seem to be witnesses. After each of ``rounds`` fits, the words with which clean sample documents score highest become further
 negatives. Since the kernel is an inner product of explicit subsequence counts, the trained machine is one weight per
 subsequence: a word costs a few table look-ups, once per worker while it is remembered. The margins of a document's two
 worst words and the share of its words with a positive margin are calibrated by logistic regression on the sample.
@@ -32,8 +32,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .neardup import minhashes
 from .shared import FORGET, Tables, lean, small_enough
-from .words import encode
+from .words import encode, runs, shingle_sets
 
 #: Codes: 0 word start, 1 word end, 2 to 31 characters.
 _CODES, _WIDTH, _STEP = 32, 24, 12
@@ -42,6 +43,8 @@ _STRIP = re.compile(r"[\W\d_]+")
 CACHE_WORDS = 400_000
 #: Lengths of word beginnings that count as evidence for all their words.
 STEMS = (4, 5)
+#: Minhashes of a document's pairs of words; documents that agree in half of them are near copies.
+SKETCH = 32
 _MEMORY: dict[bytes, dict[bytes, float]] = {}
 FORGET.append(_MEMORY.clear)
 
@@ -236,14 +239,58 @@ def _sample(tables: Tables, docs: DataFrame, labels: DataFrame, per_class: int)
     return tables.cut(found.select("doc_id", "toxic", "text"), "sample"), {t: every[t] / n for t, n in picked.items()}
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, toxic, sketch) of the texts with words."""
     for batch in batches:
-        words, labels = [], []
-        for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found = {p for w in instances(text) for p in windows(letters(w)) if len(p) > 1}
-            words += found
-            labels += [int(toxic)] * len(found)
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(labels, pa.int64())], ["word", "toxic"])
+        texts = batch.column(2).to_pylist()
+        for lo, hi in runs(texts):
+            sets = shingle_sets(texts[lo:hi], 2)
+            full = [i for i, x in enumerate(sets) if len(x)]
+            if full:
+                rows = minhashes([sets[i] for i in full], SKETCH)
+                part = batch.slice(lo, hi - lo).take(pa.array(full))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.tobytes() for r in rows], pa.binary())], ["doc_id", "toxic", "sketch"])
+
+
+def _shares(sketches: np.ndarray) -> np.ndarray:
+    """Of each document the share that it has in its group of near copies: those of no earlier group that are near its first one."""
+    out = np.ones(len(sketches))
+    left = np.arange(len(sketches))
+    while len(left):
+        near = (sketches[left] == sketches[left[0]]).sum(1) * 2 >= sketches.shape[1]
+        out[left[near]] = 1 / near.sum()
+        left = left[~near]
+    return out
+
+
+def _copies(sample: DataFrame) -> tuple[dict[int, float], list[float]]:
+    """The shares of the documents that have near copies with their label in the sample, whose size is bounded; and by how much less
+    than their number the documents of label 0 and of label 1 count."""
+    rows = sorted(sample.select("doc_id", "toxic", "text").mapInArrow(lean("toxicity", _sketches), "doc_id long, toxic int, sketch binary").collect())
+    out: dict[int, float] = {}
+    less = []
+    for toxic in (0, 1):
+        own = [r for r in rows if int(r[1]) == toxic]
+        share = _shares(np.frombuffer(b"".join(bytes(r[2]) for r in own), np.uint32).reshape(-1, SKETCH))
+        out |= {r[0]: x for r, x in zip(own, share.tolist(), strict=True) if x < 1}
+        less.append(float((1 - share).sum()))
+    return out, less
+
+
+def _pairs(copies: dict[int, float]):
+    """(word, toxic, share): the words of a document, which together with its near copies counts as one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, labels, shares = [], [], []
+            for doc_id, toxic, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                found = {p for w in instances(text) for p in windows(letters(w)) if len(p) > 1}
+                words += found
+                labels += [int(toxic)] * len(found)
+                shares += [copies.get(doc_id, 1.0)] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(labels, pa.int64()), pa.array(shares, pa.float64())], ["word", "toxic", "share"])
+
+    return run
 
 
 def _evidence(a: Column, b: Column, share: float) -> Column:
@@ -263,8 +310,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, landmarks: in
     if not n0 or not n1:
         tables.drop("chosen", "sample")
         return model
-    stats = sample.select("toxic", "text").mapInArrow(lean("toxicity", _pairs), "word string, toxic long").groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-    share = n1 / (n0 + n1)
+    copies, less = _copies(sample)
+    held = sample.select("doc_id", "toxic", "text").mapInArrow(lean("toxicity", _pairs(copies)), "word string, toxic long, share double")
+    # rounded, as the order of a sum is not fixed
+    stats = held.groupBy("word").agg(*(F.round(F.sum(F.col("share") * (F.col("toxic") == t).cast("int")), 6).alias(c) for t, c in ((1, "a"), (0, "b"))))
+    share = (n1 - less[1]) / (n0 + n1 - less[0] - less[1])
     stats = tables.cut(stats.withColumn("evidence", _evidence(F.col("a"), F.col("b"), share)), "stats")
     # evidence is a log likelihood ratio; a threshold of the log of the number of words leaves none to chance
     least = float(np.log(max(2, stats.where("a + b > 1").count()))) + margin
