@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +34,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def trim_driver(spark: SparkSession) -> bool:
+    """Has the driver's JVM give back what its compiler and buffers have freed outside of the heap, which the C library keeps otherwise. False if that JVM cannot."""
+    context = spark.sparkContext
+    beans = context._jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    name = context._jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    # by the interface, as the class of the server is in no exported package
+    call = next(m for m in context._jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+    given = context._gateway.new_array(context._jvm.java.lang.Object, 4)
+    given[0], given[1] = name, "systemTrimNativeHeap"
+    try:
+        call.invoke(beans, given)
+    except Py4JJavaError:
+        return False
+    return True
+
+
 def small_batches(spark: SparkSession) -> None:
     """Long texts fill an Arrow batch by their bytes, so that a worker never holds ten thousand of them."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
@@ -54,13 +71,15 @@ class Tables:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def free(self) -> None:
-        """Lets Spark delete the shuffle files of finished frames, which it does when the driver's JVM collects them; and has the
-        executors, whose heaps otherwise only grow, give back what the classes and buffers of finished plans held."""
+        """Lets Spark delete the shuffle files of finished frames, which it does when the driver's JVM collects them; and has the driver
+        and the executors, whose memory otherwise only grows, give back what the classes and buffers of finished plans held."""
         gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
         if not in_one_process(self.spark):
             n = self.spark.sparkContext.defaultParallelism
             self.spark.range(0, n, 1, n).selectExpr("java_method('java.lang.System', 'gc')").write.format("noop").mode("overwrite").save()
+        # the driver comes last: its listeners hold the latest execution, and so its shuffle files, until another one ends
+        self.spark.sparkContext._jvm.System.gc()
+        trim_driver(self.spark)
 
     def drop(self, *names: str) -> None:
         for name in names:
