@@ -23,7 +23,7 @@ through, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -444,11 +444,16 @@ def _by_row(docs: DataFrame, rows: DataFrame, row_bytes: int, held: str, how: st
     return joined.drop("__d", "__r")
 
 
-def line_groups(docs: DataFrame, items: DataFrame, tables: Tables, least: int) -> DataFrame:
-    """(id, component) of the lines that are linked with one of a smaller id. docs: doc_id, row, text; items: id, sig, doc_id, row, line."""
+def line_groups(docs: DataFrame, items: DataFrame, tables: Tables, least: int, spent: Callable[[], DataFrame] | None = None) -> DataFrame:
+    """(id, component) of the lines that are linked with one of a smaller id. docs: doc_id, row, text; items: id, sig, doc_id, row, line.
+    spent: called when no signature is read any more; returns items without them, which are read from then on."""
+    placed = [items]
+
+    def lighter() -> None:
+        placed[0] = spent()
 
     def texts_of(ids: DataFrame, name: str) -> DataFrame:
-        places = semi(items, ids, "id").select("doc_id", "row", F.struct("id", "line").alias("x"))
+        places = semi(placed[0], ids, "id").select("doc_id", "row", F.struct("id", "line").alias("x"))
         places = tables.cut(places.groupBy("doc_id", "row").agg(F.collect_list("x").alias("wanted")), f"{name}-places")
         held = _by_row(docs.where("text is not null"), places, 16, "wanted", "inner").select("text", "wanted").mapInArrow(lean("lines", _chosen), "id long, data binary")
         out = tables.cut(held.dropDuplicates(["id"]), name)
@@ -462,7 +467,7 @@ def line_groups(docs: DataFrame, items: DataFrame, tables: Tables, least: int) -
         return edges
 
     near = may_be_similar(least), np.uint8
-    return link(tables, items, line_keys, near, verify, "lines", _KEYS + 8 * MINIMA, length_place(least), (texts_of, similar_lines(least)))
+    return link(tables, items, line_keys, near, verify, "lines", _KEYS + 8 * MINIMA, length_place(least), (texts_of, similar_lines(least)), lighter if spent else None)
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 5, least: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -479,9 +484,19 @@ def dedup_lines(docs: DataFrame, min_words: int = 5, least: int = 80, id_col: st
     hashed = seen.select("h", "id").mapInArrow(lean("lines", _packed_hashes), "bucket long, h binary, h2 binary, id binary, n binary")
     hashed = hashed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean("lines", _repeated), "h binary, id long")
     hashed = tables.cut(hashed, "repeated")
+    tables.free()
     spare = hashed.where("id is not null").select("id")
     items = signed.join(F.broadcast(spare) if small_enough(spare, 16) else spare, "id", "left_anti")
-    found = line_groups(texts, items, tables, least)
+
+    def without_signatures() -> DataFrame:
+        nonlocal seen
+        # most of the bytes are signatures, which need not stay on disk with the shuffles to come
+        seen = tables.cut(seen.drop("sig"), "unsigned")
+        tables.drop("occurrences")
+        return seen.where("id is not null")
+
+    found = line_groups(texts, items, tables, least, without_signatures)
+    signed = seen.where("id is not null")
     linked = found.unionByName(found.select(F.col("component").alias("id"), "component").distinct())
     linked = tables.cut(linked, "linked")
     linked = signed.select("h", "id").join(F.broadcast(linked) if small_enough(linked, 24) else linked, "id").select("h", F.col("component").cast("string").cast("binary").alias("group"))
@@ -492,7 +507,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 5, least: int = 80, id_col: st
     first = tables.cut(places.groupBy("group").agg(F.min("place").alias("keep")), "first")
     later = places.join(F.broadcast(first) if small_enough(first, 64) else first, "group").where("not (place <=> keep)").select("place.*")
     gone = tables.cut(later.groupBy("doc_id", "row").agg(F.collect_set("line").alias("gone")), "gone")
-    tables.drop("occurrences", "repeated", "linked", "affected", "places", "first", "lines-found")
+    tables.drop("unsigned", "repeated", "linked", "affected", "places", "first", "lines-found")
     tables.free()
     joined = _by_row(flat.withColumns({"row": row, "doc_id": F.col(doc_id).cast("long")}), gone, 8, "gone", "left").drop("row", "doc_id")
     schema = T.StructType([*[f for f in flat.schema.fields], T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])

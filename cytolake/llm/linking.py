@@ -592,12 +592,14 @@ def link(
     unread: int = 0,
     place: Callable[[np.ndarray], np.ndarray] | None = None,
     inside: tuple[Callable[[DataFrame, str], DataFrame], Callable[[bytes, list[bytes]], list[bool]]] | None = None,
+    spent: Callable[[], None] | None = None,
 ) -> DataFrame:
     """(id, component) of the linked ids but the smallest of each component. items: id, sig. near: a score of rows of two
     signatures, as numbers of a kind, above 0 if they may be similar and higher for likelier ones; and that kind. It does not
     read the first ``unread`` bytes of signatures, and gets them with and without these. place: a number
     of each such signature, of which those of similar items differ by 1 at most. verify(pairs, name) keeps the true ones of pairs (a, b), a < b. inside: the data
-    (id, data) of distinct ids (id), written under a name, and a check of it as for ``verified``."""
+    (id, data) of distinct ids (id), written under a name, and a check of it as for ``verified``. spent: called once ``items`` is
+    no longer read, before any data is."""
     items = items.select("id", "sig")
     keyed = items.mapInArrow(lean("link", lambda it: _packed_stars(it, keys_of, _spots(place, near[1]))), _PACKED)
     met = keyed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean("link", lambda it: _grouped(_sorted_stars(it))), "key long, a long, b long")
@@ -607,6 +609,8 @@ def link(
     ends = met.select(F.col("a").alias("id")).unionByName(met.where("b is not null").select(F.col("b").alias("id"))).distinct()
     ends = tables.cut(ends, f"{name}-ids")
     items = tables.cut(semi(items, ends, "id"), f"{name}-ends")
+    if spent:
+        spent()
     small = met.where("b is null").select("key", F.col("a").alias("id")).join(items.select("id", F.expr(f"substring(sig, {unread + 1})").alias("sig")), "id")
     small = small.select("key", "id", "sig").repartition("key").sortWithinPartitions("key", "id")
     small = small.mapInArrow(lean("link", _within(*near, place)), "a long, b long, first boolean").groupBy("a", "b").agg(F.max("first").alias("first"))
