@@ -34,9 +34,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .edits import CAP, within
 from .linking import BUCKETS, PACKED, buckets, link, packed, verified
 from .shared import FORGET, Tables, lean, semi, small_enough
-from .words import encode, mix, run_hashes, runs
+from .words import encode, mix, run_hashes, runs, stacked
 
 BITS, BLOCKS = 96, 3
 #: Keys of the windows of a line.
@@ -55,18 +56,24 @@ AHEAD = 6
 COMMON = 70
 #: Lines of so many characters have their pairs of characters compared before the edit distance.
 COUNTED = 256
+#: Lines of so many characters have them compared before their words are aligned; words of lines of fewer than ALIGNED are not aligned.
+COUNTED_FIRST, ALIGNED = 1024, 96
 #: Columns of the table of distances between two looks at what they have come to.
 _COLUMNS = 16
 #: Stands for no id, above all of them.
 _NONE = 1 << 62
 #: Signs become spaces and digits 0; letters are lower-cased before.
 _PLAIN = bytes(48 if 48 <= c <= 57 else c if c == 10 or c >= 128 or 97 <= c <= 122 or 65 <= c <= 90 else 32 for c in range(256))
+#: Spaces of longer texts are put together by arrays.
+_SHORT = 1 << 12
 #: So many words are counted in one byte; longer lines are summed by parts.
 _PART = 255
 #: The eight bits of each byte as eight counters of a byte.
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).reshape(256)
 #: New lines that are looked at together, and their bytes.
 _LINES, _BYTES = 2048, 1 << 18
+#: Hashes of lines that a task remembers before it forgets them all, so that a line is signed once.
+_SEEN = 1 << 18
 
 
 def lines_of(text) -> list[str]:
@@ -76,6 +83,11 @@ def lines_of(text) -> list[str]:
 def normalised(text) -> list[bytes]:
     """Of each line its words in lower case, digits as 0 and signs as spaces, one space apart."""
     flat = encode((text or "").lower()).translate(_PLAIN)
+    if len(flat) > _SHORT:
+        space = np.frombuffer(flat, np.uint8) == 32
+        space[1:] &= space[:-1].copy()
+        space[0] = False
+        flat = np.frombuffer(flat, np.uint8)[~space].tobytes()
     while b"  " in flat:
         flat = flat.replace(b"  ", b" ")
     return [line.strip(b" ") for line in flat.split(b"\n")]
@@ -183,9 +195,9 @@ _COUNTS = _WORDS - PAIRS // 2
 _LENGTH = _COUNTS - 8
 
 
-def line_keys(signatures: list[bytes]) -> np.ndarray:
+def line_keys(signatures: list[bytes] | np.ndarray) -> np.ndarray:
     """The keys of the fingerprint's blocks and of the line's windows, the first window's where there are fewer."""
-    x = np.frombuffer(b"".join(signatures), np.uint8).reshape(len(signatures), -1)
+    x = stacked(signatures)
     blocks = np.ascontiguousarray(x[:, :_KEYS]).view(np.uint32).astype(np.int64) | (np.arange(BLOCKS) + 1) << 56
     windows = np.ascontiguousarray(x[:, _KEYS:_LENGTH]).view(np.int64)
     at = np.argmax(windows > 0, axis=1)
@@ -303,70 +315,95 @@ FORGET.append(pair_counts.cache_clear)
 
 def similar_lines(least: int):
     """Which lines have an edit similarity of ``least`` percent with a centre. An edit changes the counts of character pairs by
-    four at most, so lines of COUNTED characters whose counts are further apart need no edit distance."""
+    four at most, so lines of COUNTED characters whose counts are further apart need no edit distance. ``together`` takes pairs of lines, whose distances
+    are found in common walks where enough of them have about one length."""
+
+    def far(x: bytes, y: bytes, most: int) -> bool:
+        return int(np.abs(pair_counts(x) - pair_counts(y)).sum()) > 4 * most
+
+    def together(pairs: list[tuple[bytes, bytes]]) -> list[bool]:
+        out, rest = [False] * len(pairs), []
+        for k, (x, y) in enumerate(pairs):
+            a, b = x.decode("utf-8", "surrogatepass"), y.decode("utf-8", "surrogatepass")
+            most, shorter = (100 - least) * max(len(a), len(b)) // 100, min(len(a), len(b))
+            # of the two bounds the one goes first that settles most lines of that length
+            if abs(len(a) - len(b)) > most or shorter >= COUNTED_FIRST and far(x, y, most):
+                continue
+            if shorter >= ALIGNED and _at_most(a, b, most):
+                out[k] = True
+            elif not (COUNTED <= shorter < COUNTED_FIRST and far(x, y, most)):
+                if most < CAP:
+                    rest.append((k, x, y, len(a), len(b), most))
+                else:
+                    out[k] = edit_distance(a, b, most) <= most
+        if rest:
+            at, x, y, m, n, most = zip(*rest, strict=True)
+            alone = lambda k: edit_distance(x[k].decode("utf-8", "surrogatepass"), y[k].decode("utf-8", "surrogatepass"), most[k]) <= most[k]
+            for k, good in zip(at, within(x, y, np.array(m), np.array(n), np.array(most), alone).tolist(), strict=True):
+                out[k] = good
+        return out
 
     def check(centre: bytes, members: list[bytes]) -> list[bool]:
-        a = centre.decode("utf-8", "surrogatepass")
-        out = []
-        for m in members:
-            b = m.decode("utf-8", "surrogatepass")
-            most = (100 - least) * max(len(a), len(b)) // 100
-            good = abs(len(a) - len(b)) <= most
-            if good and not _at_most(a, b, most):
-                if min(len(a), len(b)) >= COUNTED:
-                    good = int(np.abs(pair_counts(centre) - pair_counts(m)).sum()) <= 4 * most
-                good = good and edit_distance(a, b, most) <= most
-            out.append(good)
-        return out
+        return together([(centre, m) for m in members])
 
+    check.together = together
     return check
 
 
-def _parts(new: list[tuple[int, bytes]]) -> Iterator[list[tuple[int, bytes]]]:
+def _parts(new: list[bytes]) -> Iterator[list[bytes]]:
     """Lines in runs of at most _LINES and about _BYTES bytes."""
-    part, size = [], 0
-    for x in new:
-        if part and (len(part) == _LINES or size + len(x[1]) > _BYTES):
-            yield part
-            part, size = [], 0
-        part.append(x)
-        size += len(x[1])
-    if part:
-        yield part
+    end, lo = np.cumsum([len(x) for x in new]), 0
+    while lo < len(new):
+        hi = int(np.searchsorted(end, (end[lo - 1] if lo else 0) + _BYTES, "right"))
+        hi = min(max(lo + 1, hi), lo + _LINES)
+        yield new[lo:hi]
+        lo = hi
+
+
+def _binary(rows: np.ndarray, at: np.ndarray, n: int) -> pa.Array:
+    """n values of bytes: rows of them stand at the given places, in order, and nulls elsewhere."""
+    there = np.zeros(n, bool)
+    there[at] = True
+    offsets = np.r_[0, np.cumsum(there) * rows.shape[1]].astype(np.int32)
+    buffers = np.packbits(there, bitorder="little"), offsets, np.ascontiguousarray(rows)
+    return pa.Array.from_buffers(pa.binary(), n, [pa.py_buffer(x) for x in buffers])
 
 
 def _occurrences(min_words: int):
-    """The lines of a task; a class's signature stands, under an id of its own, at its first line of each batch."""
+    """The lines of a task; a class's signature stands, under an id of its own, at its first line of those that are remembered together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         given = (context.partitionId() if context else 0) << 40
+        digest = xxhash.xxh3_128_digest
+        seen: set[bytes] = set()
         for batch in batches:
-            seen: set[bytes] = set()
-            texts = batch.column(2).to_pylist()
+            texts = [t or "" for t in batch.column(2).to_pylist()]
             for lo, hi in runs(texts):
-                rows: list[tuple] = []
-                new: list[tuple[int, bytes]] = []
-                for doc, row, text in zip(*(batch.column(i).slice(lo, hi - lo).to_pylist() for i in range(2)), texts[lo:hi], strict=True):
-                    for i, flat in enumerate(normalised(text)):
-                        if not flat:
-                            continue
-                        h = xxhash.xxh3_128_digest(flat)
-                        if h not in seen:
-                            seen.add(h)
-                            if compared(flat, min_words):
-                                new.append((len(rows), flat))
-                        rows.append((doc, row, i, h))
-                if not rows:
+                if len(seen) > _SEEN:
+                    seen.clear()
+                lines = normalised("\n".join(texts[lo:hi]))
+                sizes = np.array([t.count("\n") + 1 for t in texts[lo:hi]])
+                full = [k for k, flat in enumerate(lines) if flat]
+                if not full:
                     continue
-                sig: list = [None] * len(rows)
-                ids: list = [None] * len(rows)
-                for part in _parts(new):
-                    for (at, _), s in zip(part, signature([f for _, f in part]), strict=True):
-                        sig[at], ids[at] = s.tobytes(), given
-                        given += 1
-                doc, row, line, h = zip(*rows, strict=True)
-                cols = [*(pa.array(c, pa.int64()) for c in (doc, row, line)), pa.array(h, pa.binary()), pa.array(ids, pa.int64()), pa.array(sig, pa.binary())]
+                hashes = [digest(lines[k]) for k in full]
+                at, new = [], []
+                for k, (i, h) in enumerate(zip(full, hashes, strict=True)):
+                    if h not in seen:
+                        seen.add(h)
+                        if compared(lines[i], min_words):
+                            at.append(k)
+                            new.append(lines[i])
+                n = len(full)
+                of = np.repeat(np.arange(lo, hi), sizes)[full]
+                line = np.arange(len(lines))[full] - (np.cumsum(sizes) - sizes)[of - lo]
+                ids, mask = np.zeros(n, np.int64), np.ones(n, bool)
+                ids[at], mask[at] = given + np.arange(len(at)), False
+                given += len(at)
+                sig = np.concatenate([signature(part) for part in _parts(new)]) if new else np.zeros((0, 0), np.uint8)
+                h = _binary(np.frombuffer(b"".join(hashes), np.uint8).reshape(n, -1), np.arange(n), n)
+                cols = [*(batch.column(i).take(pa.array(of)) for i in range(2)), pa.array(line), h, pa.array(ids, mask=mask), _binary(sig, np.array(at, np.int64), n)]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "row", "line", "h", "id", "sig"])
 
     return run
@@ -390,7 +427,7 @@ def _packed_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     held, size = [], 0
     for batch in batches:
         if batch.num_rows:
-            h = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64).reshape(-1, 2)
+            h = stacked(batch.column(0), np.int64)
             held.append((h[:, 0], h[:, 1], batch.column(1).fill_null(_NONE).to_numpy()))
             size += len(h)
         if size >= PACKED:
@@ -420,13 +457,14 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, data): the normalised lines of texts at the given places."""
     for batch in batches:
-        ids, data = [], []
-        for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        wanted, chosen = batch.column(1), []
+        places = wanted.flatten()
+        line, edge = places.field("line").to_pylist(), np.cumsum(wanted.value_lengths().to_numpy()).tolist()
+        for text, lo, hi in zip(batch.column(0).to_pylist(), [0, *edge], edge, strict=False):
             lines = text.split("\n")
-            for x in wanted:
-                ids.append(x["id"])
-                data.append(normalised(lines[x["line"]])[0])
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(data, pa.binary())], ["id", "data"])
+            chosen += [lines[k] for k in line[lo:hi]]
+        data = normalised("\n".join(chosen)) if chosen else []
+        yield pa.RecordBatch.from_arrays([places.field("id"), pa.array(data, pa.binary())], ["id", "data"])
 
 
 def _drop_lines(text, dropped) -> str | None:

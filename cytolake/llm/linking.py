@@ -28,6 +28,7 @@ collected; hot vertices are reduced by partial minima. Later edges are contracte
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Tables, lean, semi, small_enough
-from .words import mix
+from .words import mix, stacked
 
 #: Items of an open key meet in tiles of at most about so many by so many.
 TILE = 4096
@@ -51,6 +52,8 @@ GATHER, HOT = 8192, 32
 SMALL = 64
 #: Tiles whose items bring their data hold about so many bytes of it.
 TILE_BYTES = 32 << 20
+#: Tiles whose items bring their data are met together up to about so many bytes.
+MEET_BYTES = 16 << 20
 #: Buckets of packed rows, a power of two: of a thousand million rows one has a million. Rows that a task packs together, and blobs that leave it at once.
 BUCKETS, PACKED, _BLOBS = 1024, 1 << 20, 128
 
@@ -101,16 +104,17 @@ def _component(found: DataFrame, column: str) -> DataFrame:
 
 def _distinct_keys(ids: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(key, id) in their order, without repeats, of items with a row of keys each."""
-    flat, owner = keys.reshape(-1), np.repeat(ids, keys.shape[1])
-    order = np.lexsort((owner, flat))
+    by_id = np.argsort(ids)
+    flat, owner = keys[by_id].reshape(-1), np.repeat(ids[by_id], keys.shape[1])
+    order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
     new = np.ones(len(flat), bool)
     new[1:] = (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])
     return flat[new], owner[new]
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
-    """Ids and signatures of about GATHER items at a time."""
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and rows of the bytes of signatures of about GATHER items at a time."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
@@ -118,17 +122,20 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, l
             held.append(batch.slice(lo, GATHER))
             size += held[-1].num_rows
             if size >= GATHER:
-                yield np.concatenate([b.column(0).to_numpy() for b in held]), [x for b in held for x in b.column(1).to_pylist()]
+                yield np.concatenate([b.column(0).to_numpy() for b in held]), np.concatenate([stacked(b.column(1)) for b in held])
                 held, size = [], 0
     if size:
-        yield np.concatenate([b.column(0).to_numpy() for b in held]), [x for b in held for x in b.column(1).to_pylist()]
+        yield np.concatenate([b.column(0).to_numpy() for b in held]), np.concatenate([stacked(b.column(1)) for b in held])
 
 
 def _local_stars(batches: Iterator[pa.RecordBatch], keys_of: Callable, spot_of: Callable) -> Iterator[pa.RecordBatch]:
     """Rows (key, a, null, hot, spot) of items; of keys that are hot among those looked at together only the smallest item, and
     (a, a, b) for the pairs of the others with it. hot: whether the key has such pairs."""
     for ids, signatures in _gathered(batches):
-        flat, owner = _distinct_keys(ids, keys_of(signatures))
+        order = np.argsort(ids)
+        ids, signatures = ids[order], signatures[order]
+        flat, place = _distinct_keys(np.arange(len(ids)), keys_of(signatures))
+        owner = ids[place]
         first = np.r_[True, flat[1:] != flat[:-1]]
         group = np.cumsum(first) - 1
         hot = (np.bincount(group) >= HOT)[group]
@@ -138,8 +145,7 @@ def _local_stars(batches: Iterator[pa.RecordBatch], keys_of: Callable, spot_of:
         pairs = np.unique(np.stack([low[left], owner[left]], 1), axis=0) if left.any() else np.zeros((0, 2), np.int64)
         n, m = int(single.sum()), len(pairs)
         b = pa.array(np.r_[np.zeros(n, np.int64), pairs[:, 1]], pa.int64(), mask=np.r_[np.ones(n, bool), np.zeros(m, bool)])
-        order = np.argsort(ids)
-        spot = spot_of(signatures)[order[np.searchsorted(ids, owner[single], sorter=order)]]
+        spot = spot_of(signatures)[place[single]]
         cols = [pa.array(np.r_[flat[single], pairs[:, 0]]), pa.array(np.r_[owner[single], pairs[:, 0]]), b, pa.array(np.r_[hot[single], np.ones(m, bool)])]
         yield pa.RecordBatch.from_arrays([*cols, pa.array(np.r_[spot, np.zeros(m, np.int64)])], ["key", "a", "b", "hot", "spot"])
 
@@ -187,10 +193,10 @@ _STEPS = 4
 def _spots(place: Callable | None, kind: type) -> Callable:
     """Of signatures their places in whole steps from 0 on, or zeros."""
 
-    def spots(signatures: list[bytes]) -> np.ndarray:
+    def spots(signatures: np.ndarray) -> np.ndarray:
         if not place:
             return np.zeros(len(signatures), np.int64)
-        at = place(np.frombuffer(b"".join(signatures), kind).reshape(len(signatures), -1))
+        at = place(stacked(signatures, kind))
         return (np.clip(at, 0, 1 << 40) * _STEPS).astype(np.int64)
 
     return spots
@@ -295,7 +301,7 @@ def _within(score: Callable, kind: type, place: Callable | None):
 
     def meet(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         key, ids = (rows.column(c).to_numpy() for c in (0, 1))
-        sig = np.frombuffer(b"".join(rows.column(2).to_pylist()), kind).reshape(len(ids), -1)
+        sig = stacked(rows.column(2), kind)
         at = place(sig) if place else None
         begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         before = np.arange(len(ids)) - np.repeat(begin, np.diff(np.r_[begin, len(ids)]))
@@ -340,16 +346,17 @@ def _keys(batches: Iterator[pa.RecordBatch], keys_of: Callable) -> Iterator[pa.R
 
 
 def _compared(keys_of: Callable, score: Callable, kind: type):
-    """(a, b, near, keys) of pairs with signatures: whether they may be similar, and the keys that both have."""
+    """(a, b, near, keys) of pairs with signatures: whether they may be similar, and the keys that both have, some of them more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sigs = [batch.column(i).to_pylist() for i in (2, 3)]
-            x, y = (np.frombuffer(b"".join(s), kind).reshape(batch.num_rows, -1) for s in sigs)
-            keys = [np.intersect1d(u, v) for u, v in zip(*map(keys_of, sigs), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score(x, y) > 0), pa.array(keys, pa.list_(pa.int64()))], ["a", "b", "near", "keys"])
+            x, y = (stacked(batch.column(i), kind) for i in (2, 3))
+            mine, theirs = map(keys_of, (x, y))
+            both = np.concatenate([(mine[k : k + 1024, :, None] == theirs[k : k + 1024, None, :]).any(2) for k in range(0, len(mine), 1024)])
+            keys = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(both.sum(1))], pa.int32()), pa.array(mine[both], pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score(x, y) > 0), keys], ["a", "b", "near", "keys"])
 
     return run
 
@@ -363,8 +370,7 @@ def _tiles(keys_of: Callable | None, score: Callable, kind: type, place: Callabl
     def meet(rows: pa.Table) -> tuple[np.ndarray, set[int]]:
         key, i, j, ids, component = (rows.column(c).to_numpy() for c in (0, 1, 2, 4, 5))
         left = rows.column(3).to_numpy()
-        packed = rows.column(6).to_pylist()
-        sig = np.frombuffer(b"".join(packed), kind).reshape(len(ids), -1)
+        sig = stacked(rows.column(6), kind)
         spot = place(sig) if place else None
         ends = np.r_[np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1, len(ids)]
         out, more, at, held, size = [np.zeros((0, 2), np.int64)], set(), 0, [], 0
@@ -384,7 +390,7 @@ def _tiles(keys_of: Callable | None, score: Callable, kind: type, place: Callabl
             for k in range(0, len(u), 1024):
                 x, y = u[k : k + 1024], v[k : k + 1024]
                 if keys_of:
-                    mine, theirs = (keys_of([packed[z] for z in w.tolist()]) for w in (x, y))
+                    mine, theirs = (keys_of(sig[w]) for w in (x, y))
                     below = np.where(mine < key[x, None], mine, -1)
                     smaller = ((below[:, :, None] == theirs[:, None, :]) & (below[:, :, None] != -1)).any((1, 2))
                     x, y = x[~smaller], y[~smaller]
@@ -451,8 +457,7 @@ def _inside(keys_of: Callable, score: Callable, kind: type, place: Callable | No
 
     def meet(rows: pa.Table) -> pa.RecordBatch:
         key, i, j, left, right, main, ids, component = (rows.column(c).to_numpy() for c in range(8))
-        packed, data = (rows.column(c).to_pylist() for c in (8, 9))
-        sig = np.frombuffer(b"".join(packed), kind).reshape(len(ids), -1)
+        sig, data = stacked(rows.column(8), kind), rows.column(9).to_pylist()
         spot = place(sig) if place else None
         names, of = np.unique(component, return_inverse=True)
         root = np.arange(len(names))
@@ -461,7 +466,7 @@ def _inside(keys_of: Callable, score: Callable, kind: type, place: Callable | No
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def owned(u: np.ndarray, v: np.ndarray) -> np.ndarray:
-            mine, theirs = (keys_of([packed[z] for z in w.tolist()]) for w in (u, v))
+            mine, theirs = (keys_of(sig[w]) for w in (u, v))
             below = mine < key[u, None]
             return ~((mine[:, :, None] == theirs[:, None, :]) & below[:, :, None]).any((1, 2))
 
@@ -481,10 +486,13 @@ def _inside(keys_of: Callable, score: Callable, kind: type, place: Callable | No
                 x, y = u[now], v[now]
                 for k in range(0, len(x), 1024):
                     p, q = x[k : k + 1024], y[k : k + 1024]
+                    apart = root[of[p]] != root[of[q]]
+                    p, q = p[apart], q[apart]
                     good = owned(p, q)
-                    for b, c in zip(p[good].tolist(), q[good].tolist(), strict=True):
+                    p, q = p[good].tolist(), q[good].tolist()
+                    for b, c, same in zip(p, q, together(check, [(data[b], data[c]) for b, c in zip(p, q, strict=True)]), strict=True):
                         r, s = root[of[b]], root[of[c]]
-                        if r != s and check(data[b], [data[c]])[0]:
+                        if same and r != s:
                             root[root == s] = r
                             out.append((min(ids[b], ids[c]), max(ids[b], ids[c])))
                 u, v, width = u[~now], v[~now], 4 * width
@@ -502,7 +510,7 @@ def _inside(keys_of: Callable, score: Callable, kind: type, place: Callable | No
                 x, y = np.nonzero(meets)
                 held.append((part[x], rights[y]))
                 size += len(x)
-                if size >= _HELD:
+                if size >= 4 * _HELD:
                     flush()
                     size = 0
         if held:
@@ -510,12 +518,15 @@ def _inside(keys_of: Callable, score: Callable, kind: type, place: Callable | No
         return pa.RecordBatch.from_arrays([pa.array([int(x[k]) for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        # several batches at a time, so that many pairs are verified together
+        held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = pa.Table.from_batches([batch])
-            rows = rows if held is None else pa.concat_tables([held, rows])
+            held.append(batch)
+            if sum(x.nbytes for x in held) < MEET_BYTES:
+                continue
+            rows = pa.Table.from_batches(held)
             last = np.ones(len(rows), bool)
             for c in range(3):
                 x = rows.column(c).to_numpy()
@@ -523,9 +534,9 @@ def _inside(keys_of: Callable, score: Callable, kind: type, place: Callable | No
             at = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
             if at:
                 yield meet(rows.slice(0, at))
-            held = rows.slice(at)
-        if held is not None:
-            yield meet(held)
+            held = rows.slice(at).to_batches()
+        if held:
+            yield meet(pa.Table.from_batches(held))
 
     return run
 
@@ -554,11 +565,11 @@ def _merged(tables: Tables, held: DataFrame, items: DataFrame, data: DataFrame,
     whole = whole.where("n > most.n").select("key", "main", pieces(F.col("n"), F.col("size")).alias("nr"), pieces(F.col("n") - F.col("most.n"), F.col("size") - F.col("most.size")).alias("nl"))
     dealt = held.join(F.broadcast(whole) if small_enough(held, 40) else whole, "key").withColumn("main", F.col("component") == F.col("main"))
     dealt = dealt.withColumns({"own_i": F.expr("cast(pmod(xxhash64(id, 1), nl) as int)"), "own_j": F.expr("cast(pmod(xxhash64(id), nr) as int)")})
-    right = "transform(sequence(0, nl - 1), x -> struct(x as i, own_j as j, not main and x = own_i as left, true as right))"
-    left = "transform(filter(sequence(0, nr - 1), x -> not main and x <> own_j), x -> struct(own_i as i, x as j, true as left, false as right))"
-    dealt = dealt.select("key", "main", "id", "component", F.explode(F.expr(f"concat({right}, {left})")).alias("t"))
+    # an item is right in all tiles of its j, and left, unless it is of the main component, in all of its i; in one of them it is both
+    dealt = dealt.withColumn("t", F.explode(F.expr("sequence(0, if(main, nl, nl + nr) - 1)"))).where("t < nl or t - nl <> own_j")
+    dealt = dealt.withColumns({"i": F.expr("if(t < nl, t, own_i)"), "j": F.expr("if(t < nl, own_j, t - nl)"), "left": F.expr("not main and (t >= nl or t = own_i)"), "right": F.expr("t < nl")})
     full = items.select("id", "sig").join(data, "id")
-    rows = dealt.select("key", "t.i", "t.j", "t.left", "t.right", "main", "id", "component").join(full, "id")
+    rows = dealt.select("key", "i", "j", "left", "right", "main", "id", "component").join(full, "id")
     rows = rows.select("key", "i", "j", "left", "right", "main", "id", "component", "sig", "data").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return rows.mapInArrow(lean("link", _inside(keys_of, *near, place, check)), "a long, b long")
 
@@ -585,7 +596,7 @@ def _open(tables: Tables, pairs: DataFrame, items: DataFrame, found: DataFrame,
 def link(
     tables: Tables,
     items: DataFrame,
-    keys_of: Callable[[list[bytes]], np.ndarray],
+    keys_of: Callable[[np.ndarray], np.ndarray],
     near: tuple[Callable[[np.ndarray, np.ndarray], np.ndarray], type],
     verify: Callable[[DataFrame, str], DataFrame],
     name: str = "link",
@@ -673,6 +684,16 @@ def link(
     return found
 
 
+def together(check: Callable[[bytes, list[bytes]], list[bool]], pairs: list[tuple[bytes, bytes]]) -> list[bool]:
+    """``check`` of pairs, in runs of one centre, or all at once by its own ``together``."""
+    if hasattr(check, "together"):
+        return check.together(pairs)
+    out: list[bool] = []
+    for centre, run in groupby(pairs, key=lambda x: x[0]):
+        out += check(centre, [m for _, m in run])
+    return out
+
+
 def verified(pairs: DataFrame, payload: DataFrame, check: Callable[[bytes, list[bytes]], list[bool]], most: int = 256) -> DataFrame:
     """The pairs (a, b) for which ``check(data of a, data of several b)`` is true, of their payloads (id, data). Members go to
     their centre a, whose group is dealt over salts of about ``most`` members each; a group streams through its task."""
@@ -687,20 +708,16 @@ def verified(pairs: DataFrame, payload: DataFrame, check: Callable[[bytes, list[
         at, centre = None, None
         for batch in batches:
             a, salt, b, d = (batch.column(i).to_pylist() for i in range(4))
-            out_a, out_b, i = [], [], 0
+            met, of, i = [], [], 0
             while i < len(a):
                 if b[i] is None:
                     at, centre = (a[i], salt[i]), d[i]
-                    i += 1
-                    continue
-                j = i
-                while j < len(a) and b[j] is not None and (a[j], salt[j]) == (a[i], salt[i]):
-                    j += 1
-                if (a[i], salt[i]) == at:
-                    good = [x for x, same in zip(b[i:j], check(centre, d[i:j]), strict=True) if same]
-                    out_b += good
-                    out_a += [a[i]] * len(good)
-                i = j
+                elif (a[i], salt[i]) == at:
+                    met.append((centre, d[i]))
+                    of.append(i)
+                i += 1
+            good = [i for i, same in zip(of, together(check, met), strict=True) if same]
+            out_a, out_b = [a[i] for i in good], [b[i] for i in good]
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
     rows = centres.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())

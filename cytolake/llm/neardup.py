@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .linking import link, verified
 from .shared import lean, semi, Tables
-from .words import mix, runs, shingle_sets
+from .words import mix, runs, shingle_sets, stacked
 
 _FEATURES = "id long, n_shingles long, digest binary, sig binary"
 
@@ -52,8 +52,8 @@ def minhashes(sets: list[np.ndarray], n: int) -> np.ndarray:
 def tensored_keys(bands: int, rows: int):
     """Keys of the bands**2 tables from signatures of 2 * bands * rows minhashes."""
 
-    def keys(signatures: list[bytes]) -> np.ndarray:
-        m = np.frombuffer(b"".join(signatures), np.uint32).reshape(len(signatures), 2, bands, rows).astype(np.uint64)
+    def keys(signatures: list[bytes] | np.ndarray) -> np.ndarray:
+        m = stacked(signatures, np.uint32).reshape(len(signatures), 2, bands, rows).astype(np.uint64)
         with np.errstate(over="ignore"):
             half = np.zeros(m.shape[:3], np.uint64)
             for r in range(rows):

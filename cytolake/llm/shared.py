@@ -15,6 +15,7 @@ import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
@@ -67,7 +68,9 @@ class Tables:
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        # hashes, signatures and data hardly repeat: no dictionary is tried
+        plain = {f"parquet.enable.dictionary#{f.name}": "false" for f in df.schema.fields if isinstance(f.dataType, BinaryType)}
+        df.write.mode("overwrite").options(**plain).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def free(self) -> None:

@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -14,6 +15,18 @@ def encode(text) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
+def stacked(values: pa.Array | pa.ChunkedArray | np.ndarray | list[bytes], kind: type = np.uint8) -> np.ndarray:
+    """Rows of numbers: the bytes of values that are all of one length, none null."""
+    if isinstance(values, np.ndarray):
+        return np.ascontiguousarray(values).view(kind)
+    if isinstance(values, list):
+        return np.frombuffer(b"".join(values), kind).reshape(len(values), -1)
+    if isinstance(values, pa.ChunkedArray):
+        return np.concatenate([stacked(x, kind) for x in values.chunks if len(x)])
+    edge = np.frombuffer(values.buffers()[1], np.int64 if pa.types.is_large_binary(values.type) else np.int32)[values.offset : values.offset + len(values) + 1]
+    return np.frombuffer(values.buffers()[2], np.uint8)[edge[0] : edge[-1]].view(kind).reshape(len(values), -1)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     y = x >> np.uint64(30)
@@ -67,7 +80,9 @@ def run_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     power of its place, is divided by the power of the start."""
     powers, inverse = _powers(len(data))
     with np.errstate(over="ignore"):
-        total = np.cumsum(_BYTES[data] * powers[: len(data)], dtype=np.uint64)
+        total = _BYTES[data]
+        total *= powers[: len(data)]
+        np.cumsum(total, out=total)
         before = np.where(start > 0, total[start - 1], np.uint64(0))
         return mix((total[end - 1] - before) * inverse[start] + (end - start).astype(np.uint64))
 
